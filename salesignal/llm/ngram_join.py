@@ -18,13 +18,15 @@ from salesignal.llm.components import connected_components
 from salesignal.llm.tokens import mix, shingles_of, utf8
 
 #: Shingles counted in a task before its counts are handed on.
-FLUSH = 4_000_000
+FLUSH = 2_000_000
+#: Bits by which shingles of one range of hashes are told apart when they are counted. Chance meetings only disturb the order, never the result.
+COUNTED_BITS = 24
 #: A shingle of so many documents, at least, is ordered after the rarer ones.
 FREQUENT = 32
 #: Frequent shingles sent to all tasks at most (8 bytes each). Beyond it the least frequent ones count as rare: that changes the order, never the result.
 MOST_FREQUENT = 1 << 18
 #: Shingles searched in one task at most, on average; groups beyond it are searched as pairs of blocks.
-BLOCK = 4_000_000
+BLOCK = 2_000_000
 #: DivideSkip's weight of a probe against a merge step, as published.
 MU = 0.0085
 
@@ -49,20 +51,36 @@ def _binary(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("text"))
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Sorted whole numbers, repeats included, as gaps in units of 1, 2 or 4 bytes; the largest unit means: add it and read on. The first byte is the unit's size."""
+    gaps = np.diff(values, prepend=0).astype(np.int64)
+    unit = next(u for u in (1, 2, 4) if u == 4 or gaps.mean() < (1 << 8 * u) * 0.7)
+    top = (1 << 8 * unit) - 1
+    over = gaps // top
+    out = np.full(len(gaps) + int(over.sum()), top, np.int64)
+    out[np.arange(len(gaps)) + np.cumsum(over)] = gaps % top
+    return bytes([unit]) + out.astype(f"<u{unit}").tobytes()
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    units = np.frombuffer(packed, f"<u{packed[0]}", offset=1)
+    return np.cumsum(units, dtype=np.int64)[units != (1 << 8 * packed[0]) - 1]
+
+
 def _sets_and_counts(docs: DataFrame, k: int, ranges: int):
-    """One pass over the texts: for each row doc_id, n and the set's digest; for each task and range of hashes the shingles seen with their counts, packed 5 bytes each."""
+    """One pass over the texts: for each row doc_id, n and the set's digest; for each task and range of hashes the shingles seen there, packed."""
     bits = ranges.bit_length() - 1
 
     def rows(batches):
         held, size = [], 0
 
         def counted():
-            values, n = np.unique(np.concatenate(held) >> np.uint64(32 - bits), return_counts=True)
-            low, n = values.astype(np.uint32), np.minimum(n, 255).astype(np.uint8)
-            ends = np.searchsorted(values, np.arange(ranges + 1, dtype=np.uint64) << np.uint64(32))
+            values = np.sort(np.concatenate(held) >> np.uint64(64 - COUNTED_BITS - bits))
+            low = values.astype(np.int64) & ((1 << COUNTED_BITS) - 1)
+            ends = np.searchsorted(values, np.arange(ranges + 1, dtype=np.uint64) << np.uint64(COUNTED_BITS))
             cut = [(r, a, b) for r, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if b > a]
             nothing = [None] * len(cut)
-            return _batch(nothing, nothing, nothing, nothing, [r for r, _, _ in cut], [low[a:b].tobytes() + n[a:b].tobytes() for _, a, b in cut])
+            return _batch(nothing, nothing, nothing, nothing, [r for r, _, _ in cut], [pack(low[a:b]) for _, a, b in cut])
 
         for batch in batches:
             out = []
@@ -91,18 +109,13 @@ def _frequent(packed: DataFrame, bits: int, least: int, most: int) -> np.ndarray
     """Leading bits of the frequent shingles, sorted: those that `least` documents share, or as many more as leave `most` of them."""
 
     def counted(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        values, counts = [], []
+        count = np.zeros(1 << COUNTED_BITS, np.uint32)
         for x in pdf["packed"]:
-            m = len(x) // 5
-            values.append(np.frombuffer(x, np.uint32, m))
-            counts.append(np.frombuffer(x, np.uint8, m, 4 * m))
-        values, counts = np.concatenate(values), np.concatenate(counts)
-        order = np.argsort(values)
-        values = values[order]
-        firsts = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
-        n = np.add.reduceat(counts[order].astype(np.int64), firsts)
-        hot = n >= least
-        return pd.DataFrame({"lead": (values[firsts][hot].astype(np.int64)) | (int(key[0]) << 32), "n": n[hot]})
+            values = unpack(x)
+            firsts = np.flatnonzero(np.diff(values, prepend=-1))
+            count[values[firsts]] += np.diff(firsts, append=len(values)).astype(np.uint32)
+        hot = np.flatnonzero(count >= least)
+        return pd.DataFrame({"lead": hot | (int(key[0]) << COUNTED_BITS), "n": count[hot].astype(np.int64)})
 
     found = stored(packed.filter("packed is not null").select("range", "packed").groupBy("range").applyInPandas(counted, "lead bigint, n bigint"), "frequent")
     by_size = Counter({int(r[0]): r[1] for r in found.groupBy(F.floor(F.log2("n") * 4)).count().collect()})
@@ -120,7 +133,7 @@ def ordered(s: np.ndarray, frequent: np.ndarray, bits: int) -> np.ndarray:
     """The elements of a sorted set in the global order: rare before frequent, then by hash."""
     if not len(frequent):
         return s
-    lead = s >> np.uint64(32 - bits)
+    lead = s >> np.uint64(64 - COUNTED_BITS - bits)
     at = np.minimum(np.searchsorted(frequent, lead), len(frequent) - 1)
     hot = frequent[at] == lead
     return np.concatenate((s[~hot], s[hot]))

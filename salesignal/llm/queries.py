@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesignal.llm.common import table
+from salesignal.llm.common import doc_key_crc, table
+from salesignal.llm.decontaminate import decontamination
 from salesignal.llm.exact_dedup import exact_dedup
 from salesignal.llm.ngram_join import ngram_join
 from salesignal.llm.sharding import shard_documents
+from salesignal.llm.toxicity import in_training, toxicity
+
+
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +26,13 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), in_training(folds=5, held=0))
+    held_out = F.coalesce(doc_key_crc(F.col("doc_id")) % 5 == 0, F.lit(False))
+    score = F.col("toxicity")
+    return scored.select("doc_id", held_out.alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), F.col("toxic_hits").alias("hits"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 

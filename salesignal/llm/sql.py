@@ -14,10 +14,10 @@ WITH RECURSIVE words AS (
   FROM words
 ), grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
 shared AS (
-  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both, any_value(a.n) AS na, any_value(b.n) AS nb
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both, any_value(a.n) AS na, any_value(b.n) AS nb
   FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id AND 10 * least(a.n, b.n) >= 9 * greatest(a.n, b.n)
   GROUP BY ALL
-), links AS (SELECT a, b FROM shared WHERE 100 * both >= 90 * (na + nb - both)),
+), links AS (SELECT a, b FROM shared WHERE 100 * n_both >= 90 * (na + nb - n_both)),
 ends AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM reach r JOIN ends e ON r.b = e.a),
 component AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a),
