@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -25,6 +24,8 @@ COUNTED_BITS = 24
 FREQUENT = 32
 #: Frequent shingles sent to all tasks at most (8 bytes each). Beyond it the least frequent ones count as rare: that changes the order, never the result.
 MOST_FREQUENT = 1 << 18
+#: Bits of the bitmap of shared shingles (8 MB, whatever the corpus), and shingles entered in it at most.
+SHARED_BITS, MOST_SHARED = 26, 1 << 23
 #: Shingles searched in one task at most, on average; groups beyond it are searched as pairs of blocks.
 BLOCK = 2_000_000
 #: DivideSkip's weight of a probe against a merge step, as published.
@@ -105,8 +106,27 @@ def _batch(ids, n, d1, d2, ranges, packed) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "d1", "d2", "range", "packed"])
 
 
-def _frequent(packed: DataFrame, bits: int, least: int, most: int) -> np.ndarray:
-    """Leading bits of the frequent shingles, sorted: those that `least` documents share, or as many more as leave `most` of them."""
+class Order:
+    """A global order of shingles, rare first: those that the bitmap doesn't have, then those it has, then the frequent ones; by hash within each. Any order gives the same result. This one keeps the inverted lists short that have to be merged."""
+
+    def __init__(self, shared: np.ndarray, frequent: np.ndarray, bits: int):
+        self.shared, self.frequent, self.shift = shared, frequent, np.uint64(64 - COUNTED_BITS - bits)
+
+    @staticmethod
+    def place(lead: np.ndarray) -> np.ndarray:
+        return mix(lead.astype(np.uint64)) >> np.uint64(64 - SHARED_BITS)
+
+    def __call__(self, s: np.ndarray) -> np.ndarray:
+        lead = s >> self.shift
+        at = self.place(lead).astype(np.int64)
+        level = (self.shared[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+        if len(self.frequent):
+            level = level + (self.frequent[np.minimum(np.searchsorted(self.frequent, lead), len(self.frequent) - 1)] == lead)
+        return s[np.argsort(level, kind="stable")]
+
+
+def _order(packed: DataFrame, bits: int, least: int, most_frequent: int, most_shared: int) -> Order:
+    """Counts all shingles by their leading bits, a task for each range of hashes, and sends two tables of fixed size: a bitmap of the shared shingles and a list of the frequent ones. Where more than most_* of them would qualify, only those with higher counts do."""
 
     def counted(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         count = np.zeros(1 << COUNTED_BITS, np.uint32)
@@ -114,29 +134,35 @@ def _frequent(packed: DataFrame, bits: int, least: int, most: int) -> np.ndarray
             values = unpack(x)
             firsts = np.flatnonzero(np.diff(values, prepend=-1))
             count[values[firsts]] += np.diff(firsts, append=len(values)).astype(np.uint32)
-        hot = np.flatnonzero(count >= least)
-        return pd.DataFrame({"lead": hot | (int(key[0]) << COUNTED_BITS), "n": count[hot].astype(np.int64)})
-
-    found = stored(packed.filter("packed is not null").select("range", "packed").groupBy("range").applyInPandas(counted, "lead bigint, n bigint"), "frequent")
-    by_size = Counter({int(r[0]): r[1] for r in found.groupBy(F.floor(F.log2("n") * 4)).count().collect()})
-    kept, from_step = 0, 1 << 30
-    for step in sorted(by_size, reverse=True):
-        kept += by_size[step]
-        if kept > most:
-            break
-        from_step = step
-    few = found.filter(F.floor(F.log2("n") * 4) >= from_step).select("lead").toPandas()["lead"]
-    return np.sort(few.to_numpy(np.int64)).astype(np.uint64)
-
-
-def ordered(s: np.ndarray, frequent: np.ndarray, bits: int) -> np.ndarray:
-    """The elements of a sorted set in the global order: rare before frequent, then by hash."""
-    if not len(frequent):
-        return s
-    lead = s >> np.uint64(64 - COUNTED_BITS - bits)
-    at = np.minimum(np.searchsorted(frequent, lead), len(frequent) - 1)
-    hot = frequent[at] == lead
-    return np.concatenate((s[~hot], s[hot]))
+        slots = np.flatnonzero(count >= 2)
+        steps = np.minimum(4 * np.log2(count[slots]), 120).astype(np.uint8)
+        out = pd.DataFrame({"range": [key[0]], "slots": [slots.astype(np.uint32).tobytes()], "steps": [steps.tobytes()]})
+        return out.assign(sizes=[np.bincount(steps, minlength=121).tolist()])
+
+    counts = stored(packed.filter("packed is not null").select("range", "packed").groupBy("range").applyInPandas(counted, "range int, slots binary, steps binary, sizes array<bigint>"), "counts")
+    sizes = {r[0]: r[1] for r in counts.select(F.posexplode("sizes").alias("step", "n")).groupBy("step").agg(F.sum("n")).collect()}
+
+    def first_step(least: float, most: int) -> int:
+        step = 121
+        while step > least and sum(n for k, n in sizes.items() if k >= step - 1) <= most:
+            step -= 1
+        return step
+
+    shared_from, frequent_from = first_step(4, most_shared), first_step(int(4 * math.log2(least)), most_frequent)
+
+    def chosen(batches):
+        for pdf in batches:
+            for r, slots, steps in zip(pdf["range"], pdf["slots"], pdf["steps"], strict=True):
+                slots, steps = np.frombuffer(slots, np.uint32), np.frombuffer(steps, np.uint8)
+                lead = slots.astype(np.int64) | (int(r) << COUNTED_BITS)
+                places = Order.place(lead[steps >= shared_from]).astype(np.uint32)
+                yield pd.DataFrame({"places": [places.tobytes()], "frequent": [lead[steps >= frequent_from].tobytes()]})
+
+    shared, frequent = np.zeros(1 << SHARED_BITS, bool), [np.zeros(0, np.int64)]
+    for r in counts.select("range", "slots", "steps").mapInPandas(chosen, "places binary, frequent binary").toLocalIterator():
+        shared[np.frombuffer(bytes(r["places"]), np.uint32)] = True
+        frequent.append(np.frombuffer(bytes(r["frequent"]), np.int64))
+    return Order(np.packbits(shared, bitorder="little"), np.sort(np.concatenate(frequent)).astype(np.uint64), bits)
 
 
 def divide_skip(sets: list[np.ndarray], num: int, den: int, side: np.ndarray | None = None):
@@ -239,7 +265,7 @@ def _search(num: int, den: int):
     return search
 
 
-def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text", frequent: int = FREQUENT, block: int = BLOCK, most_frequent: int = MOST_FREQUENT) -> DataFrame:
+def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text", frequent: int = FREQUENT, block: int = BLOCK, most_frequent: int = MOST_FREQUENT, most_shared: int = MOST_SHARED) -> DataFrame:
     """A row for each row of docs: doc_id, n_shingles, class_id, component_id, n_links.
 
     Words are the runs between the six ASCII spaces after lower-casing A-Z; a set holds the distinct shingles of k words, with fewer words the whole sequence as one. Sets link when intersection / union is num / den or more. class_id: the smallest doc_id with the same set; component_id: the smallest reachable by links; n_links: other distinct sets linked with this one. Nothing is approximate: classes are grouped by 128-bit digests, and all links between classes are found.
@@ -253,7 +279,7 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_i
     ranges = 1 << min(20, max(4, (docs.count() // 4000).bit_length()))
     bits = ranges.bit_length() - 1
     passed = stored(_sets_and_counts(plain, k, ranges), "sets")
-    hot = spark.sparkContext.broadcast(_frequent(passed, bits, frequent, most_frequent))
+    order = spark.sparkContext.broadcast(_order(passed, bits, frequent, most_frequent, most_shared))
     rows = passed.filter("packed is null").select("doc_id", "n", "d1", "d2")
     classes = stored(rows.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("class_id")), "classes")
 
@@ -272,7 +298,7 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_i
                 if len(seen) > 200_000:
                     seen.clear()
                 p = prefix_length(n, num, den)
-                values.append(ordered(s, hot.value, bits)[:p].astype(np.int64))
+                values.append(order.value(s)[:p].astype(np.int64))
                 keys.append(np.full(len(values[-1]), own[0], np.int64))
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values)), pa.array(np.concatenate(keys))], names=["shingle", "d1"])

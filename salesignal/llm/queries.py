@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from salesignal.llm.common import doc_key_crc, table
 from salesignal.llm.decontaminate import decontamination
 from salesignal.llm.exact_dedup import exact_dedup
+from salesignal.llm.language import language_id
+from salesignal.llm.mixing import DOMAINS, mixed_rates
 from salesignal.llm.ngram_join import ngram_join
 from salesignal.llm.sharding import shard_documents
 from salesignal.llm.toxicity import in_training, toxicity
+from salesignal.llm.warc import archived_pages
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +29,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived_pages(table(spark, sf_dir, "pages"), least_bytes=0)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), in_training(folds=5, held=0))
     held_out = F.coalesce(doc_key_crc(F.col("doc_id")) % 5 == 0, F.lit(False))
@@ -33,6 +40,18 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), F.col("toxic_hits").alias("hits"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(doc_key_crc(F.col("doc_id")) % 4 == 2, F.lit(False))
+    found = language_id(docs, doc_key_crc(F.col("doc_id")) % 4 != 2)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rates = mixed_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rates.select("doc_id", "tokens", "domain", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)], "rate")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 

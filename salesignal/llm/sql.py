@@ -6,11 +6,11 @@ LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefgh
 
 OP2 = rf"""
 WITH RECURSIVE words AS (
-  SELECT doc_id, list_filter(string_split_regex({LOWERED}, '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents
+  SELECT doc_id, list_filter(string_split_regex({LOWERED}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
 ), sets AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN []
     WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
   FROM words
 ), grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
 shared AS (
@@ -31,6 +31,19 @@ SELECT c.doc_id, CAST(c.n AS BIGINT) AS n_shingles, m.component_id, c.class_id,
 FROM classes c JOIN component m USING (doc_id) LEFT JOIN partners p ON p.class_id = c.class_id
 """
 
+OP4 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha1(body) AS h FROM p),
+b AS (
+  SELECT page_id, payload_bytes, h, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(
+    ((('0x' || substr(h || '0', 1 + 5 * i // 4, 2))::INTEGER >> (3 - (5 * i) % 4)) & 31) AS INTEGER) + 1, 1)), '') AS payload_digest FROM d
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id = max(page_id) OVER same THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = max(page_id) OVER same THEN NULL ELSE max(page_id) OVER same END AS refers_to
+FROM b WINDOW same AS (PARTITION BY h)
+"""
+
 OP10 = f"""
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
   doc_id = max(doc_id) OVER same AS kept, sha256({LOWERED}) AS text_sha256
@@ -39,4 +52,4 @@ FROM documents WINDOW same AS (PARTITION BY {LOWERED})
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard_join": OP2, "op10_exact_dedup": OP10}
+    return {"op2_ngram_jaccard_join": OP2, "op4_warc": OP4, "op10_exact_dedup": OP10}
