@@ -13,10 +13,16 @@ from pyspark.sql import functions as F
 DICTIONARY, DOCS = 1 << 17, 400
 #: Languages at most: those with the most training documents.
 MOST_LANGUAGES = 200
-LEVEL = 3
+LEVEL = 6
 #: Smallest lead over the second language, as a share of the smallest size, that is not rejected.
 MARGIN = 0.01
 LETTER = re.compile(r"[^\W\d_]")
+NO_LETTERS = re.compile(r"[\W\d_]+")
+
+
+def prepared(text: str) -> bytes:
+    """Lower case, with one space for each run of anything but letters: signs and digits say nothing about the language."""
+    return NO_LETTERS.sub(" ", text.lower()).encode("utf-8", "replace")
 
 
 def learn_dictionaries(rows: DataFrame, per_language: int = DOCS, size: int = DICTIONARY) -> dict[str, bytes]:
@@ -36,7 +42,7 @@ def learn_dictionaries(rows: DataFrame, per_language: int = DOCS, size: int = DI
             t = r["text"]
             if r["lang"] == lang and t not in seen and held < size:
                 seen.add(t)
-                parts.append(t.lower().encode())
+                parts.append(prepared(t))
                 held += len(parts[-1]) + 1
         if parts:
             out[lang] = b"\n".join(parts)[:size]
@@ -58,7 +64,7 @@ class Compressors:
         """(language or und, score, rejected)."""
         if not text or not self.langs or not LETTER.search(text):
             return "und", 0.0, True
-        raw = text.lower().encode("utf-8", "replace")
+        raw = prepared(text)
         sizes = sorted((len(c.compress(raw)), i) for i, c in enumerate(self.each))
         best = sizes[0][0]
         lead = sizes[1][0] - best if len(sizes) > 1 else best

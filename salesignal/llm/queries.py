@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salesignal.llm.common import doc_key_crc, table
 from salesignal.llm.decontaminate import decontamination
 from salesignal.llm.exact_dedup import exact_dedup
 from salesignal.llm.language import language_id
+from salesignal.llm.line_dedup import line_dedup
 from salesignal.llm.mixing import DOMAINS, mixed_rates
 from salesignal.llm.ngram_join import ngram_join
+from salesignal.llm.secrets import KINDS, joined, secret_scan
 from salesignal.llm.sharding import shard_documents
 from salesignal.llm.toxicity import in_training, toxicity
 from salesignal.llm.warc import archived_pages
@@ -40,6 +42,16 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), F.col("toxic_hits").alias("hits"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan(table(spark, sf_dir, "documents"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in KINDS[:3]]
+    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.concat("base", "random")).alias("spans"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(doc_key_crc(F.col("doc_id")) % 4 == 2, F.lit(False))
@@ -47,6 +59,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = line_dedup(table(spark, sf_dir, "documents"))
+    return clean.select("doc_id", "n_lines", "n_chunks", "removed_chunks", "removed_lines", F.octet_length("text").cast("long").alias("clean_bytes"), F.sha2(F.col("text"), 256).alias("clean_sha256"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rates = mixed_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return rates.select("doc_id", "tokens", "domain", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)], "rate")
