@@ -17,15 +17,17 @@ from salesignal.llm.components import connected_components
 from salesignal.llm.tokens import mix, shingles_of, utf8
 
 #: Shingles counted in a task before its counts are handed on.
-FLUSH = 2_000_000
+FLUSH = 3_000_000
 #: Bits by which shingles of one range of hashes are told apart when they are counted. Chance meetings only disturb the order, never the result.
-COUNTED_BITS = 24
+COUNTED_BITS = 22
 #: A shingle of so many documents, at least, is ordered after the rarer ones.
 FREQUENT = 32
 #: Frequent shingles sent to all tasks at most (8 bytes each). Beyond it the least frequent ones count as rare: that changes the order, never the result.
 MOST_FREQUENT = 1 << 18
 #: Bits of the bitmap of shared shingles (8 MB, whatever the corpus), and shingles entered in it at most.
 SHARED_BITS, MOST_SHARED = 26, 1 << 23
+#: Rows of 48 bytes that are sent to all tasks at most.
+LISTED = 200_000
 #: Shingles searched in one task at most, on average; groups beyond it are searched as pairs of blocks.
 BLOCK = 2_000_000
 #: DivideSkip's weight of a probe against a merge step, as published.
@@ -55,7 +57,7 @@ def _binary(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def pack(values: np.ndarray) -> bytes:
     """Sorted whole numbers, repeats included, as gaps in units of 1, 2 or 4 bytes; the largest unit means: add it and read on. The first byte is the unit's size."""
     gaps = np.diff(values, prepend=0).astype(np.int64)
-    unit = next(u for u in (1, 2, 4) if u == 4 or gaps.mean() < (1 << 8 * u) * 0.7)
+    unit = next(u for u in (1, 2, 4) if u == 4 or gaps.mean() < (1 << 8 * u) * 0.8)
     top = (1 << 8 * unit) - 1
     over = gaps // top
     out = np.full(len(gaps) + int(over.sum()), top, np.int64)
@@ -109,20 +111,23 @@ def _batch(ids, n, d1, d2, ranges, packed) -> pa.RecordBatch:
 class Order:
     """A global order of shingles, rare first: those that the bitmap doesn't have, then those it has, then the frequent ones; by hash within each. Any order gives the same result. This one keeps the inverted lists short that have to be merged."""
 
-    def __init__(self, shared: np.ndarray, frequent: np.ndarray, bits: int):
-        self.shared, self.frequent, self.shift = shared, frequent, np.uint64(64 - COUNTED_BITS - bits)
+    def __init__(self, shared: np.ndarray, frequent: np.ndarray, bits: int, complete: bool):
+        """complete: the bitmap has every shingle that was counted twice or more, so what it lacks is in one row only."""
+        self.shared, self.frequent, self.shift, self.complete = shared, frequent, np.uint64(64 - COUNTED_BITS - bits), complete
 
     @staticmethod
     def place(lead: np.ndarray) -> np.ndarray:
         return mix(lead.astype(np.uint64)) >> np.uint64(64 - SHARED_BITS)
 
-    def __call__(self, s: np.ndarray) -> np.ndarray:
+    def rarest(self, s: np.ndarray, n: int) -> np.ndarray:
+        """The first n elements of a set, without those that no other row can have."""
         lead = s >> self.shift
         at = self.place(lead).astype(np.int64)
         level = (self.shared[at >> 3] >> (at & 7).astype(np.uint8)) & 1
         if len(self.frequent):
             level = level + (self.frequent[np.minimum(np.searchsorted(self.frequent, lead), len(self.frequent) - 1)] == lead)
-        return s[np.argsort(level, kind="stable")]
+        first = np.argsort(level, kind="stable")[:n]
+        return s[first[level[first] > 0]] if self.complete else s[first]
 
 
 def _order(packed: DataFrame, bits: int, least: int, most_frequent: int, most_shared: int) -> Order:
@@ -162,7 +167,7 @@ def _order(packed: DataFrame, bits: int, least: int, most_frequent: int, most_sh
     for r in counts.select("range", "slots", "steps").mapInPandas(chosen, "places binary, frequent binary").toLocalIterator():
         shared[np.frombuffer(bytes(r["places"]), np.uint32)] = True
         frequent.append(np.frombuffer(bytes(r["frequent"]), np.int64))
-    return Order(np.packbits(shared, bitorder="little"), np.sort(np.concatenate(frequent)).astype(np.uint64), bits)
+    return Order(np.packbits(shared, bitorder="little"), np.sort(np.concatenate(frequent)).astype(np.uint64), bits, shared_from <= 4)
 
 
 def divide_skip(sets: list[np.ndarray], num: int, den: int, side: np.ndarray | None = None):
@@ -298,7 +303,7 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_i
                 if len(seen) > 200_000:
                     seen.clear()
                 p = prefix_length(n, num, den)
-                values.append(order.value(s)[:p].astype(np.int64))
+                values.append(order.value.rarest(s, p).astype(np.int64))
                 keys.append(np.full(len(values[-1]), own[0], np.int64))
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values)), pa.array(np.concatenate(keys))], names=["shingle", "d1"])
@@ -326,8 +331,9 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_i
             out = batch.select(["doc_id", "grp", "bi", "bj", "block", "split"]).take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([*out.columns, pa.array(blobs, pa.binary())], names=[*out.schema.names, "packed"])
 
-    # copies of a row (same doc_id and text) come once
-    shipped = plain.join(cut, plain["doc_id"] == cut["class_id"]).select("doc_id", "text", "d1", "grp", "bi", "bj", "block", "split")
+    # few members: their list, of a checked length, goes to the texts; many: both are dealt by doc_id
+    cut = stored(cut, "cut")
+    shipped = plain.join(F.broadcast(cut) if cut.count() <= LISTED else cut, plain["doc_id"] == cut["class_id"]).select("doc_id", "text", "d1", "grp", "bi", "bj", "block", "split")
     sets = shipped.mapInArrow(packed, "doc_id bigint, grp bigint, bi int, bj int, block int, split boolean, packed binary")
     found = stored(sets.groupBy("grp", "bi", "bj", "split").applyInPandas(_search(num, den), T.StructType([T.StructField(c, T.LongType()) for c in ("a", "b", "links")])), "links")
     joined = connected_components(found, "a", "b")
