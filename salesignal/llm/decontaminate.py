@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salesignal.llm.common import BROADCAST_BYTES, size_within, stored
-from salesignal.llm.tokens import BASE, chunks, mix, words_of
+from salesignal.llm.tokens import BASE, mix, text_parts, words_of
 
 #: Shortest tile, in tokens.
 LEAST_TILE = 4
@@ -156,9 +156,8 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, share: float = LEAST_
     def tiled(batches):
         known = Items(held.value, least)
         for batch in batches:
-            texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(1)]
             row, item, share_of = [], [], []
-            for first, part in chunks(texts):
+            for first, part in text_parts(batch.column(1), lower=False):
                 for d, x, c in known.found_in(*tokens_of(part), share):
                     row.append(first + d)
                     item.append(known.ids[x])

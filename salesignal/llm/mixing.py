@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salesignal.llm.common import stored
-from salesignal.llm.tokens import chunks, utf8, words_of
+from salesignal.llm.tokens import text_parts, words_of
 
 #: Labelled documents that the classifier is fitted on at most: those with the smallest hash of doc_id.
 MOST_TRAINED = 20_000
@@ -24,9 +24,9 @@ def domain_of(quality: Column, toxic: Column) -> Column:
     return F.when(toxic == 1, 2).when(quality == 0, 1).when(quality == 1, 0)
 
 
-def _features(texts: list[bytes]):
-    """For runs of texts: index of the first, buckets of all features, the offset of each text's first feature, words of each text. A word is two features: itself, and its last two bytes."""
-    for first, part in chunks(texts):
+def _features(column):
+    """For runs of an Arrow column's texts: index of the first, buckets of all features, the offset of each text's first feature, words of each text. A word is two features: itself, and its last two bytes."""
+    for first, part in text_parts(column):
         words, at = words_of(part)
         raw = np.frombuffer(b"\n".join(part) + b"\n", np.uint8)
         gap = (raw == 32) | ((raw >= 9) & (raw <= 13))
@@ -45,7 +45,7 @@ def fit_domains(rows: DataFrame, k: int = len(DOMAINS)) -> tuple[np.ndarray, np.
         count, docs = np.zeros((k, 2 * BUCKETS), np.float64), np.zeros(k)
         for batch in batches:
             domains = np.array(batch.column("domain").to_pylist(), np.int64)
-            for first, features, at, _ in _features(utf8(batch.column("text"))):
+            for first, features, at, _ in _features(batch.column("text")):
                 own = np.repeat(domains[first : first + len(at) - 1], np.diff(at))
                 count += np.bincount(own * (2 * BUCKETS) + features, minlength=k * 2 * BUCKETS).reshape(k, -1)
             docs += np.bincount(domains, minlength=k)
@@ -76,7 +76,7 @@ def domain_posteriors(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id"
         by_feature, log_prior = model.value
         for batch in batches:
             tokens, posterior = [], []
-            for _, features, at, words in _features(utf8(batch.column(1))):
+            for _, features, at, words in _features(batch.column(1)):
                 sums = np.concatenate((np.zeros((1, len(log_prior))), np.cumsum(by_feature[features], axis=0, dtype=np.float64)))
                 n = np.diff(at)
                 mean = (sums[at[1:]] - sums[at[:-1]]) / np.maximum(n, 1)[:, None]

@@ -14,18 +14,18 @@ from pyspark.sql import types as T
 
 from salesignal.llm.common import stored
 from salesignal.llm.components import connected_components
-from salesignal.llm.tokens import mix, shingles_of, utf8
+from salesignal.llm.tokens import mix, shingles_of, text_parts
 
 #: Shingles counted in a task before its counts are handed on.
-FLUSH = 3_000_000
+FLUSH = 2_000_000
 #: Bits by which shingles of one range of hashes are told apart when they are counted. Chance meetings only disturb the order, never the result.
-COUNTED_BITS = 22
+COUNTED_BITS = 21
 #: A shingle of so many documents, at least, is ordered after the rarer ones.
 FREQUENT = 32
 #: Frequent shingles sent to all tasks at most (8 bytes each). Beyond it the least frequent ones count as rare: that changes the order, never the result.
 MOST_FREQUENT = 1 << 18
-#: Bits of the bitmap of shared shingles (8 MB, whatever the corpus), and shingles entered in it at most.
-SHARED_BITS, MOST_SHARED = 26, 1 << 23
+#: Bits of the bitmap of shared shingles (16 MB, whatever the corpus), and shingles entered in it at most.
+SHARED_BITS, MOST_SHARED = 27, 1 << 25
 #: Rows of 48 bytes that are sent to all tasks at most.
 LISTED = 200_000
 #: Shingles searched in one task at most, on average; groups beyond it are searched as pairs of blocks.
@@ -87,7 +87,7 @@ def _sets_and_counts(docs: DataFrame, k: int, ranges: int):
 
         for batch in batches:
             out = []
-            for s in shingles_of(utf8(batch.column(1)), k):
+            for s in shingles_of((part for _, part in text_parts(batch.column(1))), k):
                 out.append((len(s), *digests_of(s)))
                 held.append(s)
                 size += len(s)
@@ -163,11 +163,12 @@ def _order(packed: DataFrame, bits: int, least: int, most_frequent: int, most_sh
                 places = Order.place(lead[steps >= shared_from]).astype(np.uint32)
                 yield pd.DataFrame({"places": [places.tobytes()], "frequent": [lead[steps >= frequent_from].tobytes()]})
 
-    shared, frequent = np.zeros(1 << SHARED_BITS, bool), [np.zeros(0, np.int64)]
+    shared, frequent = np.zeros(1 << SHARED_BITS - 3, np.uint8), [np.zeros(0, np.int64)]
     for r in counts.select("range", "slots", "steps").mapInPandas(chosen, "places binary, frequent binary").toLocalIterator():
-        shared[np.frombuffer(bytes(r["places"]), np.uint32)] = True
+        places = np.frombuffer(bytes(r["places"]), np.uint32)
+        np.bitwise_or.at(shared, places >> np.uint32(3), np.uint8(1) << (places & np.uint32(7)).astype(np.uint8))
         frequent.append(np.frombuffer(bytes(r["frequent"]), np.int64))
-    return Order(np.packbits(shared, bitorder="little"), np.sort(np.concatenate(frequent)).astype(np.uint64), bits, shared_from <= 4)
+    return Order(shared, np.sort(np.concatenate(frequent)).astype(np.uint64), bits, shared_from <= 4)
 
 
 def divide_skip(sets: list[np.ndarray], num: int, den: int, side: np.ndarray | None = None):
@@ -292,7 +293,7 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_i
         seen = set()  # of this task: copies post once
         for batch in batches:
             keys, values = [], []
-            for s in shingles_of(utf8(batch.column(1)), k):
+            for s in shingles_of((part for _, part in text_parts(batch.column(1))), k):
                 n = len(s)
                 if n * den < num * (n + 1):  # so small that only equal sets link
                     continue
@@ -323,13 +324,12 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_i
 
     def packed(batches):
         for batch in batches:
-            keep, blobs = [], []
-            for i, (s, d1) in enumerate(zip(shingles_of(utf8(batch.column("text")), k), batch.column("d1").to_pylist(), strict=True)):
-                if len(s) and digests_of(s)[0] == d1:
-                    keep.append(i)
-                    blobs.append(s.tobytes())
-            out = batch.select(["doc_id", "grp", "bi", "bj", "block", "split"]).take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(blobs, pa.binary())], names=[*out.schema.names, "packed"])
+            digests = batch.column("d1").to_pylist()
+            for first, part in text_parts(batch.column("text")):
+                sets = list(shingles_of([part], k))
+                keep = [i for i, s in enumerate(sets) if len(s) and digests_of(s)[0] == digests[first + i]]
+                out = batch.select(["doc_id", "grp", "bi", "bj", "block", "split"]).take(pa.array([first + i for i in keep], pa.int64()))
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array([sets[i].tobytes() for i in keep], pa.binary())], names=[*out.schema.names, "packed"])
 
     # few members: their list, of a checked length, goes to the texts; many: both are dealt by doc_id
     cut = stored(cut, "cut")

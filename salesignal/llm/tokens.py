@@ -5,7 +5,7 @@ Two different words or shingles share a hash with odds of 2**-64. Only shingles
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -36,18 +36,6 @@ def _power(kind: str, base: np.uint64, n: int) -> np.ndarray:
     return _powers[kind][:n]
 
 
-def chunks(texts: list[bytes], size: int = CHUNK) -> Iterator[tuple[int, list[bytes]]]:
-    """(index of the first, texts) in runs of about size bytes."""
-    first, held = 0, 0
-    for i, t in enumerate(texts):
-        if held and held + len(t) > size:
-            yield first, texts[first:i]
-            first, held = i, 0
-        held += len(t) + 1
-    if first < len(texts):
-        yield first, texts[first:]
-
-
 def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words (maximal runs without the six ASCII spaces) of texts, one after another, and the offset of each text's first word, with an end."""
     joined = b"\n".join(texts) + b"\n"
@@ -62,10 +50,10 @@ def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(starts, firsts)
 
 
-def shingles_of(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
-    """For each text its distinct shingles of k words, sorted. Fewer words: the whole sequence as one; none: empty."""
+def shingles_of(parts: Iterable[list[bytes]], k: int) -> Iterator[np.ndarray]:
+    """For each text of parts (runs of lower-cased texts) its distinct shingles of k words, sorted. Fewer words: the whole sequence as one; none: empty."""
     odd = mix(np.arange(101, 101 + k, dtype=np.uint64)) | np.uint64(1)
-    for _, part in chunks(texts):
+    for part in parts:
         words, at = words_of(part)
         n = max(0, len(words) - k + 1)
         grams = np.zeros(n, np.uint64)
@@ -82,6 +70,15 @@ def shingles_of(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
-def utf8(column, lower: bool = True) -> list[bytes]:
-    """The UTF-8 bytes of an Arrow column of binary texts, A-Z lower-cased; null gives no bytes."""
-    return [(t.as_buffer().to_pybytes().lower() if lower else t.as_buffer().to_pybytes()) if t.is_valid else b"" for t in column]
+def text_parts(column, size: int = CHUNK, lower: bool = True) -> Iterator[tuple[int, list[bytes]]]:
+    """(index of the first, texts) of an Arrow column of binary texts in runs of about size bytes, A-Z lower-cased; null gives no bytes. Only one run is copied out of the batch at a time."""
+    first, held, part = 0, 0, []
+    for i, t in enumerate(column):
+        raw = t.as_buffer().to_pybytes() if t.is_valid else b""
+        if part and held + len(raw) > size:
+            yield first, part
+            first, held, part = i, 0, []
+        part.append(raw.lower() if lower else raw)
+        held += len(raw) + 1
+    if part:
+        yield first, part
