@@ -76,7 +76,7 @@ def mixed_number(token: Column) -> Column:
 
 def parse_dimensions(text: Column) -> Column:
     """struct(width, height, area) in inches: the first size given in inches, else the first size, centimetres converted; null unless both sides are 0.5 to 600."""
-    around = rf"(?is)(.{{0,4}}){SIZE[4:]}(.{{0,12}})"
+    around = rf"(?is)(.{{0,4}}?){SIZE[4:]}(?=(.{{0,12}}))"
     t = text_or_empty(text)
     sizes = F.transform(
         F.arrays_zip(*[F.regexp_extract_all(t, F.lit(around), F.lit(i)).alias(f"g{i}") for i in (1, 2, 3, 4)]),
