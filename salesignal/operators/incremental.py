@@ -45,7 +45,7 @@ def pending_step(first: float | None, held: int, count: int, now: float, fewest:
     if first is None:
         return (now, count, False) if count < fewest else (None, count, True)
     if now - first > days * 86400:
-        return None, count, False
+        return None, held, False
     if count >= fewest and count >= held + growth:
         return None, count, True
     return first, count, False

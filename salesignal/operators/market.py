@@ -24,7 +24,8 @@ def trend(year: Column, price: Column) -> Column:
     """Aggregate: yearly growth by a log-linear fit, from -0.30 to 0.30; null with fewer than six points or a single year."""
     able = year.isNotNull() & (price > 0)
     slope = F.regr_slope(F.when(able, F.ln(price)), F.when(able, year.cast("double")))
-    return F.when(F.count_if(able) >= FEWEST_POINTS, F.greatest(F.lit(-MOST_TREND), F.least(F.lit(MOST_TREND), F.exp(slope) - 1)))
+    spread = F.max(F.when(able, year)) > F.min(F.when(able, year))
+    return F.when((F.count_if(able) >= FEWEST_POINTS) & spread, F.greatest(F.lit(-MOST_TREND), F.least(F.lit(MOST_TREND), F.exp(slope) - 1)))
 
 
 def size_weight(subject: Column, comp: Column) -> Column:

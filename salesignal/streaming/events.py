@@ -37,8 +37,8 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "6 hours")
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("s"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
 
 
-def pending_sales(polls: DataFrame) -> DataFrame:
-    """Sales that have grown enough: state for each id is when it was first seen and the pictures held. polls: id, pictures, ts."""
+def pending_sales(polls: DataFrame, late: str = "1 day") -> DataFrame:
+    """Sales that have grown enough: state for each id is when it was first seen and the pictures held, dropped once the watermark is 14 days past that. polls: id, pictures, ts."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         first, held = state.get if state.exists else (None, 0)
@@ -56,11 +56,11 @@ def pending_sales(polls: DataFrame) -> DataFrame:
                 state.remove()
         else:
             state.update((first, held))
-            state.setTimeoutDuration(14 * 86_400_000)
+            state.setTimeoutTimestamp(max(int((first + 14 * 86_400) * 1000), state.getCurrentWatermarkMs() + 1))
         if out:
             yield pd.DataFrame(out, columns=["id", "pictures", "ts"])
 
-    return polls.groupBy("id").applyInPandasWithState(step, "id bigint, pictures bigint, ts timestamp", "first double, held bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return polls.withWatermark("ts", late).groupBy("id").applyInPandasWithState(step, "id bigint, pictures bigint, ts timestamp", "first double, held bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_available(df: DataFrame, checkpoint: str, write, mode: str = "append") -> None:
