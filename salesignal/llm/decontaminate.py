@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salesignal.llm.common import BROADCAST_BYTES, size_within, stored
-from salesignal.llm.tokens import BASE, mix, text_parts, words_of
+from salesignal.llm.tokens import BASE, INVERSE, mix, text_parts, words_of
 
 #: Shortest tile, in tokens.
 LEAST_TILE = 4
@@ -37,13 +37,12 @@ def _grams(words: np.ndarray, k: int) -> np.ndarray:
 
 
 def _rolling(x: np.ndarray, s: int) -> np.ndarray:
-    """Karp-Rabin hashes of all runs of s tokens."""
+    """Karp-Rabin hashes of all runs of s tokens; equal runs have equal hashes wherever they stand."""
+    up, down = np.full(len(x), BASE, np.uint64), np.full(len(x), INVERSE, np.uint64)
+    up[0] = down[0] = 1
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(x * np.cumprod(up, dtype=np.uint64), dtype=np.uint64)))
     n = len(x) - s + 1
-    power = np.full(len(x) + 1, BASE, np.uint64)
-    power[0] = 1
-    power = np.cumprod(power, dtype=np.uint64)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(x * power[: len(x)], dtype=np.uint64)))
-    return (sums[s:] - sums[:n]) * power[len(x) - s - np.arange(n)]
+    return (sums[s:] - sums[:n]) * np.cumprod(down, dtype=np.uint64)[:n]
 
 
 def tiling(item: np.ndarray, doc: np.ndarray, least: int = LEAST_TILE) -> list[tuple[int, int, int]]:
@@ -53,16 +52,16 @@ def tiling(item: np.ndarray, doc: np.ndarray, least: int = LEAST_TILE) -> list[t
     s = max(least, min(len(item), len(doc)) // 2)
     while min(len(item), len(doc)) >= s >= least:
         found = _matches(item, doc, in_item, in_doc, s)
-        if found and found[0][0] > 2 * s:
+        if not found:
+            s = s // 2 if s > 2 * least else least if s > least else 0
+        elif found[0][0] > 2 * s:
             s = found[0][0]
-            continue
-        for n, i, j in found:
-            if not (in_item[i : i + n].any() or in_doc[j : j + n].any()):
-                in_item[i : i + n] = in_doc[j : j + n] = True
-                tiles.append((n, i, j))
-        if found and any(not in_item[i : i + s].any() and not in_doc[j : j + s].any() for n, i, j in found):
-            continue  # what an earlier tile cut short may still hold a run of s
-        s = s // 2 if s > 2 * least else least if s > least else 0
+        else:
+            # the longest is always marked; what it cuts short is looked at again with the same s
+            for n, i, j in found:
+                if not (in_item[i : i + n].any() or in_doc[j : j + n].any()):
+                    in_item[i : i + n] = in_doc[j : j + n] = True
+                    tiles.append((n, i, j))
     return tiles
 
 

@@ -16,6 +16,8 @@ from salesignal.llm.tokens import text_parts, words_of
 #: Labelled documents that the classifier is fitted on at most: those with the smallest hash of doc_id.
 MOST_TRAINED = 20_000
 BUCKETS = 1 << 16
+#: Shares of the largest budget that are tried in turn when it cannot be met.
+BUDGETS = (0.8, 0.6, 0.4, 0.2, 0.1)
 DOMAINS = ("high", "low", "toxic")
 
 
@@ -103,7 +105,7 @@ def fit_rates(rows: DataFrame, targets: Sequence[float], budget: float | None =
 
     rows: tokens and p, stored. Minimises the squared distance, whitened by the domains' own second moments, of the expected totals sum(rate * tokens * p) from targets * budget, over rates from 0 to most. Projected gradient: a step moves every rate by its tokens times the product of p with the residuals, and clips it. A row's rate follows from the k residuals of each step alone, so a step is one aggregate of k sums and nothing of a row is kept or sent. With whitening the step length 1 is the inverse of the Lipschitz constant for any number of documents.
 
-    budget: tokens to come out. Not given: with anchor, what makes that domain's own expected total exactly its share; else the largest that every domain can fill at rate 1.
+    budget: tokens to come out. Not given: with anchor, what makes that domain's own expected total exactly its share; else the largest that every domain could fill at rate 1, or, where soft members of several domains rule that out, the largest of BUDGETS of it that can be met.
     """
     k = len(targets)
     w = np.array(targets, float)
@@ -115,30 +117,39 @@ def fit_rates(rows: DataFrame, targets: Sequence[float], budget: float | None =
     supply = np.array([sums[f"s{i}"] or 0.0 for i in range(k)])
     if supply.sum() <= 0:
         return rows.withColumn("rate", F.lit(1.0)), [0.0] * k
+    fixed = budget is not None or anchor is not None
     if budget is None:
         able = [supply[i] / w[i] for i in range(k) if w[i] > 0]
         budget = supply[anchor] / w[anchor] if anchor is not None and w[anchor] > 0 else min(able)
     moments = np.array([[sums[f"m{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], float)
     white = np.linalg.pinv(moments + 1e-9 * np.trace(moments) * np.eye(k))
-    history: list[list[float]] = []
+    start = min(1.0, most)
 
-    def rate() -> Column:
+    def rate(history: list[list[float]]) -> Column:
         if not history:
-            return F.lit(1.0) * min(1.0, most)
+            return F.lit(start)
         steps = F.array(*[F.array(*[F.lit(float(x)) for x in g]) for g in history])
-        return F.aggregate(steps, F.lit(min(1.0, most)), lambda r, g: F.greatest(F.lit(0.0), F.least(F.lit(float(most)), r - t * _dot(p, g, k))))
-
-    residual = supply * min(1.0, most) - w * budget
-    for _ in range(rounds):
-        if np.abs(residual).max() <= close * budget:
+        return F.aggregate(steps, F.lit(start), lambda r, g: F.greatest(F.lit(0.0), F.least(F.lit(float(most)), r - t * _dot(p, g, k))))
+
+    def descend(budget: float) -> tuple[list[list[float]], np.ndarray]:
+        history: list[list[float]] = []
+        residual = supply * start - w * budget
+        for _ in range(rounds):
+            if np.abs(residual).max() <= close * budget:
+                break
+            history.append((white @ residual).tolist())
+            got = rows.select((rate(history) * t).alias("x"), "p").agg(*[F.sum(F.col("x") * p[i]).alias(f"s{i}") for i in range(k)]).first()
+            before, residual = residual, np.array([got[i] or 0.0 for i in range(k)]) - w * budget
+            if np.abs(before - residual).max() <= 1e-2 * close * budget:
+                break  # the nearest point: this budget cannot be met with rates in the bounds
+        return history, residual / budget
+
+    history, residual = descend(budget)
+    for share in () if fixed else BUDGETS:
+        if np.abs(residual).max() <= 10 * close:
             break
-        history.append((white @ residual).tolist())
-        r = rate()
-        got = rows.select((r * t).alias("x"), "p").agg(*[F.sum(F.col("x") * p[i]).alias(f"s{i}") for i in range(k)]).first()
-        before, residual = residual, np.array([got[i] or 0.0 for i in range(k)]) - w * budget
-        if np.abs(before - residual).max() <= 1e-3 * close * budget:
-            break  # the nearest point: these targets cannot be met with rates in the bounds
-    return rows.withColumn("rate", rate()), (residual / budget).tolist()
+        history, residual = descend(budget * share)
+    return rows.withColumn("rate", rate(history)), residual.tolist()
 
 
 def mixed_rates(docs: DataFrame, labels: DataFrame, targets: Sequence[float] = (0.85, 0.13, 0.02), doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
