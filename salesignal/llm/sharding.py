@@ -21,7 +21,8 @@ def _next_key(key: Column) -> Column:
     a2 = F.shiftrightunsigned(key, 42)
     r0 = a0 * C0 + 1
     r1 = a0 * C1 + a1 * C0 + F.shiftright(r0, 21)
-    r2 = a0 * C2 + a1 * C1 + a2 * C0 + F.shiftright(r1, 21)
+    top = F.shiftleft((a1 * C2 + a2 * C1).bitwiseAND(F.lit(1).cast("long")), 21)  # of the products at 2**63 only the last bit counts
+    r2 = a0 * C2 + a1 * C1 + a2 * C0 + F.shiftright(r1, 21) + top
     low = r0.bitwiseAND(F.lit(LOW))
     mid = F.shiftleft(r1.bitwiseAND(F.lit(LOW)), 21)
     return low.bitwiseOR(mid).bitwiseOR(F.shiftleft(r2.bitwiseAND(F.lit(HIGH)), 42))
