@@ -29,7 +29,7 @@ SHARED_BITS, MOST_SHARED = 27, 1 << 25
 #: Rows of 48 bytes that are sent to all tasks at most.
 LISTED = 200_000
 #: Shingles searched in one task at most, on average; groups beyond it are searched as pairs of blocks.
-BLOCK = 2_000_000
+BLOCK = 4_000_000
 #: DivideSkip's weight of a probe against a merge step, as published.
 MU = 0.0085
 
@@ -180,14 +180,14 @@ def divide_skip(sets: list[np.ndarray], num: int, den: int, side: np.ndarray | N
     order = np.argsort(size, kind="stable")
     size = size[order]
     flat = np.concatenate([sets[i] for i in order]) if len(sets) else np.zeros(0, np.uint64)
-    owner = np.repeat(np.arange(len(order)), size)
+    owner = np.repeat(np.arange(len(order), dtype=np.int32), size)
     by = np.argsort(flat, kind="stable")
     posted, flat = owner[by], flat[by]
     firsts = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1]))) if len(flat) else np.zeros(0, np.int64)
     lists = np.concatenate((firsts, [len(flat)]))
     length = np.diff(lists)
-    of_element = np.empty(len(flat), np.int64)
-    of_element[by] = np.repeat(np.arange(len(firsts)), length)
+    of_element = np.empty(len(flat), np.int32)
+    of_element[by] = np.repeat(np.arange(len(firsts), dtype=np.int32), length)
     begin = np.concatenate(([0], np.cumsum(size)))
     for q in range(1, len(order)):
         n = int(size[q])
