@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import heapq
 import math
 
@@ -16,16 +17,12 @@ from salesignal.llm.common import stored
 from salesignal.llm.components import connected_components
 from salesignal.llm.tokens import mix, shingles_of, text_parts
 
-#: Shingles counted in a task before its counts are handed on.
+#: Signatures counted in a task before its counts are handed on.
 FLUSH = 2_000_000
-#: Bits by which shingles of one range of hashes are told apart when they are counted. Chance meetings only disturb the order, never the result.
+#: Bits by which signatures of one range of hashes are told apart when they are counted. Chance meetings only add candidates.
 COUNTED_BITS = 21
-#: A shingle of so many documents, at least, is ordered after the rarer ones.
-FREQUENT = 32
-#: Frequent shingles sent to all tasks at most (8 bytes each). Beyond it the least frequent ones count as rare: that changes the order, never the result.
-MOST_FREQUENT = 1 << 18
-#: Bits of the bitmap of shared shingles (16 MB, whatever the corpus), and shingles entered in it at most.
-SHARED_BITS, MOST_SHARED = 27, 1 << 25
+#: Bits of the bitmap of shared signatures (16 MB at most, whatever the corpus).
+SHARED_BITS = 27
 #: Rows of 48 bytes that are sent to all tasks at most.
 LISTED = 200_000
 #: Shingles searched in one task at most, on average; groups beyond it are searched as pairs of blocks.
@@ -44,12 +41,71 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n + (-num * n) // den + 1
 
 
+@functools.cache
+def size_bounds(num: int, den: int) -> np.ndarray:
+    """Least sizes of the bands 0, 1, 2...: sets that link are of one band or of neighbouring ones."""
+    at = [1]
+    while at[-1] < 1 << 40:
+        at.append(at[-1] * den // num + 1 if num < den else 2 * at[-1])
+    return np.array(at)
+
+
+@functools.cache
+def window(w: int, num: int, den: int) -> tuple[int, int, int]:
+    """For links between a set of band w and one of band w or w + 1: the most elements d in which they differ; the parts into which sets are cut; the least elements of a part that counts.
+
+    Of so many parts, d at most differ, so the sets agree in d + 1 parts or more, if both are cut alike. The spare parts make up for those with too few elements, three standard deviations above what the smallest sets should have.
+    """
+    low, middle, high = size_bounds(num, den)[w : w + 3].tolist()
+    d = (middle + high - 2) * (den - num) // (den + num)
+    parts = np.arange(d + 1, d + (d + 1) // 4 + 4)
+    rate = low / parts
+    for least in (3, 2, 1):
+        small = np.exp(-rate) * sum(rate**i / math.factorial(i) for i in range(least))
+        enough = np.flatnonzero(parts * (1 - small) - 3 * np.sqrt(parts * small) >= d + 1)
+        if len(enough):
+            return d, int(parts[enough[0]]), least
+    return d, d + 2, 1
+
+
+def signatures(s: np.ndarray, num: int, den: int):
+    """(window, signatures) for the two windows that a set is in. Two different sets that link share a signature of the window that begins with the smaller one's band.
+
+    A set is cut into parts by its elements' hashes; a part's signature is the hash of all its elements. A set with too many small parts also posts its first elements, as many as T-occurrence search must merge: two such sets that link share one of those.
+    """
+    band = int(np.searchsorted(size_bounds(num, den), len(s), "right")) - 1
+    sums = None
+    for w in (band, band - 1):
+        d, parts, least = window(w, num, den) if w >= 0 else (0, 0, 0)
+        if not d:
+            continue
+        if sums is None:
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(s ^ np.uint64(0x2545F4914F6CDD1D)), dtype=np.uint64)))
+        part = ((s >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+        edges = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+        full = np.flatnonzero(np.diff(edges) >= least)
+        own = mix(sums[edges[full + 1]] - sums[edges[full]] + mix((full + (w + 1 << 40)).astype(np.uint64)))
+        if len(full) <= d:
+            own = np.concatenate((own, mix(s[: prefix_length(len(s), num, den)] + np.uint64(w + 1 << 50))))
+        yield w, own
+
+
 def digests_of(s: np.ndarray) -> tuple[int, int]:
     """128 bits that identify a set."""
     sums = np.array([np.sum(mix(s)), np.sum(mix(s ^ np.uint64(0x5851F42D4C957F2D)))], np.uint64) + np.uint64(len(s))
     return tuple(mix(sums).view(np.int64).tolist())
 
 
+def unseen(own: tuple[int, int], seen: set) -> bool:
+    """Whether a task meets a set for the first time, as far as it remembers."""
+    if own in seen:
+        return False
+    if len(seen) >= 200_000:
+        seen.clear()
+    seen.add(own)
+    return True
+
+
 def _binary(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("text"))
 
@@ -70,12 +126,12 @@ def unpack(packed: bytes) -> np.ndarray:
     return np.cumsum(units, dtype=np.int64)[units != (1 << 8 * packed[0]) - 1]
 
 
-def _sets_and_counts(docs: DataFrame, k: int, ranges: int):
-    """One pass over the texts: for each row doc_id, n and the set's digest; for each task and range of hashes the shingles seen there, packed."""
-    bits = ranges.bit_length() - 1
+def _sets_and_counts(docs: DataFrame, k: int, num: int, den: int, ranges: int):
+    """One pass over the texts: for each row doc_id, n, the set's band and digest; for each task and range of hashes the signatures seen there, packed."""
+    bits, bounds = ranges.bit_length() - 1, size_bounds(num, den)
 
     def rows(batches):
-        held, size = [], 0
+        held, size, seen = [], 0, set()
 
         def counted():
             values = np.sort(np.concatenate(held) >> np.uint64(64 - COUNTED_BITS - bits))
@@ -83,55 +139,49 @@ def _sets_and_counts(docs: DataFrame, k: int, ranges: int):
             ends = np.searchsorted(values, np.arange(ranges + 1, dtype=np.uint64) << np.uint64(COUNTED_BITS))
             cut = [(r, a, b) for r, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if b > a]
             nothing = [None] * len(cut)
-            return _batch(nothing, nothing, nothing, nothing, [r for r, _, _ in cut], [pack(low[a:b]) for _, a, b in cut])
+            return _batch(nothing, nothing, nothing, nothing, nothing, [r for r, _, _ in cut], [pack(low[a:b]) for _, a, b in cut])
 
         for batch in batches:
             out = []
             for s in shingles_of((part for _, part in text_parts(batch.column(1))), k):
-                out.append((len(s), *digests_of(s)))
-                held.append(s)
-                size += len(s)
+                own = digests_of(s)
+                out.append((len(s), int(np.searchsorted(bounds, len(s), "right")) - 1, *own))
+                if not unseen(own, seen):
+                    continue
+                for _, x in signatures(s, num, den):
+                    held.append(x)
+                    size += len(x)
                 if size >= FLUSH:
                     yield counted()
                     held, size = [], 0
-            n, d1, d2 = zip(*out, strict=True) if out else ((), (), ())
-            yield _batch(batch.column(0), n, d1, d2, [None] * len(n), [None] * len(n))
+            n, band, d1, d2 = zip(*out, strict=True) if out else ((), (), (), ())
+            yield _batch(batch.column(0), n, band, d1, d2, [None] * len(n), [None] * len(n))
         if size:
             yield counted()
 
-    return docs.mapInArrow(rows, "doc_id bigint, n int, d1 bigint, d2 bigint, range int, packed binary")
+    return docs.mapInArrow(rows, "doc_id bigint, n int, band int, d1 bigint, d2 bigint, range int, packed binary")
 
 
-def _batch(ids, n, d1, d2, ranges, packed) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-    arrays = [x.cast(t) if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip((ids, n, d1, d2, ranges, packed), kinds, strict=True)]
-    return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "d1", "d2", "range", "packed"])
+def _batch(ids, n, band, d1, d2, ranges, packed) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    arrays = [x.cast(t) if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip((ids, n, band, d1, d2, ranges, packed), kinds, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "band", "d1", "d2", "range", "packed"])
 
 
-class Order:
-    """A global order of shingles, rare first: those that the bitmap doesn't have, then those it has, then the frequent ones; by hash within each. Any order gives the same result. This one keeps the inverted lists short that have to be merged."""
+class Shared:
+    """Which signatures more than one set may have. What the bitmap lacks, one set alone has."""
 
-    def __init__(self, shared: np.ndarray, frequent: np.ndarray, bits: int, complete: bool):
-        """complete: the bitmap has every shingle that was counted twice or more, so what it lacks is in one row only."""
-        self.shared, self.frequent, self.shift, self.complete = shared, frequent, np.uint64(64 - COUNTED_BITS - bits), complete
+    def __init__(self, bitmap: np.ndarray, bits: int):
+        self.bitmap, self.shift = bitmap, np.uint64(64 - bits)
 
-    @staticmethod
-    def place(lead: np.ndarray) -> np.ndarray:
-        return mix(lead.astype(np.uint64)) >> np.uint64(64 - SHARED_BITS)
+    def of(self, x: np.ndarray) -> np.ndarray:
+        at = (x >> self.shift).astype(np.int64)
+        return x[(self.bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0]
 
-    def rarest(self, s: np.ndarray, n: int) -> np.ndarray:
-        """The first n elements of a set, without those that no other row can have."""
-        lead = s >> self.shift
-        at = self.place(lead).astype(np.int64)
-        level = (self.shared[at >> 3] >> (at & 7).astype(np.uint8)) & 1
-        if len(self.frequent):
-            level = level + (self.frequent[np.minimum(np.searchsorted(self.frequent, lead), len(self.frequent) - 1)] == lead)
-        first = np.argsort(level, kind="stable")[:n]
-        return s[first[level[first] > 0]] if self.complete else s[first]
 
-
-def _order(packed: DataFrame, bits: int, least: int, most_frequent: int, most_shared: int) -> Order:
-    """Counts all shingles by their leading bits, a task for each range of hashes, and sends two tables of fixed size: a bitmap of the shared shingles and a list of the frequent ones. Where more than most_* of them would qualify, only those with higher counts do."""
+def _shared(packed: DataFrame, bits: int) -> Shared:
+    """Counts all signatures by their leading bits, a task for each range of hashes, and sends the range's part of the bitmap: 16 MB in all at most. A full bitmap lets every signature pass."""
+    kept = min(SHARED_BITS, bits + COUNTED_BITS)
 
     def counted(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         count = np.zeros(1 << COUNTED_BITS, np.uint32)
@@ -139,40 +189,17 @@ def _order(packed: DataFrame, bits: int, least: int, most_frequent: int, most_sh
             values = unpack(x)
             firsts = np.flatnonzero(np.diff(values, prepend=-1))
             count[values[firsts]] += np.diff(firsts, append=len(values)).astype(np.uint32)
-        slots = np.flatnonzero(count >= 2)
-        steps = np.minimum(4 * np.log2(count[slots]), 120).astype(np.uint8)
-        out = pd.DataFrame({"range": [key[0]], "slots": [slots.astype(np.uint32).tobytes()], "steps": [steps.tobytes()]})
-        return out.assign(sizes=[np.bincount(steps, minlength=121).tolist()])
-
-    counts = stored(packed.filter("packed is not null").select("range", "packed").groupBy("range").applyInPandas(counted, "range int, slots binary, steps binary, sizes array<bigint>"), "counts")
-    sizes = {r[0]: r[1] for r in counts.select(F.posexplode("sizes").alias("step", "n")).groupBy("step").agg(F.sum("n")).collect()}
+        twice = (count >= 2).reshape(1 << kept - bits, -1).any(axis=1)
+        return pd.DataFrame({"range": [key[0]], "bitmap": [np.packbits(twice, bitorder="little").tobytes()]})
 
-    def first_step(least: float, most: int) -> int:
-        step = 121
-        while step > least and sum(n for k, n in sizes.items() if k >= step - 1) <= most:
-            step -= 1
-        return step
+    bitmap = np.zeros((1 << bits, 1 << kept - bits - 3), np.uint8)
+    for r in packed.filter("packed is not null").select("range", "packed").groupBy("range").applyInPandas(counted, "range int, bitmap binary").toLocalIterator():
+        bitmap[r["range"]] = np.frombuffer(bytes(r["bitmap"]), np.uint8)
+    return Shared(bitmap.ravel(), kept)
 
-    shared_from, frequent_from = first_step(4, most_shared), first_step(int(4 * math.log2(least)), most_frequent)
 
-    def chosen(batches):
-        for pdf in batches:
-            for r, slots, steps in zip(pdf["range"], pdf["slots"], pdf["steps"], strict=True):
-                slots, steps = np.frombuffer(slots, np.uint32), np.frombuffer(steps, np.uint8)
-                lead = slots.astype(np.int64) | (int(r) << COUNTED_BITS)
-                places = Order.place(lead[steps >= shared_from]).astype(np.uint32)
-                yield pd.DataFrame({"places": [places.tobytes()], "frequent": [lead[steps >= frequent_from].tobytes()]})
-
-    shared, frequent = np.zeros(1 << SHARED_BITS - 3, np.uint8), [np.zeros(0, np.int64)]
-    for r in counts.select("range", "slots", "steps").mapInPandas(chosen, "places binary, frequent binary").toLocalIterator():
-        places = np.frombuffer(bytes(r["places"]), np.uint32)
-        np.bitwise_or.at(shared, places >> np.uint32(3), np.uint8(1) << (places & np.uint32(7)).astype(np.uint8))
-        frequent.append(np.frombuffer(bytes(r["frequent"]), np.int64))
-    return Order(shared, np.sort(np.concatenate(frequent)).astype(np.uint64), bits, shared_from <= 4)
-
-
-def divide_skip(sets: list[np.ndarray], num: int, den: int, side: np.ndarray | None = None):
-    """Every pair (a, b) of positions in sets with Jaccard similarity num / den or more, as arrays for each b. With side, pairs of the same side are left out.
+def divide_skip(sets: list[np.ndarray], num: int, den: int, side: np.ndarray | None = None, low: np.ndarray | None = None):
+    """Every pair (a, b) of positions in sets with Jaccard similarity num / den or more, as arrays for each b. With side, pairs of the same side are left out; with low, which marks the smallest sets, those without any of these.
 
     The sets are put in order of size and asked one after another against the smaller ones before them. A set's inverted lists are parted: the L longest are set aside, with L = T / (mu * log2(longest) + 1) for the least overlap T that any candidate can have; the short ones are merged by a heap (in bulk where they are long), and what occurs T - L times or more is looked up in the long lists by binary search, shortest first, as long as it can still reach its own T.
     """
@@ -189,11 +216,12 @@ def divide_skip(sets: list[np.ndarray], num: int, den: int, side: np.ndarray | N
     of_element = np.empty(len(flat), np.int32)
     of_element[by] = np.repeat(np.arange(len(firsts), dtype=np.int32), length)
     begin = np.concatenate(([0], np.cumsum(size)))
+    lows = len(order) if low is None else int(low.sum())
     for q in range(1, len(order)):
         n = int(size[q])
         t = -(-num * n // den)
         first = int(np.searchsorted(size, t))
-        if first >= q:
+        if first >= min(q, lows):
             continue
         own = of_element[begin[q] : begin[q + 1]]
         own = own[length[own] > 1]
@@ -203,7 +231,7 @@ def divide_skip(sets: list[np.ndarray], num: int, den: int, side: np.ndarray | N
         longest = int(length[own[-1]])
         held_out = min(t - 1, len(own), int(t / (MU * math.log2(max(2, longest)) + 1)))
         short, long = own[: len(own) - held_out], own[len(own) - held_out :]
-        found, count = _merged([posted[lists[x] : lists[x + 1]] for x in short], first, q)
+        found, count = _merged([posted[lists[x] : lists[x + 1]] for x in short], first, min(q, lows))
         keep = count >= t - held_out
         if side is not None:
             keep &= side[order[found]] != side[order[q]]
@@ -225,22 +253,22 @@ def divide_skip(sets: list[np.ndarray], num: int, den: int, side: np.ndarray | N
             yield int(order[q]), order[found]
 
 
-def _merged(short: list[np.ndarray], first: int, q: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions from first to q - 1 in the sorted lists, and in how many of them each occurs."""
-    short = [x[np.searchsorted(x, first) : np.searchsorted(x, q)] for x in short]
+def _merged(short: list[np.ndarray], first: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions from first to end - 1 in the sorted lists, and in how many of them each occurs."""
+    short = [x[np.searchsorted(x, first) : np.searchsorted(x, end)] for x in short]
     total = sum(map(len, short))
     if total <= 64:
         merged: dict[int, int] = {}
         for x in heapq.merge(*(x.tolist() for x in short if len(x))):
             merged[x] = merged.get(x, 0) + 1
         return np.fromiter(merged, np.int64, len(merged)), np.fromiter(merged.values(), np.int64, len(merged))
-    count = np.bincount(np.concatenate(short) - first, minlength=q - first)
+    count = np.bincount(np.concatenate(short) - first)
     found = np.flatnonzero(count)
     return found + first, count[found]
 
 
 def _search(num: int, den: int):
-    """One task's search: rows of a block, or of a pair of blocks, with packed sets. Gives forest edges between linked rows and each row's number of links."""
+    """One task's search: rows of some groups, of a block or of a pair of blocks of a group, with packed sets. Gives forest edges between linked rows and each row's number of links."""
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         sets = [np.frombuffer(x, np.uint64) for x in pdf["packed"]]
@@ -255,15 +283,19 @@ def _search(num: int, den: int):
                 x = root[x]
             return x
 
-        for q, found in divide_skip(sets, num, den, pdf["block"].to_numpy() if crossed else None):
-            links[q] += len(found)
-            links[found] += 1
-            for c in found.tolist():
-                a, b = find(q), find(c)
-                if a != b:
-                    if ids[b] < ids[a]:
-                        a, b = b, a
-                    root[b] = a
+        side, low, grp = pdf["block"].to_numpy(), pdf["low"].to_numpy(bool), pdf["grp"].to_numpy()
+        by = np.argsort(grp, kind="stable")
+        for own in np.split(by, np.flatnonzero(np.diff(grp[by])) + 1):
+            for q, found in divide_skip([sets[i] for i in own], num, den, side[own] if crossed else None, low[own]):
+                q, found = int(own[q]), own[found]
+                links[q] += len(found)
+                links[found] += 1
+                for c in found.tolist():
+                    a, b = find(q), find(c)
+                    if a != b:
+                        if ids[b] < ids[a]:
+                            a, b = b, a
+                        root[b] = a
         at = np.array([find(i) for i in range(len(sets))], np.int64)
         linked = links > 0
         return pd.DataFrame({"a": ids[linked], "b": ids[at[linked]], "links": links[linked]})
@@ -271,12 +303,12 @@ def _search(num: int, den: int):
     return search
 
 
-def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text", frequent: int = FREQUENT, block: int = BLOCK, most_frequent: int = MOST_FREQUENT, most_shared: int = MOST_SHARED) -> DataFrame:
+def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """A row for each row of docs: doc_id, n_shingles, class_id, component_id, n_links.
 
     Words are the runs between the six ASCII spaces after lower-casing A-Z; a set holds the distinct shingles of k words, with fewer words the whole sequence as one. Sets link when intersection / union is num / den or more. class_id: the smallest doc_id with the same set; component_id: the smallest reachable by links; n_links: other distinct sets linked with this one. Nothing is approximate: classes are grouped by 128-bit digests, and all links between classes are found.
 
-    1. One pass hashes the texts, groups equal sets and counts all shingles. 2. Each set's rarest shingles (as many as T-occurrence search must merge) are posted to inverted lists; sets that share a list are joined into candidate groups. 3. Each group's sets meet in one task, many small groups together, very large ones as pairs of blocks, and are searched by divide_skip. Copies are one class throughout.
+    1. One pass hashes the texts, groups equal sets and counts signatures of their parts (see signatures). 2. Each set posts the signatures that others may share to inverted lists; sets that share a list are joined into candidate groups, window by window of sizes. 3. Each group's sets meet in one task, many small groups together, very large ones as pairs of blocks, and are searched by divide_skip. Copies are one class throughout.
 
     Null or empty texts and texts of spaces: n_shingles 0, linked with nothing, component_id their own doc_id. A null doc_id cannot be linked to: such a row gets its class's component, null if it has none. Rows that repeat a doc_id are one node, whatever their texts. Other columns of docs are ignored.
     """
@@ -284,43 +316,42 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_i
     plain = _binary(docs, doc_id, text)
     ranges = 1 << min(20, max(4, (docs.count() // 4000).bit_length()))
     bits = ranges.bit_length() - 1
-    passed = stored(_sets_and_counts(plain, k, ranges), "sets")
-    order = spark.sparkContext.broadcast(_order(passed, bits, frequent, most_frequent, most_shared))
-    rows = passed.filter("packed is null").select("doc_id", "n", "d1", "d2")
-    classes = stored(rows.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("class_id")), "classes")
+    passed = stored(_sets_and_counts(plain, k, num, den, ranges), "sets")
+    shared = spark.sparkContext.broadcast(_shared(passed, bits))
+    rows = passed.filter("packed is null").select("doc_id", "n", "band", "d1", "d2")
+    classes = stored(rows.filter("n > 0").groupBy("n", "band", "d1", "d2").agg(F.min("doc_id").alias("class_id")), "classes")
 
     def posted(batches):
         seen = set()  # of this task: copies post once
         for batch in batches:
             keys, values = [], []
             for s in shingles_of((part for _, part in text_parts(batch.column(1))), k):
-                n = len(s)
-                if n * den < num * (n + 1):  # so small that only equal sets link
-                    continue
                 own = digests_of(s)
-                if own in seen:
+                if not unseen(own, seen):
                     continue
-                seen.add(own)
-                if len(seen) > 200_000:
-                    seen.clear()
-                p = prefix_length(n, num, den)
-                values.append(order.value.rarest(s, p).astype(np.int64))
-                keys.append(np.full(len(values[-1]), own[0], np.int64))
+                for w, x in signatures(s, num, den):
+                    x = shared.value.of(x)
+                    values.append(x.astype(np.int64))
+                    keys += [(own[0], w, len(x))]
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values)), pa.array(np.concatenate(keys))], names=["shingle", "d1"])
-
-    postings = stored(plain.select("doc_id", "text").mapInArrow(posted, "shingle bigint, d1 bigint"), "postings")
-    lists = postings.groupBy("shingle").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).filter("lo < hi")
-    near = postings.join(lists.select("shingle", "lo"), "shingle").filter("d1 <> lo").select("d1", "lo").distinct()
-    groups = connected_components(near, "d1", "lo")
-    members = stored(classes.filter("class_id is not null").join(groups, classes["d1"] == groups["node"]).select("class_id", "d1", "n", F.col("component").alias("grp")), "members")
+                d1, w, times = (np.array(x, np.int64) for x in zip(*keys, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values)), pa.array(np.repeat(d1, times)), pa.array(np.repeat(w, times).astype(np.int32))], names=["signature", "d1", "w"])
+
+    postings = plain.select("doc_id", "text").mapInArrow(posted, "signature bigint, d1 bigint, w int")
+    postings = stored(postings.select("signature", F.xxhash64("d1", "w").alias("node")), "postings")
+    lists = postings.groupBy("signature").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
+    near = postings.join(lists.select("signature", "lo"), "signature").filter("node <> lo").select("node", "lo").distinct()
+    groups = connected_components(near, "node", "lo").withColumnRenamed("component", "grp")
+    windows = classes.filter("class_id is not null").select("class_id", "d1", "n", "band", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("w"))
+    windows = windows.select("class_id", "d1", "n", F.xxhash64("d1", "w").alias("node"), (F.col("w") == F.col("band")).alias("low"))
+    members = stored(windows.join(groups, "node").select("class_id", "d1", "n", "low", "grp"), "members")
     total = members.agg(F.sum("n")).first()[0] or 0
     bins = max(1, -(-total // (block // 2)))
     large = members.groupBy("grp").agg(F.sum("n").alias("total")).filter(F.col("total") > block)
     cut = members.join(large, "grp", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("total") / (block // 2)), F.lit(1)).cast("int"))
     cut = cut.withColumn("block", F.pmod(F.xxhash64("d1"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    cut = cut.withColumn("other", other).select("class_id", "d1", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("grp"), F.lit(bins))).otherwise(F.col("grp")).alias("grp"), (F.col("blocks") > 1).alias("split"))
+    cut = cut.withColumn("other", other).select("class_id", "d1", "low", "grp", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("grp"), F.lit(bins))).otherwise(F.col("grp")).alias("bin"), (F.col("blocks") > 1).alias("split"))
 
     def packed(batches):
         for batch in batches:
@@ -328,14 +359,14 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_i
             for first, part in text_parts(batch.column("text")):
                 sets = list(shingles_of([part], k))
                 keep = [i for i, s in enumerate(sets) if len(s) and digests_of(s)[0] == digests[first + i]]
-                out = batch.select(["doc_id", "grp", "bi", "bj", "block", "split"]).take(pa.array([first + i for i in keep], pa.int64()))
+                out = batch.select(["doc_id", "low", "grp", "bin", "bi", "bj", "block", "split"]).take(pa.array([first + i for i in keep], pa.int64()))
                 yield pa.RecordBatch.from_arrays([*out.columns, pa.array([sets[i].tobytes() for i in keep], pa.binary())], names=[*out.schema.names, "packed"])
 
     # few members: their list, of a checked length, goes to the texts; many: both are dealt by doc_id
     cut = stored(cut, "cut")
-    shipped = plain.join(F.broadcast(cut) if cut.count() <= LISTED else cut, plain["doc_id"] == cut["class_id"]).select("doc_id", "text", "d1", "grp", "bi", "bj", "block", "split")
-    sets = shipped.mapInArrow(packed, "doc_id bigint, grp bigint, bi int, bj int, block int, split boolean, packed binary")
-    found = stored(sets.groupBy("grp", "bi", "bj", "split").applyInPandas(_search(num, den), T.StructType([T.StructField(c, T.LongType()) for c in ("a", "b", "links")])), "links")
+    shipped = plain.join(F.broadcast(cut) if cut.count() <= LISTED else cut, plain["doc_id"] == cut["class_id"]).select("doc_id", "text", "d1", "low", "grp", "bin", "bi", "bj", "block", "split")
+    sets = shipped.mapInArrow(packed, "doc_id bigint, low boolean, grp bigint, bin bigint, bi int, bj int, block int, split boolean, packed binary")
+    found = stored(sets.groupBy("bin", "bi", "bj", "split").applyInPandas(_search(num, den), T.StructType([T.StructField(c, T.LongType()) for c in ("a", "b", "links")])), "links")
     joined = connected_components(found, "a", "b")
     links = found.groupBy("a").agg(F.sum("links").alias("links"))
     per_class = classes.join(joined, classes["class_id"] == joined["node"], "left").join(links, classes["class_id"] == links["a"], "left")

@@ -174,3 +174,21 @@ def test_line_dedup(spark):
     assert {i: got[i]["text"] for i in texts} == want and sum(r["removed_lines"] for r in got.values()) > 20
     assert got[98]["text"] is None and got[99]["text"] == "" and got[None]["text"] == "\n".join(shared)
     assert ld.line_dedup(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("num", (60, 80, 90))
+def test_linked_sets_share_a_signature(num):
+    rng = np.random.default_rng(num)
+    linked = 0
+    for _ in range(1500):
+        n = int(rng.integers(1, 300))
+        own = nj.mix(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        a, b = np.unique(own), np.unique(np.concatenate((own[: max(1, n - int(rng.integers(0, 30)))], nj.mix(rng.integers(0, 1 << 63, int(rng.integers(0, 30)), dtype=np.uint64)))))
+        common = len(np.intersect1d(a, b))
+        if len(a) == len(b) == common or 100 * common < num * (len(a) + len(b) - common):
+            continue
+        linked += 1
+        w = int(np.searchsorted(nj.size_bounds(num, 100), min(len(a), len(b)), "right")) - 1
+        mine, other = dict(nj.signatures(a, num, 100)), dict(nj.signatures(b, num, 100))
+        assert len(np.intersect1d(mine[w], other[w]))
+    assert linked > 50
