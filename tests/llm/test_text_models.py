@@ -167,6 +167,33 @@ def test_rates(spark):
         mx.fit_rates(df, (0.0, 0.0))
 
 
+@pytest.mark.parametrize("long", [0, 20])
+def test_rates_take_the_largest_budget(spark, long):
+    rng = np.random.default_rng(1)
+    p = rng.dirichlet((6, 0.3, 0.3), 4000)
+    t = np.floor(rng.lognormal(5, 1, 4000)) + 1
+    t[:long] = 300_000
+    w = np.array((0.85, 0.13, 0.02))
+    df = spark.createDataFrame([(int(n), [float(v) for v in q]) for n, q in zip(t, p, strict=True)], "tokens bigint, p array<double>")
+    rated, residual = mx.fit_rates(df, w)
+    got = rated.toPandas()
+    totals = (np.stack(got["p"]) * (got["tokens"] * got["rate"]).to_numpy()[:, None]).sum(0)
+    assert max(map(abs, residual)) <= 1e-4 and np.abs(totals / totals.sum() - w).max() < 1e-3
+    # any direction bounds the budgets that rates of 0 to 1 can meet; the least bound is the largest budget
+    sides = np.stack(np.meshgrid(np.linspace(-40, 40, 161), np.linspace(-40, 40, 161)), -1).reshape(-1, 2)
+    y = np.concatenate((sides, (1 - sides @ w[1:])[:, None] / w[0]), axis=1)[:, [2, 0, 1]]
+    bound = min((t @ np.maximum(p @ part.T, 0)).min() for part in np.array_split(y, 40))
+    assert 0.95 * bound < totals.sum() < 1.003 * bound
+
+
+def test_missed_targets_are_told(spark):
+    docs = spark.createDataFrame([(i, "some words of a text") for i in range(20)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(10)], "doc_id bigint, quality int, toxic int")
+    with pytest.warns(UserWarning, match="missed"):
+        rates = mx.mixed_rates(docs, labels, (0.1, 0.1, 0.8))
+    assert max(map(abs, rates.first()["residual"])) > 0.1
+
+
 def test_pipeline(spark):
     import corpus_pipeline as cp
 
