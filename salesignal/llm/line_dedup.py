@@ -15,8 +15,9 @@ LOW = (1 << 32) - 1
 def chunk_codes(lines: Column, window: int = WINDOW, average: int = LINES) -> Column:
     """Chunks of an array of lines as whole numbers: first line (from 1) * 2**32 + number of lines.
 
-    A chunk ends after a line where the rolling hash of the last `window` lines is 0 modulo `average`, and at the end. The hash sees nothing before its window, so an inserted or removed line moves only the boundaries next to it.
+    A chunk ends after a line where the rolling hash of the last `window` lines is the least among those of `average` lines around it (the first of equal ones), and at the end. So a chunk has more than (average - 1) / 2 lines, two at least, except in a shorter text. Nothing outside these lines counts, so an inserted or removed line moves only the boundaries next to it.
     """
+    near = max(1, (average - 1) // 2)
 
     def bounded(h: Column) -> Column:
         n = F.size(h)
@@ -25,9 +26,16 @@ def chunk_codes(lines: Column, window: int = WINDOW, average: int = LINES) -> Co
             out = F.element_at(h, i)
             for back in range(1, window):
                 out = out.bitwiseXOR(F.when(i > back, F.shiftleft(F.element_at(h, F.greatest(i - back, F.lit(1))), 7 * back)).otherwise(F.lit(0)))
-            return F.pmod(F.shiftrightunsigned(out, 11), F.lit(average)) == 0
+            return out
 
-        ends = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | rolled(i))
+        def least(r: Column, i: Column) -> Column:
+            out = (i > near) & (i < n - near)
+            for d in range(1, near + 1):
+                out = out & (F.get(r, i - 1) < F.get(r, i - 1 - d)) & (F.get(r, i - 1) <= F.get(r, i - 1 + d))
+            return out
+
+        places = F.sequence(F.lit(1), n)
+        ends = let(F.transform(places, rolled), lambda r: F.filter(places, lambda i: (i == n) | least(r, i)))
         return let(ends, lambda e: F.transform(F.arrays_zip(F.concat(F.array(F.lit(0)), F.slice(e, 1, F.size(e) - 1)).alias("a"), e.alias("b")), lambda x: F.shiftleft((x["a"] + 1).cast("long"), 32).bitwiseOR((x["b"] - x["a"]).cast("long"))))
 
     return let(F.transform(lines, lambda line: F.xxhash64(line)), bounded)

@@ -176,6 +176,19 @@ def test_line_dedup(spark):
     assert ld.line_dedup(df.limit(0)).count() == 0
 
 
+def test_line_dedup_removes_planted_passages(spark):
+    rng = random.Random(7)
+    passages = [[f"passage {b} line {j}" for j in range(12)] for b in range(40)]
+    texts = [[f"own {i} {j}" for j in range(rng.randrange(3, 9))] + passages[i % 40] + [f"tail {i} {j}" for j in range(rng.randrange(3, 9))] for i in range(120)]
+    df = spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    sizes = [c & ld.LOW for r in df.select(ld.chunk_codes(F.split("text", "\n", -1)).alias("c")).collect() for c in r["c"]]
+    assert min(sizes) >= 2 and 2.5 < sum(sizes) / len(sizes) < 3.5
+    got = ld.line_dedup(df).collect()
+    lost = [r["removed_lines"] for r in got if r["doc_id"] >= 40]
+    assert sum(lost) > 0.6 * 12 * 80 and min(lost) > 0
+    assert all(line in r["text"].split("\n") for r in got for line in texts[r["doc_id"]] if line[:3] in ("own", "tai"))
+
+
 @pytest.mark.parametrize("num", (60, 80, 90))
 def test_linked_sets_share_a_signature(num):
     rng = np.random.default_rng(num)
