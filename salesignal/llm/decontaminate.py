@@ -172,26 +172,28 @@ def joined_items(docs: DataFrame, benchmark: DataFrame, share: float, least: int
     """contained_items for a benchmark too large to send: distinct seeds of both sides are joined, pairs with enough of them are tiled where their texts meet."""
 
     def seeds(of_item: bool):
-        """Distinct seeds of each text: an item's are as long as a tile, or as the item if that is shorter; a document has seeds of every such length."""
+        """Distinct seeds of each text and the number of their places in it: an item's are as long as a tile, or as the item if that is shorter; a document has seeds of every such length."""
 
         def rows(batches):
             for batch in batches:
                 for first, t in enumerate(batch.column(1)):
                     words, _ = tokens_of([t.as_buffer().to_pybytes() if t.is_valid else b""])
                     lengths = [max(1, min(least, len(words)))] if of_item else range(1, least + 1)
-                    grams = np.concatenate([np.unique(_grams(words, k)) ^ np.uint64(k) for k in lengths]) if len(words) else np.zeros(0, np.uint64)
+                    found = [np.unique(_grams(words, k), return_counts=True) for k in lengths] if len(words) else []
+                    grams = np.concatenate([np.zeros(0, np.uint64), *[g ^ np.uint64(k) for k, (g, _) in zip(lengths, found, strict=False)]])
+                    places = np.concatenate([np.zeros(0, np.int64), *[c for _, c in found]])
                     n = pa.array(np.full(len(grams), first))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(n), pa.array(grams.astype(np.int64)), pa.array(np.full(len(grams), len(words)))], names=[batch.schema.names[0], "seed", "size"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(n), pa.array(grams.astype(np.int64)), pa.array(np.full(len(grams), len(words))), pa.array(places)], names=[batch.schema.names[0], "seed", "size", "places"])
 
         return rows
 
     kinds = dict(docs.dtypes)[doc_id], dict(benchmark.dtypes)[item_id]
     items = _prepared(benchmark, item_id, item_text, "item_id").filter("item_id is not null and length(text) > 0").distinct()
     plain = _prepared(docs, doc_id, text, "doc_id")
-    of_items = stored(items.mapInArrow(seeds(True), f"item_id {kinds[1]}, seed bigint, size bigint"), "seeds")
-    of_docs = plain.mapInArrow(seeds(False), f"doc_id {kinds[0]}, seed bigint, size bigint").select("doc_id", "seed")
-    # a seed covers `least` tokens at most, so fewer shared seeds than share * size / least cannot cover enough
-    pairs = of_docs.join(of_items, "seed").groupBy("doc_id", "item_id").agg(F.count("*").alias("n"), F.min("size").alias("size")).filter(F.col("n") * least >= F.col("size") * share).select("doc_id", "item_id")
+    of_items = stored(items.mapInArrow(seeds(True), f"item_id {kinds[1]}, seed bigint, size bigint, places bigint"), "seeds")
+    of_docs = plain.mapInArrow(seeds(False), f"doc_id {kinds[0]}, seed bigint, size bigint, places bigint").select("doc_id", "seed")
+    # a seed covers `least` tokens at most at each of its places in the item, so seeds with fewer places than share * size / least cannot cover enough
+    pairs = of_docs.join(of_items, "seed").groupBy("doc_id", "item_id").agg(F.sum("places").alias("n"), F.min("size").alias("size")).filter(F.col("n") * least >= F.col("size") * share).select("doc_id", "item_id")
     met = pairs.join(plain.distinct(), "doc_id").join(items.withColumnRenamed("text", "item"), "item_id")
 
     @F.pandas_udf("double")

@@ -62,6 +62,15 @@ def test_decontamination(spark):
     assert dc.decontamination(docs, bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_repetitive_items_on_both_paths(spark):
+    rng = random.Random(5)
+    noise = lambda: " ".join(words(rng, 40))
+    bench = spark.createDataFrame([(1, "la " * 40), (2, "one two three four five " * 12), (3, " ".join(words(rng, 30)))], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, f"{noise()} {'la ' * 40} {noise()}"), (2, f"{noise()} {'one two three four five ' * 12}"), (3, noise())], "doc_id bigint, text string")
+    both = [sorted(map(tuple, dc.contained_items(docs, bench, **o).collect())) for o in ({}, {"most_bytes": 0})]
+    assert both[0] == both[1] == [(1, 1, 1.0), (2, 2, 1.0)]
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(1, "http://a/1", "<p>x</p>"), (2, "http://a/2", "<p>x</p>"), (5, "http://b\r\nX: y", "a\r\n\r\nWARC/1.0\r\n\r\n"), (7, None, None), (8, "http://c", ""), (9, "http://d", "é ü\n"), (9, "http://d", "é ü\n"), (None, "http://e", "<p>x</p>")]
     pages = spark.createDataFrame([(i, u, h, "z") for i, u, h in rows], "page_id bigint, url string, html string, payload string")
