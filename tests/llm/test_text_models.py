@@ -126,6 +126,12 @@ def test_folding():
     assert folded("Ïd10T") == "idiot" and folded("іdіоt") == "idiot" and folded("a$s 5$") == "ass s " and len(folded("x😀y")) == 3
 
 
+def test_folding_of_styled_and_split_words():
+    styled = "".join(chr(0x1D400 + 26 + ord(c) - ord("a")) for c in "idiot")
+    assert folded(styled) == "idiot" and folded("\U0001d7ce\U0001d7cf") == "oi" and folded("\U00020000") == "\U00020000"
+    assert folded("i\u0308di\u00ado\u200bt\ufe0f") == "idiot" and folded("a\u0301$s") == "ass" and folded("x \u2013 y") == "x   y"
+
+
 def test_toxicity(spark):
     rng = random.Random(9)
     rows, labels = [], []
