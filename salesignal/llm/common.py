@@ -22,11 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session; a temporary folder only where that is unset (tests, one machine)."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session. Where that is unset, a temporary folder on one machine (master local), an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="salesignal-")
         spark.sparkContext.setCheckpointDir(found)
         atexit.register(_delete, spark, found)
@@ -77,6 +79,24 @@ def size_within(df: DataFrame, bytes_of: Column, limit: int = BROADCAST_BYTES) -
     return (df.agg(F.sum(bytes_of)).first()[0] or 0) <= limit
 
 
+#: A key with more than this share of all rows is hot, with FEW rows at least: so there are 20,000 hot keys at most.
+HOT, FEW = 20_000, 400
+
+
+def salted_join(rows: DataFrame, groups: DataFrame, keys: list[str], total: int, how: str = "inner") -> DataFrame:
+    """rows joined with groups, which has a row for each key and `_n`, the number of rows with it. total: the number of rows.
+
+    The rows of a hot key are dealt over as many tasks as they fill, by a hash of their other columns, and the key's group goes to each of these. The list of hot keys, HOT at most, is broadcast; all else is shuffled by key.
+    """
+    limit = max(FEW, -(-total // HOT))
+    parts = F.ceil(F.col("_n") / limit).cast("int")
+    hot = F.broadcast(groups.filter(F.col("_n") > limit).select(*keys, parts.alias("_parts")))
+    others = [F.col(c) for c in rows.columns if c not in keys] or [F.lit(0)]
+    left = rows.join(hot, keys, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*others), F.col("_parts")), F.lit(0)).cast("int")).drop("_parts")
+    right = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col("_n") > limit, parts).otherwise(1) - 1))).drop("_n")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
 def schema_with(df: DataFrame, *fields: tuple[str, T.DataType], drop: tuple[str, ...] = ()) -> T.StructType:
     names = {n for n, _ in fields} | set(drop)
     return T.StructType([f for f in df.schema.fields if f.name not in names] + [T.StructField(n, k) for n, k in fields])

@@ -9,20 +9,16 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from salesignal.llm.common import stored
+from salesignal.llm.common import salted_join, stored
 from salesignal.llm.components import connected_components
 from salesignal.llm.tokens import mix, shingles_of, text_parts
 
-#: Signatures counted in a task before its counts are handed on.
-FLUSH = 2_000_000
-#: Bits by which signatures of one range of hashes are told apart when they are counted. Chance meetings only add candidates.
-COUNTED_BITS = 21
-#: Bits of the bitmap of shared signatures (16 MB at most, whatever the corpus).
-SHARED_BITS = 27
+#: Signatures that a task holds before it hands them on, those that its sets share as one.
+FLUSH = 1_000_000
 #: Rows of 48 bytes that are sent to all tasks at most.
 LISTED = 200_000
 #: Shingles searched in one task at most, on average; groups beyond it are searched as pairs of blocks.
@@ -110,92 +106,66 @@ def _binary(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("text"))
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Sorted whole numbers, repeats included, as gaps in units of 1, 2 or 4 bytes; the largest unit means: add it and read on. The first byte is the unit's size."""
-    gaps = np.diff(values, prepend=0).astype(np.int64)
-    unit = next(u for u in (1, 2, 4) if u == 4 or gaps.mean() < (1 << 8 * u) * 0.8)
-    top = (1 << 8 * unit) - 1
-    over = gaps // top
-    out = np.full(len(gaps) + int(over.sum()), top, np.int64)
-    out[np.arange(len(gaps)) + np.cumsum(over)] = gaps % top
-    return bytes([unit]) + out.astype(f"<u{unit}").tobytes()
+def _sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """For each row doc_id, n, the set's band and digest."""
+    bounds = size_bounds(num, den)
 
+    def rows(batches):
+        for batch in batches:
+            sets = [(len(s), *digests_of(s)) for s in shingles_of((part for _, part in text_parts(batch.column(1))), k)]
+            n, d1, d2 = (np.array(x, np.int64) for x in zip(*sets, strict=True)) if sets else (np.zeros(0, np.int64),) * 3
+            band = np.searchsorted(bounds, n, "right") - 1
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int32)), pa.array(band.astype(np.int32)), pa.array(d1), pa.array(d2)], names=["doc_id", "n", "band", "d1", "d2"])
 
-def unpack(packed: bytes) -> np.ndarray:
-    units = np.frombuffer(packed, f"<u{packed[0]}", offset=1)
-    return np.cumsum(units, dtype=np.int64)[units != (1 << 8 * packed[0]) - 1]
+    return docs.mapInArrow(rows, "doc_id bigint, n int, band int, d1 bigint, d2 bigint")
 
 
-def _sets_and_counts(docs: DataFrame, k: int, num: int, den: int, ranges: int):
-    """One pass over the texts: for each row doc_id, n, the set's band and digest; for each task and range of hashes the signatures seen there, packed."""
-    bits, bounds = ranges.bit_length() - 1, size_bounds(num, den)
+def node_of(d1, w):
+    """The node that stands for a set in window w, of columns or arrays alike."""
+    if isinstance(d1, Column):
+        return d1.bitwiseXOR(F.shiftleft((w + 1).cast("long"), 40))
+    return d1 ^ (w + 1 << 40)
 
-    def rows(batches):
-        held, size, seen = [], 0, set()
 
-        def counted():
-            values = np.sort(np.concatenate(held) >> np.uint64(64 - COUNTED_BITS - bits))
-            low = values.astype(np.int64) & ((1 << COUNTED_BITS) - 1)
-            ends = np.searchsorted(values, np.arange(ranges + 1, dtype=np.uint64) << np.uint64(COUNTED_BITS))
-            cut = [(r, a, b) for r, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if b > a]
-            nothing = [None] * len(cut)
-            return _batch(nothing, nothing, nothing, nothing, nothing, [r for r, _, _ in cut], [pack(low[a:b]) for _, a, b in cut])
+def _candidates(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Edges (node, peer) that join all nodes sharing a signature: each to the smallest of them.
+
+    A task posts a signature once for all the sets it holds, with the smallest of their nodes, and the others' edges to that one; so a signature that very many sets share meets as many rows as there are tasks. An edge travels as a posting of its own.
+    """
+
+    def posted(batches):
+        seen: set = set()  # of this task: copies post once
+        signature, node, size = [], [], 0
+
+        def grouped():
+            s, v = np.concatenate(signature), np.concatenate(node)
+            by = np.argsort(s)
+            s, v = s[by], v[by]
+            firsts = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+            least = np.minimum.reduceat(v, firsts)
+            peer = np.repeat(least, np.diff(firsts, append=len(s)))
+            pairs = np.unique(np.stack((v, peer))[:, v != peer], axis=1)
+            own = mix((pairs[0].astype(np.uint64) * np.uint64(3)) ^ mix(pairs[1].astype(np.uint64))).astype(np.int64)
+            columns = (np.concatenate((s[firsts].astype(np.int64), own)), np.concatenate((least, pairs[0])), np.concatenate((least, pairs[1])))
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["signature", "node", "peer"])
 
         for batch in batches:
-            out = []
             for s in shingles_of((part for _, part in text_parts(batch.column(1))), k):
                 own = digests_of(s)
-                out.append((len(s), int(np.searchsorted(bounds, len(s), "right")) - 1, *own))
-                if not unseen(own, seen):
+                if not len(s) or not unseen(own, seen):
                     continue
-                for _, x in signatures(s, num, den):
-                    held.append(x)
+                for w, x in signatures(s, num, den):
+                    signature.append(x)
+                    node.append(np.full(len(x), node_of(own[0], w), np.int64))
                     size += len(x)
                 if size >= FLUSH:
-                    yield counted()
-                    held, size = [], 0
-            n, band, d1, d2 = zip(*out, strict=True) if out else ((), (), (), ())
-            yield _batch(batch.column(0), n, band, d1, d2, [None] * len(n), [None] * len(n))
+                    yield grouped()
+                    signature, node, size = [], [], 0
         if size:
-            yield counted()
-
-    return docs.mapInArrow(rows, "doc_id bigint, n int, band int, d1 bigint, d2 bigint, range int, packed binary")
-
-
-def _batch(ids, n, band, d1, d2, ranges, packed) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-    arrays = [x.cast(t) if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip((ids, n, band, d1, d2, ranges, packed), kinds, strict=True)]
-    return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "band", "d1", "d2", "range", "packed"])
-
-
-class Shared:
-    """Which signatures more than one set may have. What the bitmap lacks, one set alone has."""
+            yield grouped()
 
-    def __init__(self, bitmap: np.ndarray, bits: int):
-        self.bitmap, self.shift = bitmap, np.uint64(64 - bits)
-
-    def of(self, x: np.ndarray) -> np.ndarray:
-        at = (x >> self.shift).astype(np.int64)
-        return x[(self.bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0]
-
-
-def _shared(packed: DataFrame, bits: int) -> Shared:
-    """Counts all signatures by their leading bits, a task for each range of hashes, and sends the range's part of the bitmap: 16 MB in all at most. A full bitmap lets every signature pass."""
-    kept = min(SHARED_BITS, bits + COUNTED_BITS)
-
-    def counted(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        count = np.zeros(1 << COUNTED_BITS, np.uint32)
-        for x in pdf["packed"]:
-            values = unpack(x)
-            firsts = np.flatnonzero(np.diff(values, prepend=-1))
-            count[values[firsts]] += np.diff(firsts, append=len(values)).astype(np.uint32)
-        twice = (count >= 2).reshape(1 << kept - bits, -1).any(axis=1)
-        return pd.DataFrame({"range": [key[0]], "bitmap": [np.packbits(twice, bitorder="little").tobytes()]})
-
-    bitmap = np.zeros((1 << bits, 1 << kept - bits - 3), np.uint8)
-    for r in packed.filter("packed is not null").select("range", "packed").groupBy("range").applyInPandas(counted, "range int, bitmap binary").toLocalIterator():
-        bitmap[r["range"]] = np.frombuffer(bytes(r["bitmap"]), np.uint8)
-    return Shared(bitmap.ravel(), kept)
+    postings = docs.mapInArrow(posted, "signature bigint, node bigint, peer bigint")
+    return postings.select("node", F.min("peer").over(Window.partitionBy("signature")).alias("peer")).filter("node <> peer")
 
 
 def divide_skip(sets: list[np.ndarray], num: int, den: int, side: np.ndarray | None = None, low: np.ndarray | None = None):
@@ -308,42 +278,17 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_i
 
     Words are the runs between the six ASCII spaces after lower-casing A-Z; a set holds the distinct shingles of k words, with fewer words the whole sequence as one. Sets link when intersection / union is num / den or more. class_id: the smallest doc_id with the same set; component_id: the smallest reachable by links; n_links: other distinct sets linked with this one. Nothing is approximate: classes are grouped by 128-bit digests, and all links between classes are found.
 
-    1. One pass hashes the texts, groups equal sets and counts signatures of their parts (see signatures). 2. Each set posts the signatures that others may share to inverted lists; sets that share a list are joined into candidate groups, window by window of sizes. 3. Each group's sets meet in one task, many small groups together, very large ones as pairs of blocks, and are searched by divide_skip. Copies are one class throughout.
+    1. One pass hashes the texts and groups equal sets. 2. Each set posts signatures of its parts (see signatures) to inverted lists, which a shuffle brings together; sets that share a list are joined into candidate groups, window by window of sizes. 3. Each group's sets meet in one task, many small groups together, very large ones as pairs of blocks, and are searched by divide_skip. Copies are one class throughout.
 
     Null or empty texts and texts of spaces: n_shingles 0, linked with nothing, component_id their own doc_id. A null doc_id cannot be linked to: such a row gets its class's component, null if it has none. Rows that repeat a doc_id are one node, whatever their texts. Other columns of docs are ignored.
     """
-    spark = docs.sparkSession
     plain = _binary(docs, doc_id, text)
-    ranges = 1 << min(20, max(4, (docs.count() // 4000).bit_length()))
-    bits = ranges.bit_length() - 1
-    passed = stored(_sets_and_counts(plain, k, num, den, ranges), "sets")
-    shared = spark.sparkContext.broadcast(_shared(passed, bits))
-    rows = passed.filter("packed is null").select("doc_id", "n", "band", "d1", "d2")
-    classes = stored(rows.filter("n > 0").groupBy("n", "band", "d1", "d2").agg(F.min("doc_id").alias("class_id")), "classes")
-
-    def posted(batches):
-        seen = set()  # of this task: copies post once
-        for batch in batches:
-            keys, values = [], []
-            for s in shingles_of((part for _, part in text_parts(batch.column(1))), k):
-                own = digests_of(s)
-                if not unseen(own, seen):
-                    continue
-                for w, x in signatures(s, num, den):
-                    x = shared.value.of(x)
-                    values.append(x.astype(np.int64))
-                    keys += [(own[0], w, len(x))]
-            if keys:
-                d1, w, times = (np.array(x, np.int64) for x in zip(*keys, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values)), pa.array(np.repeat(d1, times)), pa.array(np.repeat(w, times).astype(np.int32))], names=["signature", "d1", "w"])
-
-    postings = plain.select("doc_id", "text").mapInArrow(posted, "signature bigint, d1 bigint, w int")
-    postings = stored(postings.select("signature", F.xxhash64("d1", "w").alias("node")), "postings")
-    lists = postings.groupBy("signature").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
-    near = postings.join(lists.select("signature", "lo"), "signature").filter("node <> lo").select("node", "lo").distinct()
-    groups = connected_components(near, "node", "lo").withColumnRenamed("component", "grp")
+    rows = stored(_sets(plain, k, num, den), "sets")
+    total_rows = rows.count()
+    classes = stored(rows.filter("n > 0").groupBy("n", "band", "d1", "d2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("_n")), "classes")
+    groups = connected_components(_candidates(plain, k, num, den), "node", "peer").withColumnRenamed("component", "grp")
     windows = classes.filter("class_id is not null").select("class_id", "d1", "n", "band", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("w"))
-    windows = windows.select("class_id", "d1", "n", F.xxhash64("d1", "w").alias("node"), (F.col("w") == F.col("band")).alias("low"))
+    windows = windows.select("class_id", "d1", "n", node_of(F.col("d1"), F.col("w")).alias("node"), (F.col("w") == F.col("band")).alias("low"))
     members = stored(windows.join(groups, "node").select("class_id", "d1", "n", "low", "grp"), "members")
     total = members.agg(F.sum("n")).first()[0] or 0
     bins = max(1, -(-total // (block // 2)))
@@ -370,7 +315,8 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_i
     joined = connected_components(found, "a", "b")
     links = found.groupBy("a").agg(F.sum("links").alias("links"))
     per_class = classes.join(joined, classes["class_id"] == joined["node"], "left").join(links, classes["class_id"] == links["a"], "left")
-    per_class = per_class.select("n", "d1", "d2", "class_id", F.coalesce("component", "class_id").alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
-    return rows.join(per_class, ["n", "d1", "d2"], "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
-    )
+    per_class = per_class.select("n", "d1", "d2", "_n", "class_id", F.coalesce("component", "class_id").alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
+    named = salted_join(rows.filter("n > 0"), per_class, ["n", "d1", "d2"], total_rows)
+    columns = [F.col("n").cast("long").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"), "n_links"]
+    alone = rows.filter("n = 0").select("doc_id", "n", *[F.lit(None).cast("long").alias(c) for c in ("class_id", "component_id")], F.lit(0).cast("long").alias("n_links"))
+    return named.select("doc_id", *columns).unionByName(alone.select("doc_id", *columns))

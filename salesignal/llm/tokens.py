@@ -1,6 +1,6 @@
 """Words and shingles of whole texts as 64-bit hashes, a batch at a time in numpy.
 
-Two different words or shingles share a hash with odds of 2**-64. Only shingles of two documents that are compared with one another can disturb a result, so those odds do not grow with the corpus.
+Two different words or shingles share a hash with odds of 2**-64: a word's hash is a sum of random numbers, one for each pair of place and byte, so no pattern of bytes makes words meet (a polynomial modulo 2**64 has such patterns, whatever its base). Only shingles of two documents that are compared with one another can disturb a result, so those odds do not grow with the corpus.
 """
 
 from __future__ import annotations
@@ -24,30 +24,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_OF_BYTE = mix(np.arange(1, 257, dtype=np.uint64))
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(kind: str, base: np.uint64, n: int) -> np.ndarray:
-    if kind not in _powers or len(_powers[kind]) < n:
-        x = np.full(max(n, CHUNK + 1), base, np.uint64)
-        x[0] = 1
-        _powers[kind] = np.cumprod(x, dtype=np.uint64)
-    return _powers[kind][:n]
+#: Places in a word whose random numbers are held in a table; those of later places are made when they are met.
+PLACES = 32
+_AT = mix(np.arange(1, 256 * PLACES + 1, dtype=np.uint64))
 
 
 def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words (maximal runs without the six ASCII spaces) of texts, one after another, and the offset of each text's first word, with an end."""
-    joined = b"\n".join(texts) + b"\n"
-    raw = np.frombuffer(joined, np.uint8)
+    raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     space = SPACE[raw]
     starts = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
     ends = np.flatnonzero(space & np.concatenate(([False], ~space[:-1])))
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_OF_BYTE[raw] * _power("up", BASE, len(raw)), out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * _power("down", INVERSE, len(raw))[starts])
-    firsts = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
-    return hashes, np.searchsorted(starts, firsts)
+    sizes = ends - starts
+    firsts = np.cumsum(sizes) - sizes
+    code = (np.arange(int(sizes.sum())) - np.repeat(firsts, sizes)) * 256 + raw[~space]
+    late = np.flatnonzero(code >= len(_AT))
+    if len(late):
+        values = _AT[np.minimum(code, len(_AT) - 1)]
+        values[late] = mix(code[late].astype(np.uint64) + np.uint64(1))
+    else:
+        values = _AT[code]
+    hashes = mix(np.add.reduceat(values, firsts)) if len(firsts) else np.zeros(0, np.uint64)
+    offsets = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
+    return hashes, np.searchsorted(starts, offsets)
 
 
 def shingles_of(parts: Iterable[list[bytes]], k: int) -> Iterator[np.ndarray]:

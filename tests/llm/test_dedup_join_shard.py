@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from salesignal.llm import common
 from salesignal.llm import exact_dedup as ed
 from salesignal.llm import line_dedup as ld
 from salesignal.llm import ngram_join as nj
@@ -131,9 +132,29 @@ def test_ngram_join_edges(spark):
     assert nj.ngram_join(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("values", [[0], [5, 5, 5], [0, 255, 256, 70000, 1 << 31], list(range(0, 90000, 7))])
-def test_packing(values):
-    assert nj.unpack(nj.pack(np.array(values, np.int64))).tolist() == values
+def test_ngram_join_tells_long_words_apart(spark):
+    word = "".join("ab"[i.bit_count() & 1] for i in range(1024))
+    rows = [(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, word.upper())]
+    got = {r["doc_id"]: (r["class_id"], r["component_id"]) for r in nj.ngram_join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: (1, 1), 2: (2, 2), 3: (1, 1)}
+
+
+def test_ngram_join_of_long_texts_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(nj, "LISTED", 0)
+    monkeypatch.setattr(nj, "FLUSH", 500)
+    rng = random.Random(9)
+    long = [f"w{rng.randrange(9000)}" for _ in range(20_000)]
+    rows = [*near_copies(4, 60), (700, " ".join(long)), (701, " ".join(long[:-40])), (702, " ".join(long[:9000])), (703, None)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in nj.ngram_join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == brute(rows, 5, 80)
+
+
+def test_salted_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "FEW", 3)
+    rows = spark.createDataFrame([(k, i) for k, n in ((1, 50), (2, 3), (3, 1), (None, 2)) for i in range(n)], "k int, i int")
+    groups = rows.filter("k <> 3").groupBy("k").agg(F.count("*").alias("_n"), F.max("i").alias("top"))
+    got = sorted(map(tuple, common.salted_join(rows, groups, ["k"], 56, "left").collect()), key=str)
+    assert got == sorted([(k, i, top) for k, n, top in ((1, 50, 49), (2, 3, 2), (3, 1, None), (None, 2, None)) for i in range(n)], key=str)
 
 
 def test_components(spark):
