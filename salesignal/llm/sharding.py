@@ -64,27 +64,22 @@ def shard_documents(docs: DataFrame, shards: int = 16, key: str = "doc_id", text
 
     The law is `key`: the key's value and the number of shards decide, nothing else, so rows move only into an added shard, and in the expected fraction 1 / (shards + 1). `slot` numbers the rows of a shard from 0 without gaps. No task sees a whole shard: rows are numbered within (shard, bucket of the key's hash), and the buckets' counts, a few bytes each, give the offsets. `size` is the text's UTF-8 bytes plus 1.
 
-    Null keys go to shard 0, null texts count as no bytes (crc32 0), repeated rows each get a slot of their own; equal keys are ordered by crc32 and size. An empty table gives an empty table. Columns of docs named like the results are replaced; all others are kept.
+    Null keys go to shard 0, null texts count as no bytes (crc32 0), repeated rows each get a slot of their own; inside a bucket rows are ordered by key, crc32 and size. Buckets are cut by key and text, so rows that share a key, or have none, are spread as well. An empty table gives an empty table. Columns of docs named like the results are replaced; all others are kept.
     """
     kind = dict(docs.dtypes)[key]
-    k = stable_key(F.col(key), kind)
-    body = F.coalesce(F.col(text), F.lit(""))
+    private = {c: f"_{i}" for i, c in enumerate(docs.columns)}  # so that no column clashes with those below
+    own, body = F.col(private[key]), F.coalesce(F.col(private[text]).cast("string"), F.lit(""))
+    k = stable_key(own, kind)
     buckets = max(1, -(-docs.count() // (rows_per_bucket * shards)))
-    rows = docs.withColumns(
-        {
-            "shard": jump_hash(k, shards),
-            "grown_shard": jump_hash(k, shards + 1),
-            "size": F.octet_length(body).cast("long") + 1,
-            "text_crc32": F.crc32(body),
-            "_bucket": F.pmod(F.coalesce(F.xxhash64(F.col(key)), F.lit(0)), F.lit(buckets)).cast("int"),
-        }
-    )
-    counts = rows.groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("shard", "_bucket").orderBy(F.col(key), "text_crc32", "size")
-    numbered = rows.withColumn("_rank", F.row_number().over(inside).cast("long") - 1)
-    return numbered.join(offsets, ["shard", "_bucket"]).withColumn("slot", F.col("_before") + F.col("_rank")).drop("_bucket", "_before", "_rank")
+    new = {"shard": jump_hash(k, shards), "grown_shard": jump_hash(k, shards + 1), "size": F.octet_length(body).cast("long") + 1, "text_crc32": F.crc32(body)}
+    rows = docs.toDF(*private.values()).withColumns(new).withColumn("bucket", F.pmod(F.xxhash64(own, "text_crc32", "size"), F.lit(buckets)).cast("int"))
+    counts = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("shard", "bucket").orderBy(own, "text_crc32", "size")
+    numbered = rows.withColumn("rank", F.row_number().over(inside).cast("long") - 1).join(offsets, ["shard", "bucket"])
+    others = [F.col(i).alias(c) for c, i in private.items() if c not in new and c != "slot"]
+    return numbered.select(*others, *new, (F.col("before") + F.col("rank")).alias("slot"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
