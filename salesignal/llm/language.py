@@ -3,50 +3,56 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bytes of training text in a language's dictionary, and documents drawn for it, at most on average.
 DICTIONARY, DOCS = 1 << 17, 400
-#: Languages at most: those with the most training documents.
-MOST_LANGUAGES = 200
+#: Bytes of all dictionaries: beyond 256 languages each gets an equal part, down to LEAST_DICTIONARY.
+ALL_DICTIONARIES, LEAST_DICTIONARY = 1 << 25, 1 << 12
 LEVEL = 6
 #: Smallest lead over the second language, as a share of the smallest size, that is not rejected.
 MARGIN = 0.01
-LETTER = re.compile(r"[^\W\d_]")
 NO_LETTERS = re.compile(r"[\W\d_]+")
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is of Unicode's letter classes (signs such as a half or a circled digit are not)."""
+    return any(map(str.isalpha, text))
+
+
 def prepared(text: str) -> bytes:
-    """Lower case, with one space for each run of anything but letters: signs and digits say nothing about the language."""
+    """Lower case, with one space for each run of signs and digits: they say nothing about the language."""
     return NO_LETTERS.sub(" ", text.lower()).encode("utf-8", "replace")
 
 
 def learn_dictionaries(rows: DataFrame, per_language: int = DOCS, size: int = DICTIONARY) -> dict[str, bytes]:
-    """Raw-content dictionaries by language from (doc_id, text, lang) rows: a bounded sample, drawn by the hash of doc_id at a rate that gives each language per_language documents."""
-    rows = rows.filter("text is not null and lang is not null and length(text) > 0")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
-    if not counts:
+    """Raw-content dictionaries by language from (doc_id, text, lang) rows: a bounded sample of labelled rows, drawn by the hash of doc_id at a rate that gives each language per_language documents. Every language of the rows gets one.
+
+    Of a drawn text longer than a 32nd of a dictionary, a piece of that length is taken at a place that the hash of doc_id chooses, so that a dictionary holds many documents and not their beginnings alone. What a dictionary can't hold never comes to the driver.
+    """
+    rows = rows.filter("text is not null and lang is not null and length(text) > 0").select("doc_id", "text", "lang")
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    languages = counts.count()
+    if not languages:
         return {}
-    rate = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_language / n))])
-    draw = F.shiftrightunsigned(F.xxhash64("doc_id"), 11).cast("double") / float(1 << 53)
-    # of a sampled text, so much that the dictionary still holds many documents
-    drawn = rows.filter(draw < F.try_element_at(rate, F.col("lang"))).select("lang", F.substring("text", 1, size // 32).alias("text"), draw.alias("draw")).orderBy("draw").collect()
-    out: dict[str, bytes] = {}
-    for lang in counts:
-        seen, parts, held = set(), [], 0
-        for r in drawn:
-            t = r["text"]
-            if r["lang"] == lang and t not in seen and held < size:
-                seen.add(t)
-                parts.append(prepared(t))
-                held += len(parts[-1]) + 1
-        if parts:
-            out[lang] = b"\n".join(parts)[:size]
-    return out
+    size = min(size, max(LEAST_DICTIONARY, ALL_DICTIONARIES // languages))
+    piece = max(1, size // 32)
+    key = F.xxhash64("doc_id")
+    draw = F.shiftrightunsigned(key, 11).cast("double") / float(1 << 53)
+    at = F.pmod(F.xxhash64(key), F.greatest(F.lit(1), F.length("text") - (piece - 1))).cast("int") + 1
+    drawn = rows.join(counts, "lang").filter(draw * F.col("n") < per_language).select("lang", F.substring("text", at, F.lit(piece)).alias("text"), draw.alias("draw"))
+    drawn = drawn.groupBy("lang", "text").agg(F.min("draw").alias("draw"))
+    before = Window.partitionBy("lang").orderBy("draw", "text").rowsBetween(Window.unboundedPreceding, -1)
+    kept = drawn.withColumn("held", F.coalesce(F.sum(F.octet_length("text") + 1).over(before), F.lit(0))).filter(F.col("held") < size)
+    parts: dict[str, list[tuple[float, str]]] = defaultdict(list)
+    for r in kept.select("lang", "draw", "text").toLocalIterator():
+        parts[r["lang"]].append((r["draw"], r["text"]))
+    return {lang: b"\n".join(prepared(t) for _, t in sorted(own))[:size] for lang, own in parts.items()}
 
 
 class Compressors:
@@ -62,7 +68,7 @@ class Compressors:
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language or und, score, rejected)."""
-        if not text or not self.langs or not LETTER.search(text):
+        if not text or not self.langs or not has_letter(text):
             return "und", 0.0, True
         raw = prepared(text)
         sizes = sorted((len(c.compress(raw)), i) for i, c in enumerate(self.each))
