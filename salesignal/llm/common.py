@@ -86,14 +86,19 @@ HOT, FEW = 20_000, 400
 def salted_join(rows: DataFrame, groups: DataFrame, keys: list[str], total: int, how: str = "inner") -> DataFrame:
     """rows joined with groups, which has a row for each key and `_n`, the number of rows with it. total: the number of rows.
 
-    The rows of a hot key are dealt over as many tasks as they fill, by a hash of their other columns, and the key's group goes to each of these. The list of hot keys, HOT at most, is broadcast; all else is shuffled by key.
+    The rows of a hot key are dealt over as many tasks as they fill, by a hash of their other columns, and the key's group goes to each of these. The list of hot keys, HOT at most, is broadcast, so keys are to be small; all else is shuffled by key.
     """
     limit = max(FEW, -(-total // HOT))
-    parts = F.ceil(F.col("_n") / limit).cast("int")
-    hot = F.broadcast(groups.filter(F.col("_n") > limit).select(*keys, parts.alias("_parts")))
+    hot = F.broadcast(groups.filter(F.col("_n") > limit).select(*keys, F.col("_n").alias("_hot")))
+    return dealt_join(rows.join(hot, keys, "left"), groups, keys, F.coalesce("_hot", F.lit(0)), total, how).drop("_hot")
+
+
+def dealt_join(rows: DataFrame, groups: DataFrame, keys: list[str], n: Column, total: int, how: str = "inner") -> DataFrame:
+    """salted_join for rows that know by themselves (n) how many of them share their key, if these are many."""
+    limit = max(FEW, -(-total // HOT))
     others = [F.col(c) for c in rows.columns if c not in keys] or [F.lit(0)]
-    left = rows.join(hot, keys, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*others), F.col("_parts")), F.lit(0)).cast("int")).drop("_parts")
-    right = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col("_n") > limit, parts).otherwise(1) - 1))).drop("_n")
+    left = rows.withColumn("_salt", F.pmod(F.xxhash64(*others), F.greatest(F.lit(1), F.ceil(n / limit))).cast("int"))
+    right = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.col("_n") / limit)).cast("int") - 1))).drop("_n")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 

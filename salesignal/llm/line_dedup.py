@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from salesignal.llm.common import let, stored
+from salesignal.llm.common import dealt_join, let, salted_join, stored
 
 #: Lines that the rolling hash covers, and lines in a chunk on average.
 WINDOW, LINES = 2, 3
@@ -57,33 +57,44 @@ def _lines(text: str) -> Column:
     return F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n", -1)
 
 
+def _row_key(doc_id: str, text: str) -> list[Column]:
+    """What tells rows apart: doc_id, and hash and length of the text, since rows with one doc_id may differ."""
+    return [F.col(doc_id).alias("_doc"), F.xxhash64(F.col(text).cast("string")).alias("_hash"), F.octet_length(F.col(text).cast("string")).alias("_bytes")]
+
+
+ROW = ["_doc", "_hash", "_bytes"]
+
+
 def repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, average: int = LINES) -> DataFrame:
-    """(doc_id, removed): codes of each document's chunks of two lines or more that occur elsewhere and are not their text's first occurrence, by doc_id and then line.
+    """(_doc, _hash, _bytes, _removed): codes of each row's chunks of two lines or more that occur elsewhere and are not their text's first occurrence, by doc_id, row and line.
 
-    Hashes and lengths of all chunks are counted first, in rows of 32 bytes; only chunks that then seem repeated are cut out of the texts, and they are grouped by their bytes, so a chance meeting of hashes removes nothing. Equal chunks of a task leave it once.
+    Hashes and lengths of all chunks are counted first, in rows of 48 bytes; only chunks that then seem repeated are cut out of the texts, and they are grouped by their bytes, so a chance meeting of hashes removes nothing. Counts and first places are grouped in the tasks before they are shuffled, and the rows of a very common chunk are dealt over several tasks.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null")
+    rows = docs.select(*_row_key(doc_id, text), F.col(text).cast("string").alias("text")).filter("_doc is not null and text is not null")
     lines = _lines("text")
     hashed = let(lines, lambda x: F.transform(F.filter(chunk_codes(x, window, average), lambda c: n_lines(c) > 1), lambda c: let(_text(x, c), lambda t: F.struct(c.alias("code"), F.xxhash64(t).alias("hash"), F.octet_length(t).alias("size")))))
-    chunks = stored(rows.select("doc_id", F.explode(hashed).alias("c")).select("doc_id", "c.code", "c.hash", "c.size"), "chunks")
-    again = chunks.groupBy("hash", "size").agg(F.count("*").alias("n")).filter("n > 1").select("hash", "size")
-    asked = chunks.join(again, ["hash", "size"]).groupBy("doc_id").agg(F.collect_set("code").alias("codes"))
-    met = rows.join(asked, "doc_id").select("doc_id", "codes", lines.alias("lines")).withColumn("code", F.explode("codes"))
-    seen = stored(met.select("doc_id", "code", _text(F.col("lines"), F.col("code")).alias("chunk")), "repeated")
-    groups = seen.groupBy("chunk").agg(F.min(F.struct("doc_id", "code")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    later = seen.join(groups, "chunk").filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("code") != F.col("first.code")))
-    return later.groupBy("doc_id").agg(F.collect_set("code").alias("removed"))
+    chunks = stored(rows.select(*ROW, F.explode(hashed).alias("c")).select(*ROW, "c.code", "c.hash", "c.size"), "chunks")
+    total = chunks.count()
+    again = stored(chunks.groupBy("hash", "size").agg(F.count("*").alias("_n")).filter("_n > 1"), "again")
+    asked = salted_join(chunks, again.withColumn("n", F.col("_n")), ["hash", "size"], total).groupBy(*ROW).agg(F.collect_set(F.struct("code", "hash", "size", "n")).alias("asked"))
+    met = rows.join(asked, ROW).select(*ROW, lines.alias("lines"), F.explode("asked").alias("c"))
+    seen = stored(met.select(*ROW, "c.code", "c.hash", "c.size", "c.n", _text(F.col("lines"), F.col("c.code")).alias("chunk")), "repeated")
+    groups = seen.groupBy("hash", "size", "n", "chunk").agg(F.min(F.struct(*ROW, "code")).alias("first"), F.count("*").alias("met")).filter("met > 1").withColumn("_n", F.col("n"))
+    later = dealt_join(seen, groups, ["hash", "size", "n", "chunk"], F.col("n"), total).filter(F.struct(*ROW, "code") != F.col("first"))
+    return later.groupBy(*ROW).agg(F.collect_set("code").alias("_removed"))
 
 
 def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, average: int = LINES) -> DataFrame:
     """docs with the text cleaned, and n_lines, n_chunks, removed_chunks, removed_lines.
 
-    Of equal chunks of two lines or more in the whole table the first stays. A null text is no line and stays null; an empty one is a line without characters. Rows without doc_id stay as they are and count nowhere; rows that repeat a doc_id are one document, in which equal chunks at the same place are the same. Columns of docs with those names are replaced.
+    Of equal chunks of two lines or more in the whole table the first stays. A null text is no line and stays null; an empty one is a line without characters. Rows without doc_id stay as they are and count nowhere. Rows that repeat doc_id and text are one document; rows with one doc_id and different texts are different ones, in order of the texts' hashes. Columns of docs with those names are replaced, all others kept.
     """
-    removed = repeated_chunks(docs, doc_id, text, window, average).withColumnRenamed("doc_id", "_doc")
-    lines = _lines(text)
-    joined = docs.join(removed, F.col(doc_id) == F.col("_doc"), "left")
-    gone = F.coalesce("removed", F.expr("cast(array() as array<bigint>)"))
+    removed = repeated_chunks(docs, doc_id, text, window, average)
+    private = {c: f"_{i}" for i, c in enumerate(docs.columns)}
+    own = docs.toDF(*private.values())
+    own = own.select("*", *_row_key(private[doc_id], private[text])).join(removed, ROW, "left")
+    body = F.col(private[text]).cast("string")
+    gone = F.coalesce("_removed", F.expr("cast(array() as array<bigint>)"))
 
     def cleaned(x: Column) -> Column:
         def kept(codes: Column) -> Column:
@@ -96,7 +107,7 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wind
         return let(chunk_codes(x, window, average), kept)
 
     c = F.col("_clean")
-    out = joined.withColumn("_clean", let(lines, cleaned))
-    none = F.col(text).isNull()
-    new = {n: F.when(none, F.lit(0).cast("long")).otherwise(c[n]) for n in ("n_lines", "n_chunks", "removed_chunks", "removed_lines")}
-    return out.withColumns(new | {text: F.when(none, F.lit(None).cast("string")).when(c["removed_chunks"] == 0, F.col(text).cast("string")).otherwise(c["text"])}).drop("_doc", "_clean", "removed")
+    out = own.withColumn("_clean", let(_lines(private[text]), cleaned))
+    new = {n: F.when(body.isNull(), F.lit(0).cast("long")).otherwise(c[n]).alias(n) for n in ("n_lines", "n_chunks", "removed_chunks", "removed_lines")}
+    clean = F.when(body.isNull() | (c["removed_chunks"] == 0), body).otherwise(c["text"]).alias(text)
+    return out.select(*[clean if name == text else F.col(i).alias(name) for name, i in private.items() if name == text or name not in new], *new.values())

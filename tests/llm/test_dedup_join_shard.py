@@ -51,6 +51,19 @@ def test_sharding(spark, docs):
     assert shard_documents(docs.limit(0)).count() == 0
 
 
+def test_sharding_keeps_clashing_columns_and_long_texts(spark):
+    rows = [(i % 7 if i % 3 else None, "x" * (i * 5000), i, "b", 1, 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, _before int, _bucket string, _rank int, size int")
+    out = shard_documents(df, 3, rows_per_bucket=1)
+    got = out.collect()
+    assert out.columns == ["doc_id", "text", "_before", "_bucket", "_rank", "shard", "grown_shard", "size", "text_crc32", "slot"]
+    assert sorted(r["_before"] for r in got) == list(range(60)) and {(r["_bucket"], r["_rank"]) for r in got} == {("b", 1)}
+    assert all(r["size"] == len(r["text"]) + 1 for r in got)
+    for s in range(3):
+        own = sorted(r["slot"] for r in got if r["shard"] == s)
+        assert own == list(range(len(own)))
+
+
 def test_exact_dedup(spark, docs):
     for cut in (None, 0, 5, 100):
         got = ed.exact_dedup(docs, history_from=cut, per_bucket=2).collect()
@@ -197,6 +210,24 @@ def test_line_dedup(spark):
     assert ld.line_dedup(df.limit(0)).count() == 0
 
 
+def test_line_dedup_of_rows_with_one_id_and_clashing_names(spark, monkeypatch):
+    monkeypatch.setattr(common, "FEW", 2)
+    shared, own = "\n".join(f"shared {i}" for i in range(3)), "\n".join(f"own {i}" for i in range(3))
+    rows = [(1, shared), (5, shared), (5, own), (5, own), (6, shared), (7, shared), (8, None), (None, shared)]
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id bigint, text string, removed string, _doc string")
+    got = sorted(((r["doc_id"], r["text"]) for r in ld.line_dedup(df).collect()), key=str)
+    assert got == sorted([(1, shared), (5, ""), (5, own), (5, own), (6, ""), (7, ""), (8, None), (None, shared)], key=str)
+    assert ld.line_dedup(df).columns[:4] == ["doc_id", "text", "removed", "_doc"]
+
+
+def test_line_dedup_of_a_long_text(spark):
+    lines = [f"line {i}" for i in range(20_000)]
+    df = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(["start", *lines[5000:], "end"]))], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in ld.line_dedup(df).collect()}
+    assert got[1]["removed_lines"] == 0 and 14_900 < got[2]["removed_lines"] <= 15_000
+    assert got[2]["text"].startswith("start\n") and got[2]["text"].endswith("\nend")
+
+
 def test_line_dedup_removes_planted_passages(spark):
     rng = random.Random(7)
     passages = [[f"passage {b} line {j}" for j in range(12)] for b in range(40)]

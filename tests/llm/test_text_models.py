@@ -167,6 +167,34 @@ def test_language(spark):
     assert {r["lang_pred"] for r in la.language_id(docs, F.lit(False)).collect()} == {"und"}
 
 
+def test_language_by_brute_force(spark):
+    import zstandard
+
+    rng = random.Random(12)
+    stems = {"aa": ["bor", "tan", "kil"], "bb": ["zyx", "qua", "wev"], "cc": ["bor", "wev", "mun"]}
+    rows = [(i, " ".join(rng.choice(stems[lang]) + rng.choice(stems[lang]) for _ in range(rng.choice((1, 3, 40, 3000)))), lang) for i in range(60) for lang in ["aabbcc"[2 * (i % 3) :][:2]]]
+    rows += [(7, "bor", None), (7, "bor", None), (None, "zyxqua", "bb"), (100, "½ ²", "aa"), (101, "① Ⅷ ५", None), (102, "½x", None)]
+    docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id bigint, text string, lang string, lang_pred string")
+    dictionaries = la.learn_dictionaries(docs)
+    assert list(sorted(dictionaries)) == ["aa", "bb", "cc"] and max(map(len, dictionaries.values())) <= la.DICTIONARY
+    each = {k: zstandard.ZstdCompressor(level=la.LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False) for k, d in dictionaries.items()}
+    want = []
+    for i, t, _ in rows:
+        raw = re.sub(r"[\W\d_]+", " ", t.lower()).encode()
+        want.append((i, min(sorted(each), key=lambda k: len(each[k].compress(raw))) if any(c.isalpha() for c in t) else "und"))
+    got = [(r["doc_id"], r["lang_pred"]) for r in la.identified(docs, dictionaries).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert la.identified(docs.limit(0), dictionaries).count() == 0
+
+
+def test_every_language_gets_a_dictionary(spark):
+    rows = spark.range(0, 900).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.repeat(F.conv(F.col("id") % 300, 10, 36), 9)).alias("text"), F.concat(F.lit("l"), F.col("id") % 300).alias("lang"))
+    got = la.learn_dictionaries(rows)
+    assert len(got) == 300 and max(map(len, got.values())) <= la.ALL_DICTIONARIES // 300
+    long = spark.createDataFrame([(1, "start " + "x" * 50_000 + " end", "aa")], "doc_id bigint, text string, lang string")
+    assert len(la.learn_dictionaries(long)["aa"]) == la.DICTIONARY // 32
+
+
 def test_rates(spark):
     rng = np.random.default_rng(0)
     p = rng.dirichlet((3, 1, 0.3), 400)
