@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesignal.llm.common import BROADCAST_BYTES, size_within, stored
+from salesignal.llm.common import BROADCAST_BYTES, dealt_join, salted_join, size_within, stored
 from salesignal.llm.tokens import BASE, INVERSE, mix, text_parts, words_of
 
 #: Shortest tile, in tokens.
@@ -171,30 +171,41 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, share: float = LEAST_
 def joined_items(docs: DataFrame, benchmark: DataFrame, share: float, least: int, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """contained_items for a benchmark too large to send: distinct seeds of both sides are joined, pairs with enough of them are tiled where their texts meet."""
 
-    def seeds(of_item: bool):
-        """Distinct seeds of each text and the number of their places in it: an item's are as long as a tile, or as the item if that is shorter; a document has seeds of every such length."""
+    def seeds(tiles: list[int] | None = None):
+        """Distinct seeds of each text and the number of their places in it: an item's are as long as a tile, or as the item if that is shorter; a document has seeds of all the lengths in tiles. The first column and those after the text are kept."""
 
         def rows(batches):
             for batch in batches:
+                kept = [0, *range(2, batch.num_columns)]
                 for first, t in enumerate(batch.column(1)):
                     words, _ = tokens_of([t.as_buffer().to_pybytes() if t.is_valid else b""])
-                    lengths = [max(1, min(least, len(words)))] if of_item else range(1, least + 1)
+                    lengths = tiles or [max(1, min(least, len(words)))]
                     found = [np.unique(_grams(words, k), return_counts=True) for k in lengths] if len(words) else []
                     grams = np.concatenate([np.zeros(0, np.uint64), *[g ^ np.uint64(k) for k, (g, _) in zip(lengths, found, strict=False)]])
                     places = np.concatenate([np.zeros(0, np.int64), *[c for _, c in found]])
                     n = pa.array(np.full(len(grams), first))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(n), pa.array(grams.astype(np.int64)), pa.array(np.full(len(grams), len(words))), pa.array(places)], names=[batch.schema.names[0], "seed", "size", "places"])
+                    yield pa.RecordBatch.from_arrays([*[batch.column(i).take(n) for i in kept], pa.array(grams.astype(np.int64)), pa.array(np.full(len(grams), len(words))), pa.array(places)], names=[*[batch.schema.names[i] for i in kept], "seed", "size", "places"])
 
         return rows
 
     kinds = dict(docs.dtypes)[doc_id], dict(benchmark.dtypes)[item_id]
     items = _prepared(benchmark, item_id, item_text, "item_id").filter("item_id is not null and length(text) > 0").distinct()
-    plain = _prepared(docs, doc_id, text, "doc_id")
-    of_items = stored(items.mapInArrow(seeds(True), f"item_id {kinds[1]}, seed bigint, size bigint, places bigint"), "seeds")
-    of_docs = plain.mapInArrow(seeds(False), f"doc_id {kinds[0]}, seed bigint, size bigint, places bigint").select("doc_id", "seed")
+    plain = _prepared(docs, doc_id, text, "doc_id").withColumn("row", F.xxhash64("text"))
+    of_items = stored(items.mapInArrow(seeds(), f"item_id {kinds[1]}, seed bigint, size bigint, places bigint"), "seeds")
+    # documents have seeds of the lengths that items' tiles have (most often one), and those that no item has go first
+    tiles = sorted(r[0] for r in of_items.select(F.least(F.col("size"), F.lit(least)).cast("int")).distinct().collect())
+    if not tiles:
+        return docs.sparkSession.createDataFrame([], f"doc_id {kinds[0]}, item_id {kinds[1]}, coverage double")
+    of_docs = plain.mapInArrow(seeds(tiles), f"doc_id {kinds[0]}, row bigint, seed bigint, size bigint, places bigint").select("doc_id", "row", "seed").distinct()
+    wanted = stored(of_docs.join(of_items.select("seed").distinct(), "seed", "left_semi"), "wanted")
+    # a seed of very many documents is dealt over several tasks
+    common, total = wanted.groupBy("seed").agg(F.count("*").alias("_n")), wanted.count()
+    counted = salted_join(wanted, common.withColumn("n", F.col("_n")), ["seed"], total)
+    met = dealt_join(counted, of_items.join(common, "seed"), ["seed"], F.col("n"), total)
     # a seed covers `least` tokens at most at each of its places in the item, so seeds with fewer places than share * size / least cannot cover enough
-    pairs = of_docs.join(of_items, "seed").groupBy("doc_id", "item_id").agg(F.sum("places").alias("n"), F.min("size").alias("size")).filter(F.col("n") * least >= F.col("size") * share).select("doc_id", "item_id")
-    met = pairs.join(plain.distinct(), "doc_id").join(items.withColumnRenamed("text", "item"), "item_id")
+    pairs = met.groupBy("doc_id", "row", "item_id").agg(F.sum("places").alias("n"), F.min("size").alias("size")).filter(F.col("n") * least >= F.col("size") * share).select("doc_id", "row", "item_id")
+    texts = plain.dropDuplicates(["doc_id", "row"]).select(F.col("doc_id").alias("own"), F.col("row").alias("key"), "text")
+    met = pairs.join(texts, (F.col("row") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("own"))).join(items.withColumnRenamed("text", "item"), "item_id")
 
     @F.pandas_udf("double")
     def covered(doc: pd.Series, item: pd.Series) -> pd.Series:
@@ -211,13 +222,13 @@ def joined_items(docs: DataFrame, benchmark: DataFrame, share: float, least: int
 def decontamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
     """A row for each row of docs: doc_id, contaminated, n_items, worst_item (largest coverage, then smallest id) and coverage (0 without an item)."""
     found = contained_items(docs, benchmark, doc_id=doc_id, **options).groupBy("doc_id").agg(F.count_distinct("item_id").alias("n_items"), F.max("coverage").alias("coverage"), F.min_by("item_id", F.struct(-F.col("coverage"), F.col("item_id"))).alias("worst_item"))
-    found = found.withColumnRenamed("doc_id", "_doc")
-    return docs.select(doc_id).join(found, F.col(doc_id) == F.col("_doc"), "left").select(
-        F.col(doc_id).alias("doc_id"), F.col("_doc").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"), "worst_item", F.coalesce("coverage", F.lit(0.0)).alias("coverage")
-    )
+    rows = docs.select(F.col(doc_id).alias("doc_id"))
+    found = found.withColumnRenamed("doc_id", "found")
+    return rows.join(found, rows["doc_id"] == found["found"], "left").select("doc_id", F.col("found").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"), "worst_item", F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs that hold no item; rows with a null doc_id stay."""
-    found = contained_items(docs, benchmark, doc_id=doc_id, **options).select("doc_id").distinct()
-    return docs.join(found.withColumnRenamed("doc_id", "_doc"), F.col(doc_id) == F.col("_doc"), "left_anti")
+    """The rows of docs that hold no item, with all their columns; rows with a null doc_id stay. Rows that repeat a doc_id go if one of them holds an item."""
+    private = {c: f"_{i}" for i, c in enumerate(docs.columns)}  # so that no column clashes with the list of those found
+    found = contained_items(docs, benchmark, doc_id=doc_id, **options).select(F.col("doc_id").alias("found")).distinct()
+    return docs.toDF(*private.values()).join(found, F.col(private[doc_id]) == F.col("found"), "left_anti").select(*[F.col(i).alias(c) for c, i in private.items()])

@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +18,6 @@ from salesignal.llm.folding import fold, folded
 
 #: Labelled documents that the lexicon is learned from at most: those with the smallest hash of doc_id.
 MOST_TRAINED = 20_000
-#: Terms considered, and kept, at most.
-MOST_CANDIDATES, MOST_TERMS = 50_000, 4_096
 #: Lengths of the word beginnings that are terms beside whole words.
 PREFIXES = (4, 5, 6, 7, 8)
 FEWEST_DOCS = 3
@@ -42,16 +41,15 @@ def _terms_of(text: str) -> set[str]:
     return out
 
 
-def _gain(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> np.ndarray:
+def _gain(a: Column, b: Column, na: int, nb: int) -> Column:
     """Log-likelihood ratio of a term in a of na documents and b of nb, 0 where it is no more frequent in the first."""
-    n, both = na + nb, a + b
+    p = (a + b) / float(na + nb)
 
-    def part(x, total, expected):
-        return np.where(x > 0, x * np.log(np.maximum(x, 1e-12) / np.maximum(total * expected, 1e-12)), 0.0)
+    def part(x: Column, expected: Column) -> Column:
+        return F.when(x > 0, x * F.ln(x / expected)).otherwise(0.0)
 
-    p = both / n
-    out = 2 * (part(a, na, p) + part(na - a, na, 1 - p) + part(b, nb, p) + part(nb - b, nb, 1 - p))
-    return np.where(a * nb > b * na, out, 0.0)
+    out = part(a, p * na) + part(na - a, (1 - p) * na) + part(b, p * nb) + part(nb - b, (1 - p) * nb)
+    return F.when(a * nb > b * na, out * 2).otherwise(0.0)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, target: str, train: Column, most: int = MOST_TRAINED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -64,44 +62,36 @@ def training_rows(docs: DataFrame, labels: DataFrame, target: str, train: Column
 
 
 def learn_lexicon(rows: DataFrame, least_gain: float | None = None) -> Lexicon:
-    """A lexicon from (text, label) rows, at most MOST_TRAINED. Terms pass a likelihood-ratio test that allows for how many were tried; weights are log odds. No label of either kind: an empty lexicon."""
+    """A lexicon from (text, label) rows, at most MOST_TRAINED. Every term of FEWEST_DOCS toxic documents or more that passes a likelihood-ratio test, which allows for how many were tried, is kept; weights are log odds. No label of either kind: an empty lexicon."""
     sizes = {int(r["label"]): r["count"] for r in rows.groupBy("label").count().collect()}
     na, nb = sizes.get(1, 0), sizes.get(0, 0)
     if not na or not nb:
         return Lexicon()
 
     def terms(batches):
-        count: Counter = Counter()
-        for pdf in batches:
-            for t in pdf["text"]:
-                count.update(_terms_of(t))
-        yield pd.DataFrame({"term": list(count.keys()), "n": list(count.values())})
-
-    toxic = rows.filter("label = 1").select("text").mapInPandas(terms, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-    toxic = toxic.filter(F.col("n") >= FEWEST_DOCS).orderBy(F.desc("n"), "term").limit(MOST_CANDIDATES).collect()
-    seen = {r["term"]: r["n"] for r in toxic}
-    asked = rows.sparkSession.sparkContext.broadcast(frozenset(seen))
-
-    def known(batches):
-        count: Counter = Counter()
-        for pdf in batches:
-            for t in pdf["text"]:
-                count.update(_terms_of(t) & asked.value)
-        yield pd.DataFrame({"term": list(count.keys()), "n": list(count.values())})
-
-    benign = {r["term"]: r["n"] for r in rows.filter("label = 0").select("text").mapInPandas(known, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    names = sorted(seen)
-    a, b = np.array([seen[t] for t in names], float), np.array([benign.get(t, 0) for t in names], float)
-    gain = _gain(a, b, na, nb)
-    weight = np.log((a + 0.5) / (na + 1)) - np.log((b + 0.5) / (nb + 1))
-    least = 2 * math.log(20 * (len(names) + 1)) if least_gain is None else least_gain
-    best = [i for i in np.argsort(-gain, kind="stable") if gain[i] > least and weight[i] > 1][:MOST_TERMS]
-    lexicon = Lexicon({names[i]: round(float(min(weight[i], 8)), 4) for i in best})
+        count: tuple[Counter, Counter] = (Counter(), Counter())
+        for batch in batches:
+            for t, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
+                count[label].update(_terms_of(t))
+        for label, found in enumerate(count):
+            yield _counted(list(found), list(found.values()), [label] * len(found), "term")
+
+    n = F.col("n").cast("double")
+    counts = rows.select("text", "label").mapInArrow(terms, "term string, n bigint, label int").groupBy("term").agg(F.sum(F.when(F.col("label") == 1, n).otherwise(0.0)).alias("a"), F.sum(F.when(F.col("label") == 0, n).otherwise(0.0)).alias("b"))
+    counts = stored(counts.filter(F.col("a") >= FEWEST_DOCS), "terms")
+    least = 2 * math.log(20 * (counts.count() + 1)) if least_gain is None else least_gain
+    weight = F.ln((F.col("a") + 0.5) / (na + 1)) - F.ln((F.col("b") + 0.5) / (nb + 1))
+    kept = counts.select("term", weight.alias("weight"), _gain(F.col("a"), F.col("b"), na, nb).alias("gain")).filter((F.col("gain") > least) & (F.col("weight") > 1))
+    lexicon = Lexicon({r["term"]: round(min(r["weight"], 8.0), 4) for r in sorted(kept.collect())})
     lexicon.exceptions = _exceptions(rows, lexicon, na, nb)
     lexicon.coefficients = _calibrated(rows, lexicon)
     return lexicon
 
 
+def _counted(names: list[str], n: list[int], labels: list[int], name: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(n, pa.int64()), pa.array(labels, pa.int32())], names=[name, "n", "label"])
+
+
 def _exceptions(rows: DataFrame, lexicon: Lexicon, na: int, nb: int) -> tuple[str, ...]:
     """Phrases of a matched word and a neighbour that benign documents use and toxic ones do not."""
     found = rows.sparkSession.sparkContext.broadcast(lexicon)
@@ -109,16 +99,16 @@ def _exceptions(rows: DataFrame, lexicon: Lexicon, na: int, nb: int) -> tuple[st
     def phrases(batches):
         matcher = Matcher(found.value)
         count: Counter = Counter()
-        for pdf in batches:
-            for text, label in zip(pdf["text"], pdf["label"], strict=True):
-                count.update({(p, int(label)) for p in matcher.phrases(text)})
-        yield pd.DataFrame([(p, label, n) for (p, label), n in count.items()], columns=["phrase", "label", "n"])
+        for batch in batches:
+            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
+                count.update({(p, label) for p in matcher.phrases(text)})
+        yield _counted([p for p, _ in count], list(count.values()), [label for _, label in count], "phrase")
 
     if not lexicon.terms:
         return ()
-    counts = rows.mapInPandas(phrases, "phrase string, label int, n bigint").groupBy("phrase").agg(F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("benign"), F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("toxic"))
+    counts = rows.select("text", "label").mapInArrow(phrases, "phrase string, n bigint, label int").groupBy("phrase").agg(F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("benign"), F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("toxic"))
     least = F.lit(FEWEST_DOCS)
-    return tuple(sorted(r["phrase"] for r in counts.filter((F.col("benign") >= least) & (F.col("toxic") * (4 * nb) < F.col("benign") * na)).orderBy(F.desc("benign"), "phrase").limit(MOST_TERMS).collect()))
+    return tuple(sorted(r["phrase"] for r in counts.filter((F.col("benign") >= least) & (F.col("toxic") * (4 * nb) < F.col("benign") * na)).collect()))
 
 
 def _calibrated(rows: DataFrame, lexicon: Lexicon) -> tuple[float, ...]:
@@ -178,16 +168,27 @@ class Matcher:
     def phrases(self, text: str) -> set[str]:
         hits, _, spread = self.matches(text)
         out = set()
-        for at in hits:
-            before = spread[max(0, at - 40) : at].split()
-            own, *after = spread[at : at + 80].split()[:2]
+        for at in hits:  # at is the space before a word, whose neighbours may be any number of spaces away
+            end = spread.index(" ", at + 1)
+            own = spread[at + 1 : end]
+            before = _word(spread, at - 1, -1)
+            after = _word(spread, end + 1, 1)
             if before:
-                out.add(f" {before[-1]} {own} ")
+                out.add(f" {before} {own} ")
             if after:
-                out.add(f" {own} {after[0]} ")
+                out.add(f" {own} {after} ")
         return out
 
 
+def _word(spread: str, at: int, step: int) -> str:
+    """The whole word nearest to `at` in the direction of step; empty where there is none. spread begins and ends with a space."""
+    while 0 <= at < len(spread) and spread[at] == " ":
+        at += step
+    if not 0 <= at < len(spread):
+        return ""
+    return spread[spread.rindex(" ", 0, at) + 1 : spread.index(" ", at)]
+
+
 def measured(text: Column, lexicon: Lexicon) -> Column:
     """struct(weight, density, hits) of a text: the sum of its matches' weights, that sum over its words, their number. Null counts as empty."""
 
@@ -213,8 +214,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, train: Column | None = None, do
     The lexicon is learned from labels.toxic of training documents (train: a condition on labels' doc_id) unless one is given; scores depend on the text alone. Null and empty texts score as texts without a match; texts of any length are read whole. Without labels all score the prior. Columns of docs with those two names are replaced.
     """
     lexicon = lexicon or learn_lexicon(training_rows(docs, labels, "toxic", F.lit(True) if train is None else train, most, doc_id, text))
-    m = F.col("_measured")
-    return docs.withColumn("_measured", measured(F.col(text).cast("string"), lexicon)).withColumns({"toxicity": score_column(m, lexicon), "toxic_hits": m["hits"]}).drop("_measured")
+    private = {c: f"_{i}" for i, c in enumerate(docs.columns)}  # so that no column clashes with the measures
+    m = F.col("measured")
+    out = docs.toDF(*private.values()).withColumn("measured", measured(F.col(private[text]).cast("string"), lexicon))
+    new = {"toxicity": score_column(m, lexicon), "toxic_hits": m["hits"]}
+    return out.select(*[F.col(i).alias(c) for c, i in private.items() if c not in new], *[v.alias(k) for k, v in new.items()])
 
 
 def in_training(doc_id: str = "doc_id", folds: int = 5, held: int = 0) -> Column:

@@ -29,6 +29,74 @@ def test_tiling_of_reordered_runs():
     assert dc.coverage(item, doc[:60]) == 0.25 and dc.tiling(item, np.zeros(3, np.uint64)) == []
 
 
+def naive_tiling(item, doc, least):
+    """Greedy string tiling as first published: of all longest common runs of free tokens, those that are still free are marked, in order of place."""
+    in_item, in_doc, covered = set(), set(), 0
+    while True:
+        longest, found = least, []
+        for i in range(len(item)):
+            for j in range(len(doc)):
+                n = 0
+                while i + n < len(item) and j + n < len(doc) and item[i + n] == doc[j + n] and i + n not in in_item and j + n not in in_doc:
+                    n += 1
+                if n > longest:
+                    longest, found = n, [(i, j)]
+                elif n == longest:
+                    found.append((i, j))
+        if not found:
+            return covered
+        for i, j in found:
+            if not (in_item & set(range(i, i + longest)) or in_doc & set(range(j, j + longest))):
+                in_item |= set(range(i, i + longest))
+                in_doc |= set(range(j, j + longest))
+                covered += longest
+
+
+def test_coverage_is_that_of_naive_tiling():
+    rng = random.Random(17)
+    for _ in range(150):
+        a = [rng.randrange(rng.choice((3, 30))) for _ in range(rng.randrange(1, 30))]
+        b = [rng.randrange(30) for _ in range(rng.randrange(1, 20))]
+        for _ in range(rng.randrange(4)):
+            x, n, at = rng.randrange(len(a)), rng.randrange(12), rng.randrange(len(b) + 1)
+            b[at:at] = a[x : x + n]
+        for least in (1, 3, 4):
+            assert dc.coverage(np.array(a, np.uint64), np.array(b, np.uint64), least) == naive_tiling(a, b, least) / len(a), (a, b, least)
+
+
+@pytest.mark.parametrize("most_bytes", [1 << 20, 0])
+def test_decontamination_by_brute_force(spark, most_bytes):
+    rng = random.Random(18)
+    vocabulary = words(rng, 60)
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice((2, 5, 12, 30))))) for i in range(12)] + [(50, "— é"), (51, "!!"), (None, "x y z")]
+    rows = []
+    for i in range(60):
+        w = [rng.choice(vocabulary) for _ in range(rng.choice((0, 3, 40)))]
+        own = rng.choice(items[:12])[1].split()
+        cut = rng.randrange(len(own) + 1)
+        rows.append((i, " ".join([*own[cut:], *w, *own[: cut - rng.randrange(3)]])))
+    rows += [(3, rows[3][1]), (3, "another text"), (None, items[0][1]), (77, None), (78, ""), (79, " ".join(words(rng, 20_000)) + " " + items[3][1])]
+    docs = spark.createDataFrame([(i, t, 1, "c") for i, t in rows], "doc_id bigint, text string, _doc int, found string")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    tokens = lambda t: "".join(c.lower() if c.isalnum() or ord(c) > 127 else " " for c in t or "").split()
+    number = {}
+    code = lambda t: [number.setdefault(w, len(number)) for w in tokens(t)]
+    want = {}
+    for i, t in {(i, t) for i, t in rows}:
+        d = code(t)
+        for x, q in items:
+            c = code(q)
+            if x is not None and c and len(set(c) & set(d)) and naive_tiling(c, d if len(d) < 1000 else d[-40:], min(4, len(c))) >= 0.5 * len(c):
+                want.setdefault(i, set()).add(x)
+    got = {}
+    for r in dc.contained_items(docs, bench, most_bytes=most_bytes).collect():
+        got.setdefault(r["doc_id"], set()).add(r["item_id"])
+    assert got == want
+    kept = dc.decontaminated(docs, bench, most_bytes=most_bytes)
+    assert kept.columns == docs.columns and sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted((i for i, _ in rows if i is None or i not in want), key=str)
+    assert dc.decontamination(docs.limit(0), bench, most_bytes=most_bytes).count() == dc.contained_items(docs, bench.limit(0), most_bytes=most_bytes).count() == 0
+
+
 def test_tiles_never_overlap():
     rng = random.Random(2)
     for _ in range(60):
@@ -154,6 +222,50 @@ def test_toxicity(spark):
     assert len(set(again.values())) == 1
 
 
+def test_toxicity_by_brute_force(spark):
+    lexicon = tx.Lexicon({" vile ": 2.5, " vile": 1.0, " nast": 1.5, " bad ": 0.5}, (" not vile ", " nasty  weather ", " bad luck "), (-2.0, 1.5, 0.3))
+    rng = random.Random(21)
+    vocabulary = ["vile", "vilely", "nasty", "bad", "not", "luck", "weather", "fine", "V1LE", "b@d", "é"]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(30))) for _ in range(200)] + [None, "", "vile", "x " * 100_000 + "vile", "vile " * 30_000]
+    docs = spark.createDataFrame([(i % 150, t, 3, "z") for i, t in enumerate(texts)], "doc_id bigint, text string, measured int, _measured string")
+
+    def naive(text):
+        spread = f" {folded(text or '')} "
+        free = np.ones(len(spread), bool)
+        for p in lexicon.exceptions:
+            at = spread.find(p)
+            while at >= 0:
+                free[at : at + len(p) - 1] = False
+                at = spread.find(p, at + 1)
+        total = hits = 0
+        for m in re.finditer(r" (?=[^ ])", spread):
+            weights = [w for t, w in lexicon.terms.items() if spread.startswith(t, m.start())]
+            if weights and free[m.start()]:
+                total, hits = total + max(weights), hits + 1
+        density = total / (len(spread.split()) + 1)
+        return round(1 / (1 + np.exp(2.0 - 1.5 * np.log1p(total) - 0.3 * np.log1p(100 * density))), 9), hits
+
+    out = tx.toxicity(docs, None, lexicon=lexicon)
+    got = sorted((r["doc_id"], round(r["toxicity"], 9), r["toxic_hits"]) for r in out.collect())
+    assert got == sorted((i % 150, *naive(t)) for i, t in enumerate(texts)) and out.columns[:4] == docs.columns
+    assert tx.toxicity(docs.limit(0), None, lexicon=lexicon).count() == 0
+
+
+def test_lexicon_has_no_limit(spark):
+    """More terms than any earlier limit pass the test, each rare; a neighbour of any length makes an exception phrase."""
+    names = [f"t{i:05d}" for i in range(6000)]
+    rows = [(" ".join(names[i::20] + ["common"]), 1) for i in range(20) for _ in range(20)] + [("common words", 0)] * 400
+    found = tx.learn_lexicon(spark.createDataFrame(rows, "text string, label int"), least_gain=20.0)
+    assert all(f" {n} " in found.terms for n in names) and " common " not in found.terms
+    long = "x" * 200
+    rows = [(f"a vileword here {i}", 1) for i in range(200)] + [(f"{long}   vileword {i}", 0) for i in range(20)] + [(f"plain {i}", 0) for i in range(600)]
+    found = tx.learn_lexicon(spark.createDataFrame(rows, "text string, label int"))
+    assert f" {long} vileword " in found.exceptions
+    gain = spark.createDataFrame([(8.0, 1.0), (1.0, 8.0), (3.0, 0.0)], "a double, b double").select(tx._gain(F.col("a"), F.col("b"), 10, 20)).collect()
+    want = lambda a, b, na, nb: 2 * sum(x * np.log(x / e) for x, e in ((a, na * (a + b) / (na + nb)), (b, nb * (a + b) / (na + nb)), (na - a, na * (1 - (a + b) / (na + nb))), (nb - b, nb * (1 - (a + b) / (na + nb)))) if x)
+    assert np.allclose([r[0] for r in gain], [want(8, 1, 10, 20), 0, want(3, 0, 10, 20)])
+
+
 def test_language(spark):
     rng = random.Random(3)
     stems = {"aa": ["bor", "tan", "kil"], "bb": ["zyx", "qua", "wev"]}
