@@ -42,22 +42,24 @@ def _features(column):
 
 
 def fit_domains(rows: DataFrame, k: int = len(DOMAINS)) -> tuple[np.ndarray, np.ndarray]:
-    """(log P(feature | domain), log prior) from (text binary, domain int) rows, a bounded sample. Each domain's counts are added up in the tasks and come to the driver as vectors."""
+    """(log P(feature | domain), log prior) from (text binary, domain int) rows, a bounded sample. Tasks count the features they meet, a shuffle adds them up by feature, and 2 * BUCKETS numbers a domain come to the driver, however large the table is."""
 
     def counted(batches):
-        count, docs = np.zeros((k, 2 * BUCKETS), np.float64), np.zeros(k)
+        count, docs = np.zeros((k, 2 * BUCKETS)), np.zeros(k)
         for batch in batches:
             domains = np.array(batch.column("domain").to_pylist(), np.int64)
             for first, features, at, _ in _features(batch.column("text")):
                 own = np.repeat(domains[first : first + len(at) - 1], np.diff(at))
                 count += np.bincount(own * (2 * BUCKETS) + features, minlength=k * 2 * BUCKETS).reshape(k, -1)
             docs += np.bincount(domains, minlength=k)
-        yield pa.RecordBatch.from_arrays([pa.array([count.astype(np.float32).tobytes()]), pa.array([docs.tobytes()])], names=["count", "docs"])
+        domain, feature = np.nonzero(np.column_stack((docs, count)))
+        yield pa.RecordBatch.from_arrays([pa.array(domain), pa.array(feature - 1), pa.array(np.column_stack((docs, count))[domain, feature])], names=["domain", "feature", "n"])
 
     count, docs = np.zeros((k, 2 * BUCKETS)), np.zeros(k)
-    for r in rows.coalesce(8).mapInArrow(counted, "count binary, docs binary").toLocalIterator():
-        count += np.frombuffer(bytes(r["count"]), np.float32).reshape(k, -1)
-        docs += np.frombuffer(bytes(r["docs"]), np.float64)
+    summed = rows.mapInArrow(counted, "domain bigint, feature bigint, n double").groupBy("domain", "feature").agg(F.sum("n").alias("n")).toPandas()
+    own = summed["feature"] >= 0
+    count[summed["domain"][own], summed["feature"][own]] = summed["n"][own]
+    docs[summed["domain"][~own]] = summed["n"][~own]
     overall = count.sum(axis=0)
     smooth = 0.5 + 50 * (overall + 0.5) / (overall + 0.5).sum()
     likelihood = np.log(count + smooth) - np.log((count + smooth).sum(axis=1, keepdims=True))
@@ -229,7 +231,9 @@ def mixed_rates(docs: DataFrame, labels: DataFrame, targets: Sequence[float] = (
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: Sequence[float], seed: int = 0, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs drawn at their rates (at most 1): a row stays when the hash of its doc_id, a fixed number from 0 to 1, is below its rate, so the draw is the same on every run."""
-    rates = mixed_rates(docs, labels, targets, doc_id, text, **options).filter("doc_id is not null").groupBy("doc_id").agg(F.max("rate").alias("_rate")).withColumnRenamed("doc_id", "_doc")
-    draw = F.shiftrightunsigned(F.xxhash64(F.col(doc_id), F.lit(seed)), 11).cast("double") / float(1 << 53)
-    return docs.join(rates, F.col(doc_id) == F.col("_doc"), "left").filter(F.coalesce(draw < F.col("_rate"), F.col(doc_id).isNull())).drop("_doc", "_rate")
+    """docs drawn at their rates (at most 1): a row stays when the hash of its doc_id, a fixed number from 0 to 1, is below its rate, so the draw is the same on every run. Rows without doc_id stay; rows that repeat one are drawn together, at the largest of their rates."""
+    rates = mixed_rates(docs, labels, targets, doc_id, text, **options).filter("doc_id is not null").groupBy("doc_id").agg(F.max("rate").alias("rate")).withColumnRenamed("doc_id", "key")
+    private = {c: f"_{i}" for i, c in enumerate(docs.columns)}  # so that no column clashes with the rates
+    own = F.col(private[doc_id])
+    draw = F.shiftrightunsigned(F.xxhash64(own, F.lit(seed)), 11).cast("double") / float(1 << 53)
+    return docs.toDF(*private.values()).join(rates, own == F.col("key"), "left").filter(F.coalesce(draw < F.col("rate"), own.isNull())).select(*[F.col(i).alias(c) for c, i in private.items()])

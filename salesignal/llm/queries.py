@@ -66,7 +66,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rates = mixed_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return rates.select("doc_id", "tokens", "domain", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)], "rate")
+    return rates.select("doc_id", "tokens", "domain", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)], "rate", *[F.col("residual")[i].alias(f"missed_{d}") for i, d in enumerate(DOMAINS)])
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
