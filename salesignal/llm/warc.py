@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesignal.llm.common import new_path
+from salesignal.llm.common import BROADCAST_BYTES, new_path, size_within, stored
 
 END = "\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -42,21 +42,23 @@ def _clean(url: Column) -> Column:
     return F.regexp_replace(url, r"[\x00-\x20\x7f]", "%20")
 
 
-def resolved_headers(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
+def resolved_headers(pages: DataFrame, least_bytes: int = 0, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """pages (page_id, url, html) with payload, payload_bytes, payload_digest, record_type, refers_to and original_url.
 
-    Of pages with equal payloads of least_bytes or more, the one with the largest page_id is the response and the others revisit it. Only headers are grouped, after pre-aggregation, and the join back can be split where very many pages share a payload.
+    Of pages with equal payloads of least_bytes or more, the one with the largest page_id is the response and the others revisit it. Headers alone are shuffled by digest, after pre-aggregation. What comes back to the pages is the list of digests that more than one page has, with their responses: of a checked size it is sent to where the payloads lie, so that these are not moved; a longer list meets the pages by shuffle, and the adaptive skew join splits a digest that very many pages have.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": base32_sha1(F.col("payload").cast("binary"))})
-    originals = rows.groupBy("payload_digest").agg(F.max(F.struct("page_id", "url")).alias("original"))
-    revisits = (F.col("payload_bytes") >= least_bytes) & F.col("original.page_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original.page_id"))
-    rows = rows.join(originals, "payload_digest")
+    headers = rows.filter(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.max(F.struct("page_id", "url")).alias("original"), F.count("*").alias("n"))
+    shared = stored(headers.filter("n > 1 and original.page_id is not null").select("payload_digest", "original"), "shared-digests")
+    small = size_within(shared, F.octet_length("payload_digest") + F.coalesce(F.octet_length("original.url"), F.lit(0)) + 40, most_bytes)
+    rows = rows.join(F.broadcast(shared) if small else shared, "payload_digest", "left")
+    revisits = (F.col("payload_bytes") >= least_bytes) & F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original.page_id"))
     return rows.select(
         "page_id",
         "url",
-        "payload",
+        F.when(~revisits, F.col("payload")).alias("payload"),
         "payload_bytes",
         "payload_digest",
         F.when(revisits, "revisit").otherwise("response").alias("record_type"),
@@ -81,16 +83,16 @@ def record_text(date: str) -> Column:
         _line("WARC-Profile", F.when(revisit, F.lit(PROFILE))),
         _line("WARC-Refers-To", F.when(revisit, _record_id(F.col("refers_to"), F.col("payload_digest")))),
         _line("WARC-Refers-To-Target-URI", F.when(revisit, _clean(F.col("original_url")))),
-        _line("Content-Type", F.when(revisit, F.lit("application/http; msgtype=response")).otherwise(F.lit("application/http; msgtype=response"))),
+        _line("Content-Type", F.lit("application/http; msgtype=response")),
         _line("Content-Length", F.octet_length(block).cast("string")),
         F.lit(END),
     )
     return F.concat(head, block)
 
 
-def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", records: int = RECORDS) -> None:
+def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", records: int = RECORDS, most_bytes: int = BROADCAST_BYTES) -> None:
     """Deduplicated gzip archives below path. Spark's own writer commits them, so a lost or repeated task leaves no half-written file; a record ends with the two line ends that the format asks for."""
-    rows = resolved_headers(pages, least_bytes).select(record_text(date).alias("value"))
+    rows = resolved_headers(pages, least_bytes, most_bytes).select(record_text(date).alias("value"))
     rows.write.option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
 
 
