@@ -17,8 +17,8 @@ END = "\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CONV32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
-#: Records in an archive at most; partitions of the adaptive size keep its bytes bounded.
-RECORDS = 50_000
+#: Records in an archive at most, and bytes of its payloads on average, before compression.
+RECORDS, ARCHIVE_BYTES = 50_000, 1 << 28
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -90,8 +90,11 @@ def record_text(date: str) -> Column:
     return F.concat(head, block)
 
 
-def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", records: int = RECORDS, most_bytes: int = BROADCAST_BYTES) -> None:
-    """Deduplicated gzip archives below path. Spark's own writer commits them, so a lost or repeated task leaves no half-written file; a record ends with the two line ends that the format asks for."""
+def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", records: int | None = None, most_bytes: int = BROADCAST_BYTES) -> None:
+    """Deduplicated gzip archives below path, of `records` records each (not given: what makes ARCHIVE_BYTES on average). Spark's own writer commits them, so a lost or repeated task leaves no half-written file; a record ends with the two line ends that the format asks for."""
+    if records is None:
+        mean = pages.agg(F.avg(F.octet_length(F.col("html").cast("string")))).first()[0] or 0
+        records = max(1, min(RECORDS, int(ARCHIVE_BYTES / (mean + 1))))
     rows = resolved_headers(pages, least_bytes, most_bytes).select(record_text(date).alias("value"))
     rows.write.option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
 
@@ -152,12 +155,12 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     return records.filter("record_type = 'response'").withColumn("refers_to", F.lit(None).cast("long")).select(columns).unionByName(revisits)
 
 
-def archived_pages(pages: DataFrame, least_bytes: int = 0, path: str | None = None) -> DataFrame:
+def archived_pages(pages: DataFrame, least_bytes: int = 0, path: str | None = None, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Writes pages (page_id, url, html) as archives and reads them back: a row a page.
 
     Null html is an empty payload, a null url leaves its header out, a null page_id never is what others refer to. Rows that repeat the winning page_id with its payload are responses all, being one page. An empty table gives an empty result; other columns are not archived.
     """
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")
-    write_warc(pages, path, least_bytes)
+    write_warc(pages, path, least_bytes, most_bytes=most_bytes)
     return resolve_revisits(read_records(spark, path))

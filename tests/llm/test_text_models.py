@@ -156,6 +156,15 @@ def test_warc_round_trip(spark, tmp_path):
     assert sum(r["record_type"] == "revisit" for r in small) == 0
 
 
+def test_warc_of_long_payloads_and_an_empty_table(spark, tmp_path):
+    rows = [(1, "u", "x" * 3_000_000), (2, "u", "x" * 3_000_000), (3, "v", "y"), (3, "v", "z"), (4, "w", "y"), (None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    both = [sorted(map(tuple, wa.archived_pages(pages, 0, str(tmp_path / str(n)), most_bytes=n).collect()), key=str) for n in (0, 1 << 20)]
+    assert both[0] == both[1] and [(r[0], r[1], r[3], r[4]) for r in both[0] if r[0] != 3] == [(1, 3_000_000, "revisit", 2), (2, 3_000_000, "response", None), (4, 1, "response", None), (None, 0, "response", None)]
+    assert [r[3:] for r in both[0] if r[0] == 3] in ([("response", None), ("revisit", 4)], [("revisit", 4), ("response", None)])
+    assert wa.archived_pages(pages.limit(0), 0, str(tmp_path / "none")).count() == 0
+
+
 def test_warc_rejects_damage(tmp_path):
     import io
 
@@ -420,13 +429,147 @@ def test_missed_targets_are_told(spark):
     assert max(map(abs, rates.first()["residual"])) > 0.1
 
 
-def test_pipeline(spark):
+def test_posteriors_by_brute_force(spark):
+    """Naive Bayes over words and word ends, counted again with plain dictionaries of the words themselves."""
+    rng = random.Random(41)
+    stems = [["alpha", "beta", "gamma"], ["delta", "omega", "beta"], ["vile", "gamma", "nasty"]]
+    rows = [(i, " ".join(rng.choice(stems[i % 3]) for _ in range(rng.choice((1, 5, 30, 20_000 if i == 7 else 9))))) for i in range(60)] + [(60, None), (61, ""), (5, "alpha vile"), (None, "omega")]
+    labels = [(i, 0 if i % 3 == 1 else 1, int(i % 3 == 2)) for i in range(40)] + [(3, 0, 0), (None, 1, 1), (50, None, None)]
+    docs = spark.createDataFrame([(i, t, 1.0, "z") for i, t in rows], "doc_id bigint, text string, rate double, p string")
+    lab = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    domain = {}
+    for i, quality, toxic in labels:
+        d = 2 if toxic == 1 else 1 if quality == 0 else 0 if quality == 1 else None
+        if i is not None and d is not None:
+            domain[i] = max(d, domain.get(i, 0))
+    features = lambda t: [f for w in (t or "").split() for f in (w, "*" + w[-2:])]
+    count, seen = [{}, {}, {}], np.zeros(3)
+    for i, t in rows:
+        if i in domain and t is not None:
+            seen[domain[i]] += 1
+            for f in features(t):
+                count[domain[i]][f] = count[domain[i]].get(f, 0) + 1
+    total = 2 * mx.BUCKETS
+    known = sorted({f for c in count for f in c})
+    overall = {f: sum(c.get(f, 0) for c in count) + 0.5 for f in known}
+    everything = sum(overall.values()) + 0.5 * (total - len(known))
+    smooth = lambda f: 0.5 + 50 * overall.get(f, 0.5) / everything
+    sums = [sum(c.values()) + 0.5 * total + 50 for c in count]
+    want = []
+    for i, t in rows:
+        fs = features(t)
+        mean = [np.mean([np.log((c.get(f, 0) + smooth(f)) / s) for f in fs]) if fs else 0.0 for c, s in zip(count, sums, strict=True)]
+        z = np.log((seen + 1) / (seen.sum() + 3)) + np.array(mean) * min(len(fs), 24)
+        z = np.exp(z - z.max())
+        want.append((str(i), len((t or "").split()), *(z / z.sum()).round(4)))
+    got = [(str(r["doc_id"]), r["tokens"], *np.round(r["p"], 4)) for r in mx.domain_posteriors(docs, lab).collect()]
+    assert sorted(got)[0][0] == sorted(want)[0][0] and all(a[:2] == b[:2] and np.allclose(a[2:], b[2:], atol=2e-3) for a, b in zip(sorted(got), sorted(want), strict=True))
+    rates = mx.mixed_rates(docs, lab, (0.5, 0.3, 0.2))
+    assert rates.count() == len(rows) and rates.filter("rate < 0 or rate > 1 or rate is null").count() == 0
+    kept = mx.mixed(docs, lab, (0.5, 0.3, 0.2))
+    by_id = {r["doc_id"]: r["rate"] for r in rates.groupBy("doc_id").agg(F.max("rate").alias("rate")).collect()}
+    draw = {r[0]: (r[1] % (1 << 64) >> 11) / (1 << 53) for r in docs.select("doc_id", F.xxhash64("doc_id", F.lit(0))).collect()}
+    assert kept.columns == docs.columns and sorted((str(r["doc_id"]) for r in kept.collect())) == sorted(str(i) for i, _ in rows if i is None or draw[i] < by_id[i])
+    assert mx.mixed_rates(docs.limit(0), lab).count() == mx.mixed(docs.limit(0), lab, (1, 1, 1)).count() == 0
+    assert {tuple(np.round(r["p"], 6)) for r in mx.domain_posteriors(docs, lab.limit(0)).collect()} == {(0.333333,) * 3}
+
+
+def test_missed_targets_are_the_nearest(spark):
+    """No rates come nearer to targets that cannot be met: compared with a numpy descent over all rates."""
+    rng = np.random.default_rng(3)
+    p, t = rng.dirichlet((6, 0.5, 0.5), 200), rng.integers(1, 300, 200).astype(float)
+    df = spark.createDataFrame([(int(n), [float(v) for v in q]) for n, q in zip(t, p, strict=True)], "tokens bigint, p array<double>")
+    w = np.array((0.05, 0.05, 0.9))
+    _, residual = mx.fit_rates(df, w, budget=t.sum() / 2)
+    a = p * t[:, None]
+    metric = np.linalg.inv((a.T @ p) + 1e-4 * np.trace(a.T @ p) * np.eye(3))
+    x, step = np.ones(200), 1 / np.linalg.norm(a @ metric @ a.T, 2)
+    for _ in range(20_000):
+        x = np.clip(x - step * (a @ metric @ (a.T @ x - w * t.sum() / 2)), 0, 1)
+    best = a.T @ x - w * t.sum() / 2
+    mine = np.array(residual) * t.sum() / 2
+    assert mine @ metric @ mine <= 1.01 * (best @ metric @ best) and np.abs(residual).max() > 0.1
+
+
+def pipeline_tables(spark, folder, labelled=True):
+    rng = random.Random(51)
+    good, poor = words(rng, 80), words(rng, 80)
+    rows, labels = [], []
+    items = [(i, " ".join(rng.choice(good) for _ in range(25))) for i in range(4)]
+    for i in range(160):
+        w = [rng.choice(poor if i % 4 == 1 else good) for _ in range(rng.randrange(20, 120))]
+        if i % 8 == 3:
+            w[2], w[7], w[11] = "vileword", "vilestuff", "vileword"
+        if i % 20 == 6:
+            w[5:5] = items[i % 4][1].split()
+        if i % 20 == 14:
+            w = rows[i - 2][1].split()
+            w[-1] = "changed"
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i % 4 != 1), int(i % 8 == 3)))
+    rows += [(None, rows[0][1]), (None, None), (200, None), (201, ""), (4, rows[4][1]), (202, "x " * 20_000)]
+    spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").limit(len(labels) if labelled else 0).write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+
+def test_pipeline_stages_by_brute_force(spark, tmp_path):
+    """Each stage on all that the one before kept, its decisions made again without Spark. A null doc_id is kept by every stage, and gets shard 0."""
     import corpus_pipeline as cp
 
-    d = "/root/testdata/sf0.001"
+    from tests.llm.test_dedup_join_shard import brute, jump
+
+    d = str(tmp_path)
+    pipeline_tables(spark, d)
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    out = cp.run(spark, d)
-    got = out.toPandas()
-    assert 0.5 * docs.count() < len(got) <= docs.count() and set(docs.columns) < set(got.columns) and got["doc_id"].is_unique
-    for _, g in got.groupby("shard"):
-        assert sorted(g["slot"]) == list(range(len(g)))
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    items = [r["text"].split() for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
+    assert [n for n, _ in cp.STAGES] == ["toxicity", "ngram_jaccard_join", "benchmark_decontamination", "mixing", "sharding"]
+    for name, stage in cp.STAGES:
+        before = [tuple(r) for r in docs.collect()]
+        out = stage(spark, docs, d)
+        path = f"{d}/{name}"
+        out.write.parquet(path)
+        out = spark.read.parquet(path)
+        got = [tuple(r)[:5] for r in out.collect()]
+        if name == "toxicity":
+            lexicon = tx.learn_lexicon(tx.training_rows(docs, labels, "toxic", tx.in_training()))
+            assert {" vileword ", " vilestuff "} <= set(lexicon.terms)
+            want = [r for r in before if "vile" not in (r[1] or "")]
+            assert len(want) < len(before) - 15
+        elif name == "ngram_jaccard_join":
+            # the smallest id of a component stays, and so do rows without one
+            ids = brute([(-1 if r[0] is None else r[0], r[1]) for r in before if r[0] is not None], 5, 80)
+            want = [r for r in before if r[0] is None or ids[r[0]][1] == r[0]]
+            assert len(want) < len(before) - 4
+        elif name == "benchmark_decontamination":
+            number = {}
+            code = lambda w: np.array([number.setdefault(x, len(number)) for x in w], np.uint64)
+            want = [r for r in before if r[0] is None or not any(len((r[1] or "").split()) and dc.coverage(code(q), code(r[1].split()), 4) >= 0.5 for q in items)]
+            assert len(want) < len(before) - 4
+        elif name == "mixing":
+            rates = {r["doc_id"]: r["rate"] for r in mx.mixed_rates(docs, labels, cp.TARGETS, anchor=0).filter("doc_id is not null").groupBy("doc_id").agg(F.max("rate").alias("rate")).collect()}
+            draw = {r[0]: (r[1] % (1 << 64) >> 11) / (1 << 53) for r in docs.select("doc_id", F.xxhash64("doc_id", F.lit(0))).collect()}
+            want = [r for r in before if r[0] is None or draw[r[0]] < rates[r[0]]]
+        else:
+            want = before
+            rows = out.collect()
+            assert all(r["shard"] == (0 if r["doc_id"] is None else jump(r["doc_id"], 16)) and r["grown_shard"] in (r["shard"], 16) for r in rows)
+            for s in {r["shard"] for r in rows}:
+                own = sorted(r["slot"] for r in rows if r["shard"] == s)
+                assert own == list(range(len(own)))
+        assert sorted(got, key=str) == sorted(want, key=str), name
+        docs = out if name == "sharding" else out.select("doc_id", "text", "lang", "source", "n_chars")
+    assert sorted(map(str, cp.run(spark, d).collect())) == sorted(map(str, docs.collect()))
+
+
+def test_pipeline_without_labels_or_documents(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    pipeline_tables(spark, str(tmp_path), labelled=False)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert cp.drop_toxic(spark, docs, str(tmp_path)).count() == docs.count()
+    none = docs.limit(0)
+    for _, stage in cp.STAGES:
+        none = stage(spark, none, str(tmp_path))
+        assert none.count() == 0 and none.columns[:5] == docs.columns
