@@ -1,4 +1,7 @@
-"""The corpus pipeline: five stages over `documents`, each written as Parquet and read again as the next one's input. Counted as part of salesignal.llm."""
+"""The corpus pipeline: five stages over `documents`, each written as Parquet and read again as the next one's input. Counted as part of salesignal.llm.
+
+Every stage keeps null and empty texts and texts of any length like others, and rows whose doc_id is null (they are in no list of rows that go). Rows that repeat a doc_id share a fate where it is decided by doc_id: in the n-gram join, decontamination and mixing. An empty table gives an empty one; without labels nothing is toxic.
+"""
 
 from __future__ import annotations
 
