@@ -292,8 +292,9 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_i
     members = stored(windows.join(groups, "node").select("class_id", "d1", "n", "low", "grp"), "members")
     total = members.agg(F.sum("n")).first()[0] or 0
     bins = max(1, -(-total // (block // 2)))
-    large = members.groupBy("grp").agg(F.sum("n").alias("total")).filter(F.col("total") > block)
-    cut = members.join(large, "grp", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("total") / (block // 2)), F.lit(1)).cast("int"))
+    sizes = members.groupBy("grp").agg(F.sum("n").alias("total"), F.count("*").alias("_n"))
+    blocks = F.when(F.col("total") > block, F.ceil(F.col("total") / (block // 2))).otherwise(1).cast("int")
+    cut = salted_join(members, sizes, ["grp"], members.count()).withColumn("blocks", blocks)
     cut = cut.withColumn("block", F.pmod(F.xxhash64("d1"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     cut = cut.withColumn("other", other).select("class_id", "d1", "low", "grp", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("grp"), F.lit(bins))).otherwise(F.col("grp")).alias("bin"), (F.col("blocks") > 1).alias("split"))
