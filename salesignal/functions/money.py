@@ -29,9 +29,10 @@ def parse_price(text: Column) -> Column:
 
 
 def detect_currency(text: Column) -> Column:
+    """The longest mark found decides, of equally long ones the first listed; dollars where there is none."""
     up = F.upper(text_or_empty(text))
     out = F.lit("USD")
-    for mark, code in sorted(MARKS.items(), key=lambda x: len(x[0])):
+    for mark, code in reversed(sorted(MARKS.items(), key=lambda x: -len(x[0]))):
         out = F.when(up.contains(mark), code).otherwise(out)
     return out
 
@@ -39,7 +40,12 @@ def detect_currency(text: Column) -> Column:
 def extract_amount(text: Column) -> Column:
     """The longest run of digits, the first of equals, read in the American or European way."""
     runs = F.regexp_extract_all(F.replace(text_or_empty(text), F.lit(" "), F.lit("")), F.lit(r"(\d[\d.,]*\d|\d)"), F.lit(1))
-    s = F.aggregate(runs, F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
+    longest = F.aggregate(runs, F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
+    # bound once: the reading names it a dozen times
+    return F.element_at(F.transform(F.array(longest), _read_amount), 1)
+
+
+def _read_amount(s: Column) -> Column:
     comma, dot = s.contains(","), s.contains(".")
     # one separator with one or two digits after it is a decimal point
     decimal = s.rlike(r"^\d+[.,]\d{1,2}$")
@@ -57,9 +63,12 @@ def extract_amount(text: Column) -> Column:
 
 def parse_money(text: Column) -> Column:
     """struct(native, currency, usd); the dollars are rough and rounded to cents, half even."""
-    native, code = extract_amount(text), detect_currency(text)
-    rate = F.create_map(*[F.lit(x) for pair in RATES.items() for x in pair])[code]
-    return F.struct(native.alias("native"), F.when(native.isNotNull(), code).alias("currency"), F.bround(native * rate, 2).alias("usd"))
+    rates = F.create_map(*[F.lit(x) for pair in RATES.items() for x in pair])
+
+    def priced(x: Column) -> Column:
+        return F.struct(x["native"].alias("native"), F.when(x["native"].isNotNull(), x["code"]).alias("currency"), F.bround(x["native"] * rates[x["code"]], 2).alias("usd"))
+
+    return F.element_at(F.transform(F.array(F.struct(extract_amount(text).alias("native"), detect_currency(text).alias("code"))), priced), 1)
 
 
 def mixed_number(token: Column) -> Column:

@@ -204,22 +204,6 @@ def daily_counts(spark, d):
     return read(spark, d, "events").groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"))
 
 
-@query("SELECT source, count(*) AS lots, avg((regexp_matches(lower(text), 'idiot|scum|moron'))::INTEGER::DOUBLE) AS density FROM documents GROUP BY 1")
-def art_density(spark, d):
-    strong = F.lower("text").rlike("idiot|scum|moron")
-    return read(spark, d, "documents").groupBy("source").agg(F.count("*").alias("lots"), F.avg(strong.cast("double")).alias("density"))
-
-
-@query(
-    """WITH n AS (SELECT source, regexp_extract(text, '(idiot|scum|moron|clown|trash)', 1) AS name FROM documents)
-SELECT source, coalesce(list_sort(list(DISTINCT name) FILTER (name <> '')), []) AS masters, count(*) FILTER (name <> '') AS claims, count(DISTINCT name) FILTER (name <> '') >= 3 OR count(*) FILTER (name <> '') >= 8 AS mill FROM n GROUP BY 1"""
-)
-def mill_detect(spark, d):
-    name = F.regexp_extract("text", "(idiot|scum|moron|clown|trash)", 1)
-    out = read(spark, d, "documents").withColumn("name", F.when(name != "", name)).groupBy("source").agg(F.array_sort(F.collect_set("name")).alias("masters"), F.count("name").alias("claims"))
-    return out.withColumn("mill", (F.size("masters") >= 3) | (F.col("claims") >= 8))
-
-
 @query("SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'A' WHEN quality = 1 THEN 'B' ELSE 'C' END AS tier, CASE WHEN quality = 1 THEN 'listed' END AS standing FROM labels")
 def standing_tiers(spark, d):
     return read(spark, d, "labels").select("doc_id", c.score_tier(F.col("quality") * 7.5 - F.col("toxic") * 2.5).alias("tier"), c.standing(F.lit(0), F.col("quality"), F.lit(0)).alias("standing"))
