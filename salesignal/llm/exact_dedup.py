@@ -121,8 +121,8 @@ def build_history(rows: DataFrame, per_bucket: int = BUCKET) -> DataFrame:
     return _with_bucket(distinct, buckets).groupBy("bucket").applyInPandas(build, f"bucket int, buckets int, seeds binary, slots binary, winners array<{kind}>, copies array<bigint>")
 
 
-def probe_history(asked: DataFrame, history: DataFrame, buckets: int) -> DataFrame:
-    """Each distinct digest of asked (digest, newest, asked) with its winner and copies in the history: null and 0 for nonmembers."""
+def probe_history(asked: DataFrame, history: DataFrame, buckets: int, parts: int = 1) -> DataFrame:
+    """Each distinct digest of asked (digest, newest, asked) with its winner and copies in the history: null and 0 for nonmembers. A bucket's questions are dealt into so many parts, each of which gets the bucket's index row."""
     kind = dict(asked.dtypes)["newest"]
 
     def probe(index: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
@@ -141,7 +141,9 @@ def probe_history(asked: DataFrame, history: DataFrame, buckets: int) -> DataFra
         out["copies"] = [int(copies[i]) if ok else 0 for i, ok in zip(at, hit, strict=True)]
         return out
 
-    return history.groupBy("bucket").cogroup(_with_bucket(asked, buckets).groupBy("bucket")).applyInPandas(probe, f"digest binary, newest {kind}, asked bigint, winner {kind}, copies bigint")
+    index = history.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    dealt = _with_bucket(asked, buckets).withColumn("part", F.pmod(F.xxhash64("digest"), F.lit(parts)).cast("int"))
+    return index.groupBy("bucket", "part").cogroup(dealt.groupBy("bucket", "part")).applyInPandas(probe, f"digest binary, newest {kind}, asked bigint, winner {kind}, copies bigint")
 
 
 def dedup_against(rows: DataFrame, history_rows: DataFrame, per_bucket: int = BUCKET) -> DataFrame:
@@ -152,8 +154,10 @@ def dedup_against(rows: DataFrame, history_rows: DataFrame, per_bucket: int = BU
     history = stored(build_history(history_rows, per_bucket), "perfect-hash")
     found = history.select("buckets").limit(1).collect()
     buckets = found[0][0] if found else 1
-    asked = rows.groupBy("digest").agg(F.max("doc_id").alias("newest"), F.count("*").alias("asked"))
-    probed = stored(probe_history(asked, history, buckets), "probed")
+    asked = stored(rows.groupBy("digest").agg(F.max("doc_id").alias("newest"), F.count("*").alias("asked")), "asked")
+    # a small history has few buckets: a large batch is dealt over as many tasks as its own digests fill
+    parts = max(1, -(-asked.count() // (buckets * per_bucket)))
+    probed = stored(probe_history(asked, history, buckets, parts), "probed")
     both = probed.select("digest", F.greatest("newest", "winner").alias("keep_id"), (F.col("asked") + F.col("copies")).alias("group_size"))
     slots = history.select(F.posexplode("winners").alias("slot", "keep_id"), "slots", "copies").select(
         F.expr(f"substring(slots, slot * {DIGEST} + 1, {DIGEST})").alias("digest"), "keep_id", F.expr("copies[slot]").alias("group_size")
@@ -164,14 +168,14 @@ def dedup_against(rows: DataFrame, history_rows: DataFrame, per_bucket: int = BU
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", history_from=None, per_bucket: int = BUCKET) -> DataFrame:
     """A row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256 and from_history.
 
-    Texts are equal when their bytes are, after lower-casing A-Z only; of equal texts the row with the largest doc_id stays. Rows with doc_id at or above history_from are the history over whose distinct digests the perfect hash is built (half of the id range where it is not given), the others are looked up in it. The result does not depend on the cut.
+    Texts are equal when their bytes are, after lower-casing A-Z only; of equal texts the row with the largest doc_id stays. Rows with doc_id at or above history_from are the history over whose distinct digests the perfect hash is built (where it is not given: the median, so about half of the rows), the others are looked up in it. The result does not depend on the cut.
 
     Null texts count as empty. A null doc_id never wins over another; repeated rows with the winning doc_id are all kept, being one document. An empty table gives an empty result; other columns of docs are ignored.
     """
     rows = stored(digest_rows(docs, doc_id, text), "digests")
     if history_from is None:
-        lo, hi = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
-        history_from = 0 if lo is None else lo + (hi - lo) // 2
+        middle = rows.agg(F.percentile_approx("doc_id", 0.5)).first()[0]
+        history_from = 0 if middle is None else middle
     old = F.coalesce(F.col("doc_id") >= F.lit(history_from), F.lit(False))
     groups = dedup_against(rows.filter(~old), rows.filter(old), per_bucket)
     # the side with one row a digest is the smaller one; a hot digest's rows are split by the adaptive skew join

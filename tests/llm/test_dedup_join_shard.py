@@ -78,6 +78,27 @@ def test_exact_dedup(spark, docs):
     assert ed.exact_dedup(docs.limit(0)).count() == 0
 
 
+def test_large_batch_against_small_history(spark):
+    """The history has one bucket; the batch's digests are dealt over many parts, each of which looks up in it."""
+    rows = [(i, f"text {i % 150}") for i in range(400)] + [(10_000, "Text 7"), (10_001, "only here")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in ed.exact_dedup(docs, history_from=10_000, per_bucket=4).collect()}
+    groups: dict = {}
+    for i, t in rows:
+        groups.setdefault(t.lower(), []).append(i)
+    assert len(got) == len(rows)
+    for i, t in rows:
+        own = groups[t.lower()]
+        assert (got[i]["keep_id"], got[i]["group_size"], got[i]["kept"]) == (max(own), len(own), i == max(own))
+    assert {i for i, r in got.items() if r["from_history"]} == {10_000, 10_001}
+
+
+def test_history_is_cut_by_rows(spark):
+    """One outlying doc_id does not empty the history."""
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(100)] + [(1 << 60, "far")], "doc_id bigint, text string")
+    assert 45 <= ed.exact_dedup(docs).filter("from_history").count() <= 55
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 50, 3000])
 def test_perfect_hash(n):
     digests = [hashlib.sha256(str(i).encode()).digest() for i in range(n)]
