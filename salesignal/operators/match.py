@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salesignal.functions.keys import houses_match
+from salesignal.session import checkpointed
 
 
 def matched_houses(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -66,23 +66,20 @@ def hamming_pairs(rows: DataFrame, most: int, group: str = "group", key: str = "
 def greedy_clusters(rows: DataFrame, most: int, group: str = "group", key: str = "id", code: str = "hash", size: str = "size") -> DataFrame:
     """(group, id, cluster): rows of a group, largest first, each join the earliest cluster that has any member at most `most` bits away, else open one; clusters never merge. cluster is the id that opened it, its largest row.
 
-    The pairs come from hamming_pairs. The walk itself is sequential in a group and sees pairs of ids only, in a task for each group.
+    A row's cluster is thus opened by the first in order of all rows that lead to it along near pairs, each from the earlier to the later row. That is found by joins, without a walk through a group: in each round a row takes the first opener known to its earlier near rows, until no row changes. Rounds are as many as the longest of these ways has steps; each round's openers are checkpointed. An id that repeats in a group counts once, at its largest size. A row without code or group is near no other, one without size comes last.
     """
-    order = rows.select(F.col(group).alias("group"), F.col(key).alias("id"), F.row_number().over(Window.partitionBy(group).orderBy(F.desc(size), key)).alias("rank"))
-    pairs = hamming_pairs(rows, most, group, key, code)
-    kind = dict(rows.dtypes)
-
-    def walk(seen: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
-        rank = dict(zip(seen["id"], seen["rank"], strict=True))
-        of: dict = {}
-        by: dict = {}
-        for a, b in zip(near["a"], near["b"], strict=True):
-            if rank[a] > rank[b]:
-                a, b = b, a
-            by.setdefault(b, []).append(a)
-        for i in sorted(rank, key=rank.get):
-            found = [of[x] for x in by.get(i, [])]
-            of[i] = min(found, key=rank.get) if found else i
-        return pd.DataFrame({"group": [seen["group"].iloc[0]] * len(of) if len(seen) else [], "id": list(of), "cluster": list(of.values())})
-
-    return order.groupBy("group").cogroup(pairs.groupBy("group")).applyInPandas(walk, f"group {kind[group]}, id {kind[key]}, cluster {kind[key]}")
+    place = F.struct(F.col(size).isNull().alias("unknown"), (-F.col(size)).alias("size"), F.col(key).alias("id"))
+    own = rows.groupBy(F.col(group).alias("group"), F.col(key).alias("id")).agg(F.min(place).alias("place"))
+    pairs = hamming_pairs(rows, most, group, key, code).select("group", "a", "b").distinct()
+    first, second = (own.select("group", F.col("id").alias(x), F.col("place").alias(f"{x}_place")) for x in "ab")
+    forward = F.col("a_place") < F.col("b_place")
+    near = pairs.join(first, ["group", "a"]).join(second, ["group", "b"]).select("group", F.when(forward, F.col("b")).otherwise(F.col("a")).alias("id"), F.when(forward, F.col("a")).otherwise(F.col("b")).alias("earlier"))
+    near = checkpointed(near)
+    now = checkpointed(own.withColumns({"opener": F.col("place"), "moved": F.lit(True)}))
+    while not now.filter("moved").isEmpty():
+        told = near.join(now.filter("moved").select("group", F.col("id").alias("earlier"), F.col("opener").alias("told")), ["group", "earlier"])
+        told = told.groupBy("group", "id").agg(F.min("told").alias("told"))
+        moved = F.coalesce(F.col("told") < F.col("opener"), F.lit(False))
+        now = now.join(told, ["group", "id"], "left").select("group", "id", "place", F.when(moved, F.col("told")).otherwise(F.col("opener")).alias("opener"), moved.alias("moved"))
+        now = checkpointed(now)
+    return now.select("group", "id", F.col("opener.id").alias("cluster"))

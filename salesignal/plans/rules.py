@@ -99,7 +99,14 @@ def hamming_pairs(spark, d):
     return ma.hamming_pairs(hashes(spark, d), 20)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {HASHES},
+placed AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY size DESC, id) AS place FROM hashes),
+steps AS (SELECT x.grp, x.place AS earlier, y.place AS later FROM placed x JOIN placed y ON x.grp = y.grp AND x.place < y.place AND bit_count(xor(x.hash, y.hash)) <= 20),
+ways AS (SELECT grp, place, place AS opener FROM placed UNION SELECT w.grp, s.later, w.opener FROM ways w JOIN steps s ON s.grp = w.grp AND s.earlier = w.place),
+openers AS (SELECT grp, place, min(opener) AS opener FROM ways GROUP BY 1, 2)
+SELECT o.grp AS "group", x.id AS id, y.id AS cluster FROM openers o JOIN placed x ON x.grp = o.grp AND x.place = o.place JOIN placed y ON y.grp = o.grp AND y.place = o.opener"""
+)
 def greedy_cluster(spark, d):
     return ma.greedy_clusters(hashes(spark, d), 20)
 

@@ -86,5 +86,5 @@ def hashes(spark: SparkSession, d: str) -> DataFrame:
 
 HASHES = """
 hashes AS (
-  SELECT vec_id AS id, label AS grp, array_to_string(list_transform(embedding[1:64], lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '')::BIT AS hash FROM embeddings
+  SELECT vec_id AS id, label AS grp, CAST(round(abs(embedding[1]) * 1000) AS INTEGER) AS size, array_to_string(list_transform(embedding[1:64], lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '')::BIT AS hash FROM embeddings
 )"""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(name: str = "salesignal", master: str | None = None, **conf: str) -> SparkSession:
@@ -14,3 +16,14 @@ def build_session(name: str = "salesignal", master: str | None = None, **conf: s
     for k, v in (settings | conf).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df with its lineage cut, in the folder that the session names in spark.checkpoint.dir. Where that is unset, a temporary folder on one machine (master local), an error on a cluster."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="salesignal-"))
+    return df.checkpoint()
