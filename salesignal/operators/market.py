@@ -114,10 +114,12 @@ def artist_summary(prices: DataFrame, firewall: bool = False) -> DataFrame:
 
 
 def market_line(prices: DataFrame) -> DataFrame:
-    """Sold count and the upper middle price of each artist, which differs from the median for even counts."""
+    """Sold count and the upper middle price of each artist, which differs from the median for even counts. Prices are counted before they are ordered, so a task orders an artist's different prices only."""
     sold = prices.filter(F.col("outcome").isin("sold", "final_bid") & (F.col("price_usd") > 0))
-    ranked = sold.withColumns({"_at": F.row_number().over(Window.partitionBy("artist_key").orderBy("price_usd", "comp_id")), "_n": F.count("*").over(Window.partitionBy("artist_key"))})
-    return ranked.groupBy("artist_key").agg(F.max("_n").alias("sold_n"), F.max(F.when(F.col("_at") == F.expr("_n div 2 + 1"), F.col("price_usd"))).alias("middle_usd"))
+    counts = sold.groupBy("artist_key", "price_usd").agg(F.count("*").alias("_n"))
+    own = Window.partitionBy("artist_key")
+    placed = counts.withColumns({"_to": F.sum("_n").over(own.orderBy("price_usd")), "sold_n": F.sum("_n").over(own)})
+    return placed.filter(F.expr("_to >= sold_n div 2 + 1")).groupBy("artist_key").agg(F.max("sold_n").alias("sold_n"), F.min("price_usd").alias("middle_usd"))
 
 
 def market_detail(prices: DataFrame) -> DataFrame:
