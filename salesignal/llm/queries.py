@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from salesignal.llm.common import doc_key_crc, table
 from salesignal.llm.decontaminate import decontamination
 from salesignal.llm.exact_dedup import exact_dedup
+from salesignal.llm.filter_audit import document_audit
+from salesignal.llm.importance import importance_draw
 from salesignal.llm.language import language_id
 from salesignal.llm.line_dedup import line_dedup
 from salesignal.llm.mixing import DOMAINS, mixed_rates
@@ -73,5 +75,14 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance_draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), num=10, den=100, least_words=20, ngrams=(1, 1), buckets=10_000, seed="2024")
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
