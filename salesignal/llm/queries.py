@@ -12,6 +12,7 @@ from salesignal.llm.filter_audit import document_audit
 from salesignal.llm.importance import importance_draw
 from salesignal.llm.language import language_id
 from salesignal.llm.line_dedup import line_dedup
+from salesignal.llm.lm import lm_scores
 from salesignal.llm.mixing import DOMAINS, mixed_rates
 from salesignal.llm.ngram_join import ngram_join
 from salesignal.llm.secrets import KINDS, joined, secret_scan
@@ -84,5 +85,11 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = doc_key_crc(F.col("doc_id")) % 7
+    scores = lm_scores(table(spark, sf_dir, "documents"), fold != 2)
+    return scores.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
