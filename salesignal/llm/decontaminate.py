@@ -65,28 +65,50 @@ def tiling(item: np.ndarray, doc: np.ndarray, least: int = LEAST_TILE) -> list[t
     return tiles
 
 
+#: Pairs of equal seeds that are looked at together.
+PAIRS = 1 << 20
+
+
 def _matches(item, doc, in_item, in_doc, s: int) -> list[tuple[int, int, int]]:
-    """Maximal matches of s unmarked tokens or more, longest first."""
+    """Maximal matches of s unmarked tokens or more, longest first.
+
+    Where a match goes on, its seeds stand next to one another on a diagonal, so a match is a run of pairs of equal seeds. Pairs are made for some places of the text at a time; a run that reaches the last of them is joined with what goes on after it.
+    """
     free_i = np.convolve(in_item, np.ones(s, int), "valid") == 0
     free_j = np.convolve(in_doc, np.ones(s, int), "valid") == 0
     hi, hj = _rolling(item, s), _rolling(doc, s)
     starts_i, starts_j = np.flatnonzero(free_i), np.flatnonzero(free_j)
-    starts_j = starts_j[np.isin(hj[starts_j], hi[starts_i])]
-    by_hash: dict[int, list[int]] = {}
-    for i in starts_i.tolist():
-        by_hash.setdefault(int(hi[i]), []).append(i)
-    out = set()
-    covered: set[tuple[int, int]] = set()  # (diagonal, start in doc) inside a longer match
-    for j in starts_j.tolist():
-        for i in by_hash[int(hj[j])]:
-            if (i - j, j) in covered or not np.array_equal(item[i : i + s], doc[j : j + s]):
-                continue
-            n = s
-            while i + n < len(item) and j + n < len(doc) and item[i + n] == doc[j + n] and not in_item[i + n] and not in_doc[j + n]:
-                n += 1
-            covered.update((i - j, j + d) for d in range(n - s + 1))
-            out.add((n, i, j))
-    return sorted(out, key=lambda x: (-x[0], x[1], x[2]))
+    starts_i = starts_i[np.argsort(hi[starts_i], kind="stable")]
+    seeds = hi[starts_i]
+    lo, hi_end = np.searchsorted(seeds, hj[starts_j]), np.searchsorted(seeds, hj[starts_j], "right")
+    met = hi_end > lo
+    starts_j, lo, many = starts_j[met], lo[met], (hi_end - lo)[met]
+    runs: list[np.ndarray] = []  # (diagonal, first place in the text, seeds)
+    part = np.cumsum(many) // PAIRS if len(many) else many
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(many)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        n = many[a:b]
+        if not n.sum():
+            continue
+        j = np.repeat(starts_j[a:b], n)
+        i = starts_i[np.repeat(lo[a:b] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        order = np.lexsort((j, i - j))
+        diagonal, place = (i - j)[order], j[order]
+        first = np.flatnonzero(np.concatenate(([True], (diagonal[1:] != diagonal[:-1]) | (place[1:] != place[:-1] + 1))))
+        runs.append(np.stack((diagonal[first], place[first], np.diff(np.append(first, len(place))))))
+    if not runs:
+        return []
+    diagonal, place, seeds = np.concatenate(runs, axis=1)
+    if len(runs) > 1:
+        order = np.lexsort((place, diagonal))
+        diagonal, place, seeds = diagonal[order], place[order], seeds[order]
+        first = np.flatnonzero(np.concatenate(([True], (diagonal[1:] != diagonal[:-1]) | (place[1:] != place[:-1] + seeds[:-1]))))
+        diagonal, place, seeds = diagonal[first], place[first], np.add.reduceat(seeds, first)
+    length = seeds + s - 1
+    order = np.lexsort((place, place + diagonal, -length))
+    found = zip(length[order].tolist(), (place + diagonal)[order].tolist(), place[order].tolist(), strict=True)
+    # equal hashes are held against the tokens
+    return [(n, i, j) for n, i, j in found if np.array_equal(item[i : i + n], doc[j : j + n])]
 
 
 def coverage(item: np.ndarray, doc: np.ndarray, least: int = LEAST_TILE) -> float:
@@ -149,11 +171,11 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, share: float = LEAST_
     items = _prepared(benchmark, item_id, item_text, "item_id").filter("item_id is not null and length(text) > 0")
     if not size_within(items, F.octet_length("text"), most_bytes):
         return joined_items(docs, benchmark, share, least, doc_id, text, item_id, item_text)
-    rows = [(r[0], bytes(r[1])) for r in items.distinct().collect()]
-    held = docs.sparkSession.sparkContext.broadcast(rows)
+    built = Items([(r[0], bytes(r[1])) for r in items.distinct().collect()], least)  # once, not in every task
+    held = docs.sparkSession.sparkContext.broadcast(built)
 
     def tiled(batches):
-        known = Items(held.value, least)
+        known = held.value
         for batch in batches:
             row, item, share_of = [], [], []
             for first, part in text_parts(batch.column(1), lower=False):

@@ -147,17 +147,20 @@ class Matcher:
         words = int(np.count_nonzero(space[:-1] & ~space[1:])) if len(codes) else 0
         spread = f" {codes.tobytes().decode('utf-32-le')} "
         hits: dict[int, float] = {}
-        excused = []
+        edges = np.zeros(len(spread) + 1, np.int32)  # +1 where an exception phrase begins, -1 where it ends
+        excused = False
         if not self.empty:
             for end, (n, weight) in self.auto.iter(spread):
+                at = end - n + 1
                 if weight is None:
-                    excused.append((end - n + 1, end))
+                    edges[at] += 1
+                    edges[end] -= 1
+                    excused = True
                 else:
-                    at = end - n + 1
                     hits[at] = max(weight, hits.get(at, 0.0))
-        for a, b in excused:
-            for at in [x for x in hits if a <= x < b]:
-                del hits[at]
+        if excused:
+            inside = np.cumsum(edges) > 0
+            hits = {at: weight for at, weight in hits.items() if not inside[at]}
         return hits, words, spread
 
     def measure(self, text: str | None) -> tuple[float, float, int]:

@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -573,3 +574,31 @@ def test_pipeline_without_labels_or_documents(spark, tmp_path):
     for _, stage in cp.STAGES:
         none = stage(spark, none, str(tmp_path))
         assert none.count() == 0 and none.columns[:5] == docs.columns
+
+
+def test_tiling_of_one_repeated_word_takes_time_in_proportion_to_the_text(monkeypatch):
+    item = np.ones(400, np.uint64)
+
+    def took(n):
+        began = time.process_time()
+        assert dc.tiling(item, np.ones(n, np.uint64)) == [(400, 0, 0)]
+        return time.process_time() - began
+
+    took(1000)
+    assert took(40_000) < 4 * took(20_000) + 0.2
+    # runs that go over the end of a part are one match
+    monkeypatch.setattr(dc, "PAIRS", 64)
+    rng = random.Random(4)
+    for _ in range(60):
+        a = [rng.randrange(2) for _ in range(rng.randrange(4, 30))]
+        b = [rng.randrange(2) for _ in range(rng.randrange(4, 60))]
+        got = dc.tiling(np.array(a, np.uint64), np.array(b, np.uint64), 2)
+        assert sum(n for n, _, _ in got) == naive_tiling(a, b, 2)
+
+
+def test_many_hits_and_exceptions_in_one_text():
+    matcher = tx.Matcher(tx.Lexicon({" vile ": 2.0, " bad ": 1.5}, (" not bad ", " vile x ")))
+    began = time.process_time()
+    weight, density, hits = matcher.measure("vile y bad z vile x not bad " * 40_000)
+    assert hits == 80_000 and weight == 40_000 * 3.5 and time.process_time() - began < 5
+    assert matcher.measure("not bad vile x bad")[2] == 1 and matcher.measure("vile bad not bad")[2] == 2
