@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -50,18 +52,21 @@ def tiling(item: np.ndarray, doc: np.ndarray, least: int = LEAST_TILE) -> list[t
     tiles: list[tuple[int, int, int]] = []
     in_item, in_doc = np.zeros(len(item), bool), np.zeros(len(doc), bool)
     s = max(least, min(len(item), len(doc)) // 2)
-    while min(len(item), len(doc)) >= s >= least:
-        found = _matches(item, doc, in_item, in_doc, s)
-        if not found:
-            s = s // 2 if s > 2 * least else least if s > least else 0
-        elif found[0][0] > 2 * s:
-            s = found[0][0]
-        else:
-            # the longest is always marked; what it cuts short is looked at again with the same s
-            for n, i, j in found:
-                if not (in_item[i : i + n].any() or in_doc[j : j + n].any()):
-                    in_item[i : i + n] = in_doc[j : j + n] = True
-                    tiles.append((n, i, j))
+    while min(len(item), len(doc)) >= s >= least and not in_item.all():
+        # longest first; what is left of a match that marked tokens cut goes back to its place in the order
+        heap = [(-n, i, j) for n, i, j in _matches(item, doc, in_item, in_doc, s)]
+        while heap and not in_item.all():
+            n, i, j = heapq.heappop(heap)
+            taken = in_item[i : i - n] | in_doc[j : j - n]
+            if not taken.any():
+                in_item[i : i - n] = in_doc[j : j - n] = True
+                tiles.append((-n, i, j))
+                continue
+            edges = np.flatnonzero(np.diff(np.concatenate(([True], taken, [True])).astype(np.int8)))
+            for at, end in zip(edges[0::2].tolist(), edges[1::2].tolist(), strict=True):
+                if end - at >= s:
+                    heapq.heappush(heap, (at - end, i + at, j + at))
+        s = s // 2 if s > 2 * least else least if s > least else 0
     return tiles
 
 
