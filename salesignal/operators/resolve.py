@@ -47,15 +47,3 @@ def authority_rollup(holdings: DataFrame, distinctions: DataFrame, artists: Data
     out = artists.join(held, "artist_id", "left").join(awarded, "artist_id", "left")
     museums, awards = F.coalesce("museums", F.expr("cast(array() as array<string>)")), F.coalesce("awards", F.expr("cast(array() as array<string>)"))
     return out.select("artist_id", museums.alias("museums"), F.size(museums).cast("long").alias("museum_count"), F.coalesce("works", F.lit(0)).alias("works"), awards.alias("awards"), standing(F.col("papers"), F.size(museums), F.size(awards)).alias("standing"))
-
-
-def merge_entities(rows: DataFrame) -> DataFrame:
-    """(entity_key, canonical, ids, sources, birth_year): rows with the same outside id, else the same name key, become one; the earliest name stays, gaps are filled by later rows.
-
-    rows: seq, source, name, norm_key, ulan_id, birth_year. Rows of one outside id whose keys differ meet through it; a key without an id follows the id that shares the key.
-    """
-    by_key = rows.filter("ulan_id is not null").groupBy("norm_key").agg(F.min("ulan_id").alias("_of_key"))
-    keyed = rows.join(by_key, "norm_key", "left").withColumn("entity_key", F.coalesce(F.concat(F.lit("u:"), F.coalesce("ulan_id", "_of_key")), F.concat(F.lit("k:"), F.col("norm_key"))))
-    return keyed.groupBy("entity_key").agg(
-        F.min_by("name", "seq").alias("canonical"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"), F.min_by("birth_year", F.when(F.col("birth_year").isNotNull(), F.col("seq"))).alias("birth_year"), F.count("*").alias("records")
-    )

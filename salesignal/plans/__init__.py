@@ -1,6 +1,6 @@
 """All registered queries on the driver's tables."""
 
-from salesignal.plans import feeds, market, relational, rules  # noqa: F401
+from salesignal.plans import authority, feeds, market, relational, rules  # noqa: F401
 from salesignal.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -248,18 +248,6 @@ def resolve_cascade(spark, d):
     return r.resolve_cascade(claims, [part.filter("p_size > 40").select(F.lower("p_name").alias("key")), part.filter("p_size < 15").select(F.concat(F.lower("p_name"), F.lit(" late")).alias("key"))])
 
 
-@query(
-    """WITH rows AS (SELECT p_partkey AS seq, p_brand AS source, p_name AS name, lower(p_name) AS norm_key, CASE WHEN p_size > 47 THEN lpad(CAST(p_size AS VARCHAR), 9, '500') END AS ulan_id, CASE WHEN p_size % 4 = 0 THEN CAST(1850 + p_size AS INTEGER) END AS birth_year FROM part),
-ids AS (SELECT norm_key, min(ulan_id) AS of_key FROM rows WHERE ulan_id IS NOT NULL GROUP BY 1),
-keyed AS (SELECT r.*, coalesce('u:' || coalesce(ulan_id, of_key), 'k:' || norm_key) AS entity_key FROM rows r LEFT JOIN ids USING (norm_key))
-SELECT entity_key, arg_min(name, seq) AS canonical, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources, arg_min(birth_year, seq) FILTER (birth_year IS NOT NULL) AS birth_year, count(*) AS records FROM keyed GROUP BY 1"""
-)
-def merge_entities(spark, d):
-    size = F.col("p_size")
-    rows = read(spark, d, "part").select(F.col("p_partkey").alias("seq"), F.col("p_brand").alias("source"), F.col("p_name").alias("name"), F.lower("p_name").alias("norm_key"), F.when(size > 47, F.lpad(size.cast("string"), 9, "500")).alias("ulan_id"), F.when(size % 4 == 0, (size + 1850).cast("int")).alias("birth_year"))
-    return r.merge_entities(rows)
-
-
 _MASS = "regexp_extract(title, '\\b\\d{1,5}\\s*/\\s*(\\d{2,6})\\b', 1)"
 
 

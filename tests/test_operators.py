@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from salesignal.operators import authority as au
 from salesignal.operators import incremental as inc
 from salesignal.operators import market as m
 from salesignal.operators import match as ma
@@ -49,9 +50,9 @@ def test_cascade_and_merge(spark):
     claims = spark.createDataFrame([("ann lee big sea",), ("bo ray",)], "claim string")
     stores = [spark.createDataFrame([(x,)], "key string") for x in ("ann lee", "bo ray")]
     assert sorted(map(tuple, r.resolve_cascade(claims, stores).collect())) == [("ann lee big sea", "ann lee", 0), ("bo ray", "bo ray", 1)]
-    rows = spark.createDataFrame([(1, "a", "Ann Lee", "ann lee", "u1", None), (2, "b", "A. Lee", "a lee", "u1", 1900), (3, "b", "Ann Lee", "ann lee", None, 1901), (4, "c", "Bo Ray", "bo ray", None, None)], "seq int, source string, name string, norm_key string, ulan_id string, birth_year int")
-    got = {x["entity_key"]: (x["canonical"], x["sources"], x["birth_year"], x["records"]) for x in r.merge_entities(rows).collect()}
-    assert got == {"u:u1": ("Ann Lee", "a,b", 1900, 3), "k:bo ray": ("Bo Ray", "c", None, 1)}
+    rows = spark.createDataFrame([(1, "a", "Ann Lee", "ann lee", "u1", None), (2, "b", "A. Lee", "a lee", "u1", 1900), (3, "b", "Ann Lee", "ann lee", None, 1901), (4, "c", "Bo Ray", "bo ray", None, None)], "seq int, source string, name string, norm_key string, outside_id string, birth_year int")
+    got = {x["entity_key"]: (x["canonical"], x["sources"], x["birth_year"], x["records"]) for x in au.merged_entities(au.with_entity(rows)).collect()}
+    assert got == {"ann lee": ("Ann Lee", "a,b", 1900, 3), "bo ray": ("Bo Ray", "c", None, 1)}
 
 
 def test_hamming_and_greedy(spark):
