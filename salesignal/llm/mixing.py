@@ -136,7 +136,7 @@ CHANGE, TRIED, NEAR = 1e-6, 8, 5e-3
 LENGTHS = np.array((1.0, 0.5, 0.2, 0.07, 0.02))
 
 
-def fit_rates(rows: DataFrame, targets: Sequence[float], budget: float | None = None, most: float = 1.0, anchor: int | None = None, close: float = 1e-4) -> tuple[DataFrame, list[float]]:
+def fit_rates(rows: DataFrame, targets: Sequence[float], budget: float | None = None, most: float = 1.0, anchor: int | None = None, close: float = 1e-4, at_most: bool = False) -> tuple[DataFrame, list[float]]:
     """(rows with `rate`, residual of each domain as a share of the budget).
 
     rows: tokens and p, stored. Minimises the squared distance, whitened by the domains' moments per token, of the expected totals sum(rate * tokens * p) from targets * budget, over rates from 0 to most; of the rates that reach the same totals, those that change fewest tokens (squared change of the rate, weighted by tokens, from 1). Such a rate is 1 - p . multiplier, clipped, with k multipliers for the whole table, so a row's rate does not depend on its length and nothing of a row is kept or sent. The multipliers follow from Newton steps with line search on the dual, each one pass of sums; a step is the last when the rates are the nearest point for targets moved by a tenth of `close` at most. Distance to a convex set changes by no more than the target moves, so this bounds the error.
@@ -154,6 +154,9 @@ def fit_rates(rows: DataFrame, targets: Sequence[float], budget: float | None =
     supply = np.array([sums[f"s{i}"] or 0.0 for i in range(k)])
     if supply.sum() <= 0:
         return rows.withColumn("rate", F.lit(1.0)), [0.0] * k
+    if at_most and anchor is not None and w[anchor] > 0:
+        held = np.minimum(w / w[anchor] * supply[anchor], supply)
+        w = held / held.sum() if held.sum() > 0 else w
     fixed = budget is not None or anchor is not None
     if budget is None:
         able = [supply[i] / w[i] for i in range(k) if w[i] > 0]
