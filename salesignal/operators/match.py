@@ -35,6 +35,27 @@ def first_fragment(names: DataFrame, fragments: list[str], name: str = "name") -
     return names.withColumn("fragment", found)
 
 
+def fragment_matches(names: DataFrame, fragments: DataFrame, name: str = "name", q: int = 4) -> DataFrame:
+    """names with `fragment`, of a table's fragments the first by pos that the name contains in lower case, null without one.
+
+    A name that contains a fragment contains each run of q letters of it, so names and fragments meet by an equi-join on the one run of each fragment that fewest names have (a fragment of fewer letters is its own run), and what meets is checked. Distinct names are looked at once. fragments: pos, fragment; empty ones are in no name. Null names contain nothing.
+    """
+    parts = fragments.select("pos", F.lower("fragment").alias("fragment")).filter("fragment <> ''").groupBy("fragment").agg(F.min("pos").alias("pos"))
+    own = names.select(F.col(name).alias("_name")).filter("_name is not null").distinct().withColumn("_lower", F.lower("_name"))
+
+    def runs(text: Column, n: Column) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - n + 1)), lambda i: F.substring(text, i, n)))
+
+    sizes = F.array(*[F.lit(n) for n in range(1, q + 1)])
+    used = parts.select(F.least(F.length("fragment"), F.lit(q)).alias("n")).distinct()
+    spread = own.select("_name", "_lower", F.explode(sizes).alias("n")).join(F.broadcast(used), "n").select("_name", "_lower", F.explode(runs(F.col("_lower"), F.col("n"))).alias("run"))
+    asked = parts.select("pos", "fragment", F.explode(runs(F.col("fragment"), F.least(F.length("fragment"), F.lit(q)))).alias("run"))
+    common = spread.join(asked.select("run").distinct(), "run", "left_semi").groupBy("run").agg(F.count("*").alias("n"))
+    chosen = asked.join(common, "run", "left").groupBy("pos", "fragment").agg(F.min_by("run", F.struct(F.coalesce("n", F.lit(0)), F.col("run"))).alias("run"))
+    met = spread.join(chosen, "run").filter(F.col("_lower").contains(F.col("fragment"))).groupBy("_name").agg(F.min_by("fragment", "pos").alias("fragment"))
+    return names.join(met, F.col(name) == F.col("_name"), "left").drop("_name")
+
+
 def sign_hash(vector: Column) -> Column:
     """The signs of 64 numbers as one whole number."""
     bits = F.transform(F.slice(vector, 1, 64), lambda x: F.when(x > 0, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")))

@@ -19,14 +19,23 @@ def admit(rows: DataFrame, budget: str, order: list[Column], cost: str, cap: Col
     return rows.withColumn("spent", spent).withColumns({"attempted": (F.col("spent") - F.col(cost).cast("decimal(18,4)").cast("double")) < cap, "completed": F.col("spent") < cap})
 
 
-def taste_prior(events: DataFrame) -> DataFrame:
-    """(category, positive, negative, boost) for categories with enough events: half the log odds, from -1 to 1. events: category, kind, reason."""
-    cat = F.coalesce(F.lower("category"), F.lit("other"))
+def judged(events: DataFrame) -> DataFrame:
+    """(category, good, bad) of each reaction. A dismissal because the object is a reproduction is none of the category's fault. events: category, kind, reason."""
     good = F.col("kind").isin("save", "promote")
     bad = (F.col("kind") == "dismiss") & (F.coalesce("reason", F.lit("")) != "print/repro")
-    out = events.groupBy(cat.alias("category")).agg(F.count_if(good).alias("positive"), F.count_if(bad).alias("negative")).filter(F.col("positive") + F.col("negative") >= FEWEST_EVENTS)
+    return events.select(F.coalesce(F.lower("category"), F.lit("other")).alias("category"), F.coalesce(good, F.lit(False)).alias("good"), F.coalesce(bad, F.lit(False)).alias("bad"))
+
+
+def boosted(counts: DataFrame) -> DataFrame:
+    """(category, positive, negative, boost) of the categories with enough events: half the log odds, from -1 to 1. counts: category, positive, negative."""
     boost = F.ln((F.col("positive") + 1) / (F.col("negative") + 1)) / 2
-    return out.withColumn("boost", F.round(F.greatest(F.lit(-MOST_BOOST), F.least(F.lit(MOST_BOOST), boost)), 6))
+    enough = counts.select("category", "positive", "negative").filter(F.col("positive") + F.col("negative") >= FEWEST_EVENTS)
+    return enough.withColumn("boost", F.round(F.greatest(F.lit(-MOST_BOOST), F.least(F.lit(MOST_BOOST), boost)), 6))
+
+
+def taste_prior(events: DataFrame) -> DataFrame:
+    """(category, positive, negative, boost) of a ledger's reactions; see judged and boosted."""
+    return boosted(judged(events).groupBy("category").agg(F.count_if("good").alias("positive"), F.count_if("bad").alias("negative")))
 
 
 def art_density(lots: DataFrame) -> DataFrame:

@@ -206,9 +206,9 @@ def set_status(spark, d):
     return f.truncated(f.set_status(rows, F.col("o_totalprice") > 100000, "done"), note=3).drop("o_totalprice")
 
 
-@query("SELECT user_id AS id, max(ts) AS seen_at FROM events GROUP BY 1 ORDER BY seen_at DESC, id LIMIT 40")
+@query("SELECT DISTINCT o_custkey * 7919 % 100003 AS id FROM orders ORDER BY id DESC LIMIT 400")
 def seen_ids(spark, d):
-    return f.seen_ids(read(spark, d, "events").select(F.col("user_id").alias("id"), F.col("ts").alias("seen_at")), 40)
+    return f.seen_ids(read(spark, d, "orders").select((F.col("o_custkey") * 7919 % 100003).alias("id")), 400)
 
 
 @query("SELECT o_orderkey AS lot, o_totalprice AS priority FROM orders WHERE o_orderstatus = 'O' ORDER BY o_totalprice DESC, o_orderdate, o_orderkey LIMIT 50")
