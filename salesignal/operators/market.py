@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from salesignal.session import checkpointed
+
 # Widths, half-life and boosts of the weights, and the clamp of the yearly trend.
 SIZE_SIGMA, YEAR_SIGMA, HALF_LIFE, SERIES_BOOST = 0.55, 9.0, 6.0, 1.7
 MISSING_SIZE, MISSING_YEAR, MISSING_SALE, MOST_TREND, FEWEST_POINTS = 0.6, 0.7, 0.7, 0.30, 6
@@ -51,16 +53,19 @@ def weighted_comps(subjects: DataFrame, comps: DataFrame, now_year: int) -> Data
 
     subjects: subject_id, artist_key, medium_category, area_sqin, work_year, series_tokens. comps: comp_id, artist_key, medium_category, title, area_sqin, work_year, price_usd, outcome, sale_year, venue.
     """
-    pairs = comps.alias("c").join(subjects.alias("s"), (F.col("c.artist_key") == F.col("s.artist_key")) & (F.col("c.medium_category") == F.col("s.medium_category")))
-    sold = F.col("c.outcome").isin("sold", "final_bid") & (F.col("c.price_usd") > 0)
+    keys = ["artist_key", "medium_category"]
+    sold = F.coalesce(F.col("outcome").isin("sold", "final_bid") & (F.col("price_usd") > 0), F.lit(False))
+    own = comps.select("comp_id", *keys, "title", "area_sqin", "work_year", "sale_year", "price_usd", sold.alias("sold"), "venue")
+    # the comparables are most often a join of many tables, and are needed for growth and for prices: kept once
+    own = checkpointed(own.join(subjects.select(*keys).distinct(), keys, "left_semi").withColumn("stratum", F.explode(F.array(F.lit("all"), F.col("venue")))).drop("venue"))
+    # growth is that of the artist and medium, whatever work is valued, so it is found before subjects multiply the rows
+    growth = own.filter("sold").groupBy(*keys, "stratum").agg(trend(F.col("sale_year"), F.col("price_usd")).alias("growth"))
+    factor = F.pow(F.lit(1.0) + F.coalesce("growth", F.lit(0.0)), (F.lit(now_year) - F.col("sale_year")).cast("double"))
+    priced = own.join(growth, [*keys, "stratum"], "left").withColumn("price", F.round(F.col("price_usd") * F.coalesce(factor, F.lit(1.0)), 6))
+    pairs = priced.alias("c").join(subjects.alias("s"), (F.col("c.artist_key") == F.col("s.artist_key")) & (F.col("c.medium_category") == F.col("s.medium_category")))
     weight = size_weight(F.col("s.area_sqin"), F.col("c.area_sqin")) * year_weight(F.col("s.work_year"), F.col("c.work_year")) * recency_weight(F.col("c.sale_year"), now_year)
     weight = weight * F.when(series_match(F.col("s.series_tokens"), F.col("c.title")), SERIES_BOOST).otherwise(1.0)
-    rows = pairs.select("s.subject_id", "s.medium_category", "c.comp_id", "c.title", "c.sale_year", "c.price_usd", F.coalesce(sold, F.lit(False)).alias("sold"), F.round(weight, 12).alias("weight"), "c.venue")
-    rows = rows.withColumn("stratum", F.explode(F.array(F.lit("all"), F.col("venue")))).drop("venue")
-    growth = rows.filter("sold").groupBy("subject_id", "stratum").agg(trend(F.col("sale_year"), F.col("price_usd")).alias("growth"))
-    rows = rows.join(growth, ["subject_id", "stratum"], "left")
-    factor = F.pow(F.lit(1.0) + F.coalesce("growth", F.lit(0.0)), (F.lit(now_year) - F.col("sale_year")).cast("double"))
-    return rows.withColumn("price", F.round(F.col("price_usd") * F.coalesce(factor, F.lit(1.0)), 6))
+    return pairs.select("s.subject_id", "s.medium_category", "c.comp_id", "c.title", "c.sale_year", "c.price_usd", "c.sold", F.round(weight, 12).alias("weight"), "c.stratum", "c.growth", "c.price")
 
 
 def comp_estimates(subjects: DataFrame, comps: DataFrame, now_year: int) -> DataFrame:
@@ -78,7 +83,7 @@ def comp_estimates(subjects: DataFrame, comps: DataFrame, now_year: int) -> Data
 
 def comp_estimate(subjects: DataFrame, comps: DataFrame, now_year: int) -> DataFrame:
     """A row for each subject: the estimate over all comparables, and those of the big three and of all others where any big-three sale exists. Without sold comparables: n 0, confidence none."""
-    by = comp_estimates(subjects, comps, now_year)
+    by = checkpointed(comp_estimates(subjects, comps, now_year))  # a row or two a subject, read for both strata
     overall = by.filter("stratum = 'all'").drop("stratum")
     split = by.filter("stratum <> 'all'").groupBy("subject_id").agg(
         *[F.max(F.when(F.col("stratum") == s, F.col(c))).alias(f"{s}_{c}") for s in ("big3", "mid") for c in ("low", "mid", "high", "n", "confidence")]
