@@ -65,44 +65,81 @@ def _row_key(doc_id: str, text: str) -> list[Column]:
 ROW = ["_doc", "_hash", "_bytes"]
 
 
+NO_CODES = "cast(array() as array<bigint>)"
+
+
+def _code(first: Column, n: Column) -> Column:
+    return F.shiftleft(first.cast("long"), 32).bitwiseOR(n.cast("long"))
+
+
+def _agreeing(a: Column, b: Column) -> Column:
+    """How many elements two arrays have in common from their beginnings on."""
+    places = F.filter(F.sequence(F.lit(0), F.least(F.size(a), F.size(b))), lambda i: ~F.coalesce(F.get(a, i).eqNullSafe(F.get(b, i)) & (i < F.size(a)), F.lit(False)))
+    return F.element_at(places, 1)
+
+
 def repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, average: int = LINES) -> DataFrame:
-    """(_doc, _hash, _bytes, _removed): codes of each row's chunks of two lines or more that occur elsewhere and are not their text's first occurrence, by doc_id, row and line.
+    """(_doc, _hash, _bytes, _removed, _beside): codes of each row's chunks of two lines or more that occur elsewhere and are not their text's first occurrence, by doc_id, row and line; and codes of the lines next to these chunks that, byte for byte and without a gap, stand next to the first occurrence, too.
 
-    Hashes and lengths of all chunks are counted first, in rows of 48 bytes; only chunks that then seem repeated are cut out of the texts, and they are grouped by their bytes, so a chance meeting of hashes removes nothing. Counts and first places are grouped in the tasks before they are shuffled, and the rows of a very common chunk are dealt over several tasks.
+    A repeated passage seldom begins and ends where chunks do; the lines beside its chunks belong to the chunk that reaches over its edge and, as a boundary hangs on the lines around it, to the next, so two chunks on each side are compared line by line. Hashes and lengths of all chunks are counted first, in rows of 56 bytes; only chunks that then seem repeated are cut out of the texts, each with its neighbours, and they are grouped by their bytes, so a chance meeting of hashes removes nothing. Counts and first places are grouped in the tasks before they are shuffled, and the rows of a very common chunk are dealt over several tasks.
     """
     rows = docs.select(*_row_key(doc_id, text), F.col(text).cast("string").alias("text")).filter("_doc is not null and text is not null")
     lines = _lines("text")
-    hashed = let(lines, lambda x: F.transform(F.filter(chunk_codes(x, window, average), lambda c: n_lines(c) > 1), lambda c: let(_text(x, c), lambda t: F.struct(c.alias("code"), F.xxhash64(t).alias("hash"), F.octet_length(t).alias("size")))))
-    chunks = stored(rows.select(*ROW, F.explode(hashed).alias("c")).select(*ROW, "c.code", "c.hash", "c.size"), "chunks")
+
+    def described(x: Column, codes: Column) -> Column:
+        def one(c: Column, i: Column) -> Column:
+            before, after = (sum((F.coalesce(n_lines(F.get(codes, i + d)), F.lit(0)) for d in places), F.lit(0)) for places in ((-1, -2), (1, 2)))
+            return let(_text(x, c), lambda t: F.struct(c.alias("code"), F.xxhash64(t).alias("hash"), F.octet_length(t).alias("size"), before.alias("before"), after.alias("after")))
+
+        return F.filter(F.transform(codes, one), lambda c: n_lines(c["code"]) > 1)
+
+    hashed = let(lines, lambda x: let(chunk_codes(x, window, average), lambda codes: described(x, codes)))
+    chunks = stored(rows.select(*ROW, F.explode(hashed).alias("c")).select(*ROW, "c.*"), "chunks")
     total = chunks.count()
     again = stored(chunks.groupBy("hash", "size").agg(F.count("*").alias("_n")).filter("_n > 1"), "again")
-    asked = salted_join(chunks, again.withColumn("n", F.col("_n")), ["hash", "size"], total).groupBy(*ROW).agg(F.collect_set(F.struct("code", "hash", "size", "n")).alias("asked"))
-    met = rows.join(asked, ROW).select(*ROW, lines.alias("lines"), F.explode("asked").alias("c"))
-    seen = stored(met.select(*ROW, "c.code", "c.hash", "c.size", "c.n", _text(F.col("lines"), F.col("c.code")).alias("chunk")), "repeated")
-    groups = seen.groupBy("hash", "size", "n", "chunk").agg(F.min(F.struct(*ROW, "code")).alias("first"), F.count("*").alias("met")).filter("met > 1").withColumn("_n", F.col("n"))
-    later = dealt_join(seen, groups, ["hash", "size", "n", "chunk"], F.col("n"), total).filter(F.struct(*ROW, "code") != F.col("first"))
-    return later.groupBy(*ROW).agg(F.collect_set("code").alias("_removed"))
+    asked = salted_join(chunks, again.withColumn("n", F.col("_n")), ["hash", "size"], total).groupBy(*ROW).agg(F.collect_set(F.struct("code", "hash", "size", "n", "before", "after")).alias("asked"))
+
+    def cut(x: Column) -> Column:
+        def one(c: Column) -> Column:
+            first, n = first_line(c["code"]), n_lines(c["code"])
+            # what stands before is held from its last line on, as it is compared
+            return F.struct(*[c[f].alias(f) for f in ("code", "hash", "size", "n")], _text(x, c["code"]).alias("chunk"), F.reverse(F.slice(x, first - c["before"], c["before"])).alias("before"), F.slice(x, first + n, c["after"]).alias("after"))
+
+        return F.transform("asked", one)
+
+    # chunks are cut out before they become rows, so that none of these rows holds the whole text
+    met = rows.join(asked, ROW).select(*ROW, F.explode(let(lines, cut)).alias("c"))
+    seen = stored(met.select(*ROW, "c.*"), "repeated")
+    place = F.struct(*ROW, "code")
+    groups = seen.groupBy("hash", "size", "n", "chunk").agg(F.min(F.struct(place.alias("place"), "before", "after")).alias("first"), F.count("*").alias("met")).filter("met > 1").withColumn("_n", F.col("n"))
+    later = dealt_join(seen, groups, ["hash", "size", "n", "chunk"], F.col("n"), total).filter(place != F.col("first.place"))
+    first, n = first_line(F.col("code")), n_lines(F.col("code"))
+    later = later.select(*ROW, "code", _agreeing(F.col("before"), F.col("first.before")).alias("b"), _agreeing(F.col("after"), F.col("first.after")).alias("a"), first.alias("at"), n.alias("lines"))
+    beside = F.filter(F.array(_code(F.col("at") - F.col("b"), F.col("b")), _code(F.col("at") + F.col("lines"), F.col("a"))), lambda c: n_lines(c) > 0)
+    return later.groupBy(*ROW).agg(F.collect_set("code").alias("_removed"), F.array_distinct(F.flatten(F.collect_list(beside))).alias("_beside"))
 
 
 def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, average: int = LINES) -> DataFrame:
     """docs with the text cleaned, and n_lines, n_chunks, removed_chunks, removed_lines.
 
-    Of equal chunks of two lines or more in the whole table the first stays. A null text is no line and stays null; an empty one is a line without characters. Rows without doc_id stay as they are and count nowhere. Rows that repeat doc_id and text are one document; rows with one doc_id and different texts are different ones, in order of the texts' hashes. Columns of docs with those names are replaced, all others kept.
+    Of equal chunks of two lines or more in the whole table the first stays, and so do the lines next to it; of a later one, lines beside it that are those beside the first go with it (they count in removed_lines). A null text is no line and stays null; an empty one is a line without characters. Rows without doc_id stay as they are and count nowhere. Rows that repeat doc_id and text are one document; rows with one doc_id and different texts are different ones, in order of the texts' hashes. Columns of docs with those names are replaced, all others kept.
     """
     removed = repeated_chunks(docs, doc_id, text, window, average)
     private = {c: f"_{i}" for i, c in enumerate(docs.columns)}
     own = docs.toDF(*private.values())
     own = own.select("*", *_row_key(private[doc_id], private[text])).join(removed, ROW, "left")
     body = F.col(private[text]).cast("string")
-    gone = F.coalesce("_removed", F.expr("cast(array() as array<bigint>)"))
+    gone, beside = (F.coalesce(c, F.expr(NO_CODES)) for c in ("_removed", "_beside"))
 
     def cleaned(x: Column) -> Column:
         def kept(codes: Column) -> Column:
-            stay = F.array_except(codes, gone)
-            count = F.lit(0)
-            out = F.array_join(F.flatten(F.transform(stay, lambda c: F.slice(x, first_line(c), n_lines(c)))), "\n")
-            lost = F.aggregate(F.array_intersect(codes, gone), count, lambda a, c: a + n_lines(c))
-            return F.struct(F.size(x).cast("long").alias("n_lines"), F.size(codes).cast("long").alias("n_chunks"), (F.size(codes) - F.size(stay)).cast("long").alias("removed_chunks"), lost.cast("long").alias("removed_lines"), out.alias("text"))
+            def without(lost: Column) -> Column:
+                stay = F.array_except(F.sequence(F.lit(1), F.size(x)), lost)
+                return F.struct(F.size(x).cast("long").alias("n_lines"), F.size(codes).cast("long").alias("n_chunks"), F.size(F.array_intersect(codes, gone)).cast("long").alias("removed_chunks"), F.size(lost).cast("long").alias("removed_lines"), F.array_join(F.transform(stay, lambda i: F.element_at(x, i)), "\n").alias("text"))
+
+            # lines next to two chunks may be named twice
+            each = F.transform(F.concat(gone, beside), lambda c: F.sequence(first_line(c), first_line(c) + n_lines(c) - 1))
+            return let(F.array_distinct(F.flatten(each)), without)
 
         return let(chunk_codes(x, window, average), kept)
 
