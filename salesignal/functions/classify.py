@@ -164,13 +164,6 @@ def escalates(uncertain: Column, signed: Column, labelled: Column, promise: Colu
     return (F.coalesce(uncertain, F.lit(0)) == 1) | (F.coalesce(signed, F.lit(0)) == 1) | (F.coalesce(labelled, F.lit(0)) == 1) | F.coalesce(promise.try_cast("double") >= 5.0, F.lit(True))
 
 
-def valid_box(x: Column, y: Column, w: Column, h: Column) -> Column:
-    """A box in fractions of the picture, clamped to it; null when it lies outside, is empty or is no numbers."""
-    a, b, c, d = (v.try_cast("double") for v in (x, y, w, h))
-    good = a.between(0, 1) & b.between(0, 1) & (c > 0) & (d > 0) & (a + c <= 1.02) & (b + d <= 1.02)
-    return F.when(good, F.struct(a.alias("x"), b.alias("y"), F.least(c, 1 - a).alias("w"), F.least(d, 1 - b).alias("h")))
-
-
 def parse_tile(text: Column) -> Column:
     """struct(high_bid, realized, bids, estimate) from a tile's text."""
     number = lambda p: F.regexp_replace(F.regexp_extract(text_or_empty(text), p, 1), ",", "").try_cast("double")

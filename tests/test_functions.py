@@ -93,13 +93,10 @@ def test_flags(spark, tier, high, bid, flag):
     assert got is flag
 
 
-def test_standing_and_boxes(spark):
+def test_standing_tiers(spark):
     rows = [(0, 0, 0, None), (0, 1, 0, "listed"), (0, 3, 0, "strong"), (1, 0, 0, "strong"), (0, 0, 1, "strong")]
     for papers, museums, awards, want in rows:
         assert spark.range(1).select(c.standing(F.lit(papers), F.lit(museums), F.lit(awards))).first()[0] == want
-    box = lambda *v: spark.range(1).select(c.valid_box(*[F.lit(x).cast("string") for x in v])).first()[0]
-    assert tuple(box(0.1, 0.1, 0.5, 0.5)) == (0.1, 0.1, 0.5, 0.5)
-    assert box(0, 0, 1, 1) is not None and box(0, 0, 0, 1) is None and box(-1, 0, 1, 1) is None and box("x", 0, 1, 1) is None and box(None, 0, 1, 1) is None
 
 
 def test_tiles_and_replies(spark):
