@@ -14,8 +14,7 @@ MARKS = {
     "£": "GBP", "GBP": "GBP", "€": "EUR", "EUR": "EUR", "CHF": "CHF", "RMB": "CNY", "CN¥": "CNY", "CNY": "CNY", "JP¥": "JPY", "JPY": "JPY", "¥": "JPY", "$": "USD",
 }
 FRACTIONS = {"¼": 0.25, "½": 0.5, "¾": 0.75, "⅓": 1 / 3, "⅔": 2 / 3, "⅛": 0.125}
-SIDE = r"(\d+(?:\.\d+)?(?:\s+\d+\s*/\s*\d+)?|\d+\s*[¼½¾⅓⅔⅛])"
-SIZE = rf"(?i){SIDE}\s*[x×by]\s*{SIDE}(?:\s*[x×by]\s*\d+(?:\.\d+)?)?"
+SIZE = r"(\d+(?:\.\d+)?(?:\s+\d+\s*/\s*\d+)?|\d+\s*[¼½¾⅓⅔⅛])\s*[x×by]\s*(\d+(?:\.\d+)?(?:\s+\d+\s*/\s*\d+)?|\d+\s*[¼½¾⅓⅔⅛])(?:\s*[x×by]\s*\d+(?:\.\d+)?)?"
 
 
 def _positive(c: Column) -> Column:
@@ -28,13 +27,16 @@ def parse_price(text: Column) -> Column:
     return _positive(F.regexp_replace(run, ",", "").try_cast("double"))
 
 
+#: Marks from the longest on, of equally long ones in the order listed.
+RANKED = sorted(MARKS, key=lambda mark: -len(mark))
+
+
 def detect_currency(text: Column) -> Column:
-    """The longest mark found decides, of equally long ones the first listed; dollars where there is none."""
-    up = F.upper(text_or_empty(text))
-    out = F.lit("USD")
-    for mark, code in reversed(sorted(MARKS.items(), key=lambda x: -len(x[0]))):
-        out = F.when(up.contains(mark), code).otherwise(out)
-    return out
+    """The longest mark found decides, of equally long ones the first listed; dollars where there is none. One pattern finds the marks of a text, so only those that are there are ranked."""
+    found = F.regexp_extract_all(F.upper(text_or_empty(text)), F.lit("(" + "|".join(m.replace("$", r"\$") for m in RANKED) + ")"), F.lit(1))
+    place = F.create_map(*[F.lit(x) for i, m in enumerate(RANKED, 1) for x in (m, i)])
+    best = F.array_min(F.transform(found, lambda m: F.try_element_at(place, m)))
+    return F.when(best.isNotNull(), F.element_at(F.array(*[F.lit(MARKS[m]) for m in RANKED]), best)).otherwise("USD")
 
 
 def extract_amount(text: Column) -> Column:
@@ -85,7 +87,7 @@ def mixed_number(token: Column) -> Column:
 
 def parse_dimensions(text: Column) -> Column:
     """struct(width, height, area) in inches: the first size given in inches, else the first size, centimetres converted; null unless both sides are 0.5 to 600."""
-    around = rf"(?is)(.{{0,4}}?){SIZE[4:]}(?=(.{{0,12}}))"
+    around = rf"(?is)(.{{0,4}}?){SIZE}(?=(.{{0,12}}))"
     t = text_or_empty(text)
     sizes = F.transform(
         F.arrays_zip(*[F.regexp_extract_all(t, F.lit(around), F.lit(i)).alias(f"g{i}") for i in (1, 2, 3, 4)]),

@@ -23,53 +23,88 @@ def artist_keys(spark, d):
     return rows.select("s_suppkey", k.artist_key(F.col("s_name")).alias("key"), k.sorted_key(k.artist_key(F.col("p_name"))).alias("sorted"), k.intel_key(F.col("s_name")).alias("intel"))
 
 
-_MONEY_TEXT = "CASE CAST(l_linenumber AS INTEGER) % 4 WHEN 0 THEN '£' || format('{:,}', CAST(floor(l_extendedprice) AS BIGINT)) WHEN 1 THEN 'US$' || CAST(CAST(floor(l_extendedprice) AS BIGINT) AS VARCHAR) || '.50' WHEN 2 THEN '€' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || '.000,25' ELSE 'on request' END"
+_SHOWN = ("£{:,}", "US$ {}.50", "€ {}.000,25", "HK$ 1.234.{}", "JPY {}000", "Estimate {} CHF", "{},5 EUR", "A$ {:,}.75 (US$ 3)", "¥ {}1", "CA${:,}", "on request", "lot 0", "$ {}.9 or 12.345,6 £")
+_PLAIN, _GROUPED = "CAST(CAST(floor(l_extendedprice / 100) AS BIGINT) AS VARCHAR)", "format('{:,}', CAST(floor(l_extendedprice) AS BIGINT))"
+_SHOWN_SQL = "replace(replace(([" + ",".join("'" + x + "'" for x in _SHOWN) + f"])[(l_partkey + l_suppkey + l_linenumber) % {len(_SHOWN)} + 1], '{{:,}}', {_GROUPED}), '{{}}', {_PLAIN})"
+_MARK_LIST = "[" + ",".join("'" + m + "'" for m in mo.RANKED) + "]"
+_CODES = "MAP {" + ",".join(f"'{m}': '{code}'" for m, code in mo.MARKS.items()) + "}"
+_RATES = "MAP {" + ",".join(f"'{code}': {rate}::DOUBLE" for code, rate in mo.RATES.items()) + "}"
+_MONEY_KEYS = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice"
 
 
 @query(
-    f"""WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, {_MONEY_TEXT} AS shown FROM lineitem)
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, shown,
-  CASE l_linenumber % 4 WHEN 0 THEN CAST(CAST(floor(l_extendedprice) AS BIGINT) AS DOUBLE) WHEN 1 THEN CAST(floor(l_extendedprice) AS BIGINT) + 0.5::DOUBLE WHEN 2 THEN CAST(l_quantity AS BIGINT) * 1000 + 0.25::DOUBLE END AS native,
-  CASE l_linenumber % 4 WHEN 0 THEN 'GBP' WHEN 1 THEN 'USD' WHEN 2 THEN 'EUR' END AS currency FROM t"""
+    f"""WITH t AS (SELECT {_MONEY_KEYS}, {_SHOWN_SQL} AS shown FROM lineitem),
+r AS (SELECT *, regexp_extract_all(replace(shown, ' ', ''), '(\\d[\\d.,]*\\d|\\d)', 1) AS runs, list_filter({_MARK_LIST}, lambda m: contains(upper(shown), m)) AS marks FROM t),
+l AS (SELECT *, list_filter(runs, lambda x: length(x) = list_max(list_transform(runs, lambda y: length(y))))[1] AS s, CASE WHEN len(marks) > 0 THEN ({_CODES})[marks[1]] ELSE 'USD' END AS code FROM r),
+n AS (
+  SELECT *, TRY_CAST(CASE WHEN contains(s, ',') AND contains(s, '.') THEN CASE WHEN length(string_split(s, ',')[-1]) < length(string_split(s, '.')[-1]) THEN replace(replace(s, '.', ''), ',', '.') ELSE replace(s, ',', '') END
+    WHEN contains(s, ',') THEN CASE WHEN regexp_full_match(s, '\\d+,\\d{{1,2}}') THEN replace(s, ',', '.') ELSE replace(s, ',', '') END WHEN contains(s, '.') AND NOT regexp_full_match(s, '\\d+[.]\\d{{1,2}}') THEN replace(s, '.', '') ELSE s END AS DOUBLE) AS x FROM l
+)
+SELECT {_MONEY_KEYS}, shown, CASE WHEN x > 0 THEN x END AS native, CASE WHEN x > 0 THEN code END AS currency, CASE WHEN x > 0 THEN round_even(x * ({_RATES})[code], 2) END AS usd FROM n"""
 )
 def parse_money(spark, d):
-    price, quantity = F.floor("l_extendedprice").cast("long"), F.col("l_quantity").cast("long")
-    kind = F.col("l_linenumber") % 4
-    shown = F.when(kind == 0, F.concat(F.lit("£"), F.format_number(price, 0))).when(kind == 1, F.concat(F.lit("US$"), price.cast("string"), F.lit(".50"))).when(kind == 2, F.concat(F.lit("€"), quantity.cast("string"), F.lit(".000,25"))).otherwise("on request")
+    kind = (F.col("l_partkey") + F.col("l_suppkey") + F.col("l_linenumber")) % len(_SHOWN)
+    template = F.element_at(F.array(*[F.lit(x) for x in _SHOWN]), (kind + 1).cast("int"))
+    price = F.col("l_extendedprice")
+    shown = F.replace(F.replace(template, F.lit("{:,}"), F.format_number(F.floor(price).cast("long"), 0)), F.lit("{}"), F.floor(price / 100).cast("string"))
     rows = read(spark, d, "lineitem").withColumn("shown", shown).withColumn("m", mo.parse_money(F.col("shown")))
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "shown", "m.native", "m.currency")
+    return rows.select(*_MONEY_KEYS.split(", "), "shown", "m.native", "m.currency", "m.usd")
+
+
+_SIZES = ("{n} {a} x {b} in", "{n} {a} x {b} cm", "{n} {a} by {b}", "{n} {a}.5 × {b}.25 inches", "{n} {a} 1/2 x {b} in.", 'H {a} x {b}" framed', "cm {a} x {b}, and on the other side {b} x {a} in", "no size {a}", "{n} {a}000 x {b} in")
+_SIZE_SQL = "replace(replace(replace(([" + ",".join("'" + x + "'" for x in _SIZES) + f"])[p_partkey % {len(_SIZES)} + 1], '{{n}}', p_name), '{{a}}', p_size::VARCHAR), '{{b}}', (p_size + 4)::VARCHAR)"
+_ONE = r"(\d+(?:\.\d+)?(?:\s+\d+\s*/\s*\d+)?)\s*(?:x|×|b|y)\s*(\d+(?:\.\d+)?(?:\s+\d+\s*/\s*\d+)?)"
+_NUMBER = "CASE WHEN contains({0}, '/') THEN CAST(regexp_extract({0}, '^\\S+') AS DOUBLE) + CAST(regexp_extract({0}, '(\\d+)\\s*/', 1) AS DOUBLE) / CAST(regexp_extract({0}, '/\\s*(\\d+)', 1) AS DOUBLE) ELSE TRY_CAST({0} AS DOUBLE) END"
 
 
 @query(
-    """WITH t AS (SELECT p_partkey, p_size, CASE p_size % 3 WHEN 0 THEN p_name || ' ' || p_size || ' x ' || (p_size + 4) || ' in' WHEN 1 THEN p_name || ' ' || p_size || ' x ' || (p_size + 4) || ' cm' ELSE p_name || ' ' || p_size || ' by ' || (p_size + 4) END AS shown FROM part)
-SELECT p_partkey, shown, CASE p_size % 3 WHEN 0 THEN round_even(p_size::DOUBLE, 1) WHEN 1 THEN CASE WHEN p_size / 2.54 >= 0.5 THEN round_even(p_size / 2.54::DOUBLE, 1) END END AS width FROM t"""
+    f"""WITH t AS (SELECT p_partkey, {_SIZE_SQL} AS shown FROM part),
+f AS (SELECT p_partkey, shown, unnest(regexp_extract_all(shown, '.{{0,4}}?{_ONE}.{{0,12}}')) AS found, generate_subscripts(regexp_extract_all(shown, '.{{0,4}}?{_ONE}.{{0,12}}'), 1) AS pos FROM t),
+g AS (SELECT *, regexp_extract(found, '{_ONE}', 1) AS w, regexp_extract(found, '{_ONE}', 2) AS h, regexp_extract(found, '^(.*?){_ONE}', 1) AS head, regexp_extract(found, '{_ONE}(.*)$', 3) AS tail FROM f),
+n AS (SELECT p_partkey, shown, pos, {_NUMBER.format("w")} AS w, {_NUMBER.format("h")} AS h, contains(tail, 'cm') OR contains(head, 'cm') AS cm, contains(tail, '"') OR contains(tail, 'in') OR regexp_matches(lower(head), '[hw]$') AS inch FROM g),
+b AS (SELECT p_partkey, arg_min(struct_pack(w, h, cm), CASE WHEN inch AND NOT cm THEN pos ELSE 100 + pos END) AS s FROM n GROUP BY 1),
+u AS (SELECT t.p_partkey, t.shown, s.w / CASE WHEN s.cm THEN 2.54 ELSE 1 END::DOUBLE AS w, s.h / CASE WHEN s.cm THEN 2.54 ELSE 1 END::DOUBLE AS h FROM t LEFT JOIN b USING (p_partkey))
+SELECT p_partkey, shown, CASE WHEN w BETWEEN 0.5 AND 600 AND h BETWEEN 0.5 AND 600 THEN round_even(w, 1) END AS width, CASE WHEN w BETWEEN 0.5 AND 600 AND h BETWEEN 0.5 AND 600 THEN round_even(h, 1) END AS height,
+  CASE WHEN w BETWEEN 0.5 AND 600 AND h BETWEEN 0.5 AND 600 THEN round_even(w * h, 1) END AS area FROM u"""
 )
 def parse_dims(spark, d):
-    unit = F.when(F.col("p_size") % 3 == 0, " in").when(F.col("p_size") % 3 == 1, " cm").otherwise("")
-    sep = F.when(F.col("p_size") % 3 == 2, " by ").otherwise(" x ")
-    shown = F.concat("p_name", F.lit(" "), F.col("p_size").cast("string"), sep, (F.col("p_size") + 4).cast("string"), unit)
-    return read(spark, d, "part").select("p_partkey", shown.alias("shown"), mo.parse_dimensions(shown)["width"].alias("width"))
+    template = F.element_at(F.array(*[F.lit(x) for x in _SIZES]), (F.col("p_partkey") % len(_SIZES) + 1).cast("int"))
+    shown = F.replace(F.replace(F.replace(template, F.lit("{n}"), F.col("p_name")), F.lit("{a}"), F.col("p_size").cast("string")), F.lit("{b}"), (F.col("p_size") + 4).cast("string"))
+    return read(spark, d, "part").withColumn("shown", shown).withColumn("m", mo.parse_dimensions(F.col("shown"))).select("p_partkey", "shown", "m.width", "m.height", "m.area")
+
+
+_DATED = ("untitled (c. {y}) 1999", "signed {y} and 1901", "no 18990 year", "view (circa {y})", "dated 2{y} or 2036, later {y}", "1066 and {y}")
+_DATED_SQL = "replace(([" + ",".join("'" + x + "'" for x in _DATED) + f"])[p_partkey % {len(_DATED)} + 1], '{{y}}', CAST(1840 + p_size * 4 AS VARCHAR))"
 
 
 @query(
-    """SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN CAST(1850 + p_size AS INTEGER) WHEN p_size % 3 = 0 THEN CAST(1900 + p_size AS INTEGER) END AS year FROM part"""
+    f"""WITH t AS (SELECT p_partkey, {_DATED_SQL} AS shown FROM part),
+r AS (SELECT *, TRY_CAST(regexp_extract(shown, '(?i)\\((?:c(?:irca)?\\.?\\s*)?((?:18|19|20)\\d{{2}})\\)', 1) AS INTEGER) AS own, list_filter(list_transform(regexp_extract_all(shown, '\\d+'), lambda x: CASE WHEN regexp_full_match(x, '(18|19|20)\\d\\d') THEN CAST(x AS INTEGER) END), lambda y: y BETWEEN 1850 AND 2035) AS years FROM t)
+SELECT p_partkey, shown, coalesce(own, years[1]) AS year FROM r"""
 )
 def parse_year(spark, d):
-    title = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("untitled (c. "), (F.lit(1850) + F.col("p_size")).cast("string"), F.lit(") 1999"))).when(F.col("p_size") % 3 == 0, F.concat(F.lit("signed "), (F.lit(1900) + F.col("p_size")).cast("string"))).otherwise("no 18990 year")
-    return read(spark, d, "part").select("p_partkey", mo.parse_work_year(title).alias("year"))
+    template = F.element_at(F.array(*[F.lit(x) for x in _DATED]), (F.col("p_partkey") % len(_DATED) + 1).cast("int"))
+    return read(spark, d, "part").withColumn("shown", F.replace(template, F.lit("{y}"), (F.col("p_size") * 4 + 1840).cast("string"))).select("p_partkey", "shown", mo.parse_work_year(F.col("shown")).alias("year"))
 
 
-_TITLES = ["lithograph 12/200", "oil on canvas", "bronze figure", "framed LE", "Le Pho oil", "chair"]
-_TITLE_SQL = "(['" + "','".join(_TITLES) + "'])[1 + p_size % 6]"
+_TITLES = ["lithograph 12/200", "oil on canvas", "bronze figure", "framed LE", "Le Pho oil", "chair", "gelatin silver photograph", "wool tapestry", "ink drawing on paper", "circle of Monet, watercolor", "Gicleed canvas", "A.P. etching 3 / 50", "posters and prints", "acrylic on board"]
+_TITLE_SQL = "(['" + "','".join(_TITLES) + "'])[1 + p_partkey % " + str(len(_TITLES)) + "]"
+_MEDIA_SQL = "CASE " + " ".join(f"WHEN regexp_matches(lower(title), '{pattern}') THEN '{name}'" for name, pattern in c.MEDIA) + " ELSE 'other' END"
+_EDITION_MARK = "(^|[^A-Za-z])(LE|L[.]E[.]?|AP|A[.]P[.]?)($|[^A-Za-z])"
 
 
 def _titles():
-    return F.element_at(F.array(*[F.lit(t) for t in _TITLES]), F.col("p_size") % 6 + 1)
+    return F.element_at(F.array(*[F.lit(t) for t in _TITLES]), (F.col("p_partkey") % len(_TITLES) + 1).cast("int"))
 
 
-@query(f"SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'edition' WHEN 1 THEN 'unique' WHEN 2 THEN 'unique' WHEN 3 THEN 'edition' WHEN 4 THEN 'unique' ELSE 'unknown' END AS cls, CASE p_size % 6 WHEN 0 THEN 'print' WHEN 1 THEN 'painting' WHEN 2 THEN 'sculpture' WHEN 4 THEN 'painting' ELSE 'other' END AS medium, p_size % 6 IN (0, 3) AS skipped, {_TITLE_SQL} AS title FROM part")
+@query(
+    f"""WITH t AS (SELECT p_partkey, {_TITLE_SQL} AS title FROM part), m AS (SELECT *, regexp_matches(title, '{c.EDITION}') AS edition, regexp_matches(title, '{_EDITION_MARK}') AS mark, regexp_matches(title, '{c.UNIQUE}') AS uniq FROM t)
+SELECT p_partkey, title, CASE WHEN edition OR mark THEN 'edition' WHEN uniq THEN 'unique' ELSE 'unknown' END AS cls, CASE WHEN edition THEN 'edition' WHEN uniq THEN 'unique' ELSE 'unknown' END AS unmarked, {_MEDIA_SQL} AS medium,
+  regexp_matches(title, '{c.skip_pattern()}') OR regexp_matches(title, '(^|[^A-Za-z])(LE|L[.]E[.]?)($|[^A-Za-z])') AS skipped FROM m"""
+)
 def work_class(spark, d):
-    return read(spark, d, "part").select("p_partkey", c.work_class(_titles()).alias("cls"), c.medium_category(_titles()).alias("medium"), c.skip_lot(_titles()).alias("skipped"), _titles().alias("title"))
+    t = _titles()
+    return read(spark, d, "part").select("p_partkey", c.work_class(t).alias("cls"), c.work_class(t, marks=False).alias("unmarked"), c.medium_category(t).alias("medium"), c.skip_lot(t).alias("skipped"), t.alias("title"))
 
 
 @query(
@@ -211,9 +246,10 @@ def daily_counts(spark, d):
     return read(spark, d, "events").groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'A' WHEN quality = 1 THEN 'B' ELSE 'C' END AS tier, CASE WHEN quality = 1 THEN 'listed' END AS standing FROM labels")
+@query("WITH t AS (SELECT p_partkey, p_size / 5.0::DOUBLE AS score, p_size % 3 AS papers, p_partkey % 5 AS museums, CASE WHEN p_partkey % 7 = 0 THEN 1 END AS awards FROM part) SELECT p_partkey, CASE WHEN score >= 7.5 THEN 'A' WHEN score >= 5 THEN 'B' ELSE 'C' END AS tier, CASE WHEN papers = 2 OR museums >= 3 OR awards = 1 THEN 'strong' WHEN museums >= 1 THEN 'listed' END AS standing FROM t")
 def standing_tiers(spark, d):
-    return read(spark, d, "labels").select("doc_id", c.score_tier(F.col("quality") * 7.5 - F.col("toxic") * 2.5).alias("tier"), c.standing(F.lit(0), F.col("quality"), F.lit(0)).alias("standing"))
+    papers = F.when(F.col("p_size") % 3 == 2, 1).when(F.col("p_size") % 3 == 1, 0)
+    return read(spark, d, "part").select("p_partkey", c.score_tier(F.col("p_size") / 5).alias("tier"), c.standing(papers, F.col("p_partkey") % 5, F.when(F.col("p_partkey") % 7 == 0, 1)).alias("standing"))
 
 
 @query(
