@@ -117,13 +117,32 @@ def harvested_prices(lots: DataFrame, harvested: DataFrame, stores: list[DataFra
 
 
 def significance_queue(names: DataFrame, budget: int) -> DataFrame:
-    """names with `why` and `state`: firm, significant (by what is known locally), ask (the best `budget` of the rest, by hint) or deferred to a later run, never dropped. names: name, standing, collections, tier, ceiling, hint."""
+    """names with `why` and `state`: firm, significant (by what is known locally), ask (the best `budget` of the rest) or deferred to a later run, never dropped. The best are those that triage takes for real artists, then those with the highest price it has heard of, then by name.
+
+    names: name, standing, collections, tier, ceiling, known (triage's guess), heard (its price); triage ranks and proves nothing.
+    """
     why = c.significance(F.col("name"), F.col("standing"), F.col("collections"), F.col("tier"), F.col("ceiling"))
     rows = names.withColumn("why", why).withColumn("state", F.when(c.is_firm(F.col("name")), "firm").when(F.col("why") != "", "significant"))
-    asked = rows.filter("state is null").orderBy(F.desc_nulls_last("hint"), "name").limit(budget).select("name", F.lit("ask").alias("_ask"))
+    order = [F.desc(F.coalesce("known", F.lit(False))), F.desc(F.coalesce("heard", F.lit(0.0))), F.col("name")]
+    asked = rows.filter("state is null").orderBy(*order).limit(budget).select("name", F.lit("ask").alias("_ask"))
     return rows.join(asked, "name", "left").withColumn("state", F.coalesce("state", "_ask", F.lit("deferred"))).drop("_ask")
 
 
+def significance_answers(queue: DataFrame, answers: DataFrame) -> DataFrame:
+    """queue with the answers of those asked merged in: significant with the answer's reason, or not; a name that was asked and got no answer is deferred. answers: name, why (empty: nothing was found)."""
+    told = answers.groupBy("name").agg(F.max(F.coalesce("why", F.lit(""))).alias("_told"))
+    rows = queue.join(told, "name", "left")
+    asked = F.col("state") == "ask"
+    state = F.when(asked & F.col("_told").isNull(), "deferred").when(asked & (F.col("_told") != ""), "significant").when(asked, "insignificant").otherwise(F.col("state"))
+    return rows.withColumns({"state": state, "why": F.when(asked, F.coalesce("_told", F.lit(""))).otherwise(F.col("why"))}).drop("_told")
+
+
+def grown(feed: DataFrame, held: DataFrame, key: str, growth: int = 5) -> DataFrame:
+    """(key, held, seen) of keys of which the feed has `growth` rows more than are held, at least. feed: key. held: key, held."""
+    seen = feed.groupBy(key).agg(F.count("*").alias("seen"))
+    return seen.join(held, key).filter(F.col("seen") >= F.col("held") + growth).select(key, "held", "seen")
+
+
 def seen_ids(ids: DataFrame, most: int, key: str = "id", bins: int = 1024) -> DataFrame:
     """The `most` largest different ids: the memory that a watch-list scan keeps between runs. Ids grow with time, so an id that is still live does not roll off.
 

@@ -125,15 +125,33 @@ def harvest_results(spark, d):
     return f.harvested_prices(own, done, stores, own.select("lot").limit(0))
 
 
+_QUEUE = f"""{LOTS}, quiet AS (SELECT p.*, length(artist) % 3 = 0 AS known, length(artist) * 100.0::DOUBLE AS heard FROM (SELECT artist || ' ' || tier AS artist, NULL AS standing, 0 AS collections, CAST(CASE WHEN tier = 2 THEN 2 ELSE 0 END AS INTEGER) AS tier, CASE WHEN tier = 3 THEN ceiling END AS ceiling FROM profiles) p),
+rows AS (SELECT artist AS name, {_WHY} AS why, {_like("' ' || trim(lower(artist)) || ' '", c.FIRMS)} AS firm, known, heard FROM quiet),
+states AS (SELECT *, CASE WHEN firm THEN 'firm' WHEN why <> '' THEN 'significant' END AS sure FROM rows),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY sure IS NULL ORDER BY known DESC, heard DESC, name) AS n FROM states),
+queue AS (SELECT name, why, coalesce(sure, CASE WHEN n <= 25 THEN 'ask' ELSE 'deferred' END) AS state FROM ranked)"""
+
+
+def _queue(spark, d):
+    """Profiles of which little is known."""
+    tier = F.col("tier")
+    names = profiles(spark, d).select(F.concat_ws(" ", "artist", tier.cast("string")).alias("name"), F.lit(None).cast("string").alias("standing"), F.lit(0).alias("collections"), F.when(tier == 2, 2).otherwise(0).alias("tier"), F.when(tier == 3, F.col("ceiling")).alias("ceiling"))
+    length = F.length("name")
+    return f.significance_queue(names.withColumns({"known": length % 3 == 0, "heard": length * 100.0}), 25).select("name", "why", "state")
+
+
+@query(f"WITH {_QUEUE} SELECT name, why, state FROM queue")
+def significance_queue(spark, d):
+    return _queue(spark, d)
+
+
 @query(
-    f"""WITH {LOTS}, rows AS (SELECT artist AS name, {_WHY} AS why, {_like("' ' || trim(lower(artist)) || ' '", c.FIRMS)} AS firm, hash_free AS hint FROM (SELECT *, length(artist) AS hash_free FROM profiles) WHERE ceiling < 1500 OR tier = 2),
-states AS (SELECT *, CASE WHEN firm THEN 'firm' WHEN why <> '' THEN 'significant' END AS known FROM rows),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY known IS NULL ORDER BY hint DESC, name) AS n FROM states)
-SELECT name, why, coalesce(known, CASE WHEN n <= 5 THEN 'ask' ELSE 'deferred' END) AS state FROM ranked"""
+    f"""WITH {_QUEUE}, told AS (SELECT name, CASE WHEN length(name) % 2 = 0 THEN 'museum' ELSE '' END AS found FROM queue WHERE length(name) % 5 <> 0)
+SELECT name, CASE WHEN state = 'ask' THEN coalesce(found, '') ELSE why END AS why, CASE WHEN state <> 'ask' THEN state WHEN found IS NULL THEN 'deferred' WHEN found <> '' THEN 'significant' ELSE 'insignificant' END AS state FROM queue LEFT JOIN told USING (name)"""
 )
-def significance_queue(spark, d):
-    names = profiles(spark, d).filter("ceiling < 1500 or tier = 2").withColumn("hint", F.length("artist")).withColumnRenamed("artist", "name")
-    return f.significance_queue(names, 5).select("name", "why", "state")
+def significance_answers(spark, d):
+    queue, length = _queue(spark, d), F.length("name")
+    return f.significance_answers(queue, queue.filter(length % 5 != 0).select("name", F.when(length % 2 == 0, "museum").otherwise("").alias("why"))).select("name", "why", "state")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, CASE WHEN l_returnflag = 'A' THEN 'sold' WHEN l_quantity > 10 THEN 'final_bid' ELSE 'unsold' END AS outcome, CASE WHEN l_returnflag = 'A' THEN l_extendedprice WHEN l_quantity > 10 THEN l_extendedprice / 2 END AS price FROM lineitem")
@@ -155,23 +173,23 @@ def date_bands(spark, d):
 
 
 @query(
-    """WITH t AS (SELECT s_suppkey, p_name, s_name || ' ' || split_part(p_name, ' ', 1 + s_suppkey % 2) AS label FROM supplier JOIN part ON p_partkey % 50 = s_suppkey % 50 AND p_size < 9)
+    """WITH t AS (SELECT s_suppkey, p_name, s_name || ' ' || split_part(p_name, ' ', 1 + s_suppkey % 2) AS label FROM supplier JOIN part ON p_partkey % 50 = s_suppkey % 50)
 SELECT s_suppkey, p_name, label, len(list_intersect(list_filter(string_split(lower(p_name), ' '), lambda x: length(x) >= 3), list_filter(string_split(lower(label), ' '), lambda x: length(x) >= 3))) > 0 AS same FROM t"""
 )
 def token_overlap(spark, d):
-    part = read(spark, d, "part").filter("p_size < 9")
+    part = read(spark, d, "part")
     rows = read(spark, d, "supplier").join(part, F.col("p_partkey") % 50 == F.col("s_suppkey") % 50)
     label = F.concat_ws(" ", "s_name", F.get(F.split("p_name", " "), F.col("s_suppkey").cast("int") % 2))
     return rows.select("s_suppkey", "p_name", label.alias("label"), f.shares_token(F.col("p_name"), label).alias("same"))
 
 
 @query(
-    """WITH g AS (SELECT p_brand AS artist, p_name AS gallery, CAST(CASE WHEN p_size > 45 THEN 1 WHEN p_size > 40 THEN 3 ELSE 0 END AS INTEGER) AS tier, p_partkey AS pos FROM part WHERE p_type NOT LIKE 'E%')
+    """WITH g AS (SELECT p_brand AS artist, p_name AS gallery, CAST(CASE WHEN p_size > 45 THEN 1 WHEN p_size > 40 THEN 3 ELSE 0 END AS INTEGER) AS tier, p_partkey AS pos FROM part)
 SELECT artist, coalesce(min(tier) FILTER (tier > 0), 0) AS tier, coalesce(arg_min(gallery, CAST(tier AS BIGINT) * 1000000000 + pos) FILTER (tier > 0), '') AS gallery FROM g GROUP BY 1"""
 )
 def best_gallery(spark, d):
     tier = F.when(F.col("p_size") > 45, 1).when(F.col("p_size") > 40, 3).otherwise(0)
-    return f.best_gallery(read(spark, d, "part").filter("p_type not like 'E%'").select(F.col("p_brand").alias("artist"), F.col("p_name").alias("gallery"), tier.alias("tier"), F.col("p_partkey").alias("pos")))
+    return f.best_gallery(read(spark, d, "part").select(F.col("p_brand").alias("artist"), F.col("p_name").alias("gallery"), tier.alias("tier"), F.col("p_partkey").alias("pos")))
 
 
 @query("SELECT url, min_by(page_id, CASE WHEN page_id % 3 = 0 THEN 0 ELSE 1 END * 1000000000 + page_id) AS page_id FROM pages WHERE url IS NOT NULL GROUP BY 1")

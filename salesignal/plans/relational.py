@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from salesignal.operators import select as s
 from salesignal.operators import upsert as u
+from salesignal.operators.feeds import grown
 from salesignal.plans.registry import query
 from salesignal.plans.views import LEDGER, ledger, read
 
@@ -68,8 +69,8 @@ SELECT l_partkey, held, seen FROM feed JOIN held USING (l_partkey) WHERE seen >=
 @query(_GROWTH)
 def growth_join(spark, d):
     line = read(spark, d, "lineitem")
-    both = line.groupBy("l_partkey").agg(F.count_if(F.col("l_shipdate") < F.lit("1998-01-01").cast("timestamp_ntz")).alias("held"), F.count("*").alias("seen"))
-    return both.filter("held > 0 and seen >= held + 5")
+    held = line.filter(F.col("l_shipdate") < F.lit("1998-01-01").cast("timestamp_ntz")).groupBy("l_partkey").agg(F.count("*").alias("held"))
+    return grown(line, held, "l_partkey")
 
 
 @query("SELECT s_suppkey, s_name FROM supplier WHERE lower(s_name) = lower('SUPPLIER#000000007') OR lower(s_name) = 'supplier#000000011'")

@@ -166,16 +166,17 @@ def authority_lookup(spark, d):
 
 
 @query(
-    """WITH h AS (SELECT p_brand AS artist_id, n_name AS institution, count(*) AS works FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE l_discount > 0.099 AND l_tax > 0.075 GROUP BY ALL)
-SELECT a.artist_id, coalesce(list_sort(list(institution) FILTER (institution IS NOT NULL)), []) AS museums, count(institution) AS museum_count, CAST(coalesce(sum(works), 0) AS BIGINT) AS works, []::VARCHAR[] AS awards,
-  CASE WHEN count(institution) >= 3 THEN 'strong' WHEN count(institution) >= 1 THEN 'listed' END AS standing FROM (SELECT DISTINCT p_brand AS artist_id FROM part) a LEFT JOIN h ON h.artist_id = a.artist_id GROUP BY 1"""
+    """WITH h AS (SELECT l_orderkey AS artist_id, n_name AS institution, count(*) AS works FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL),
+g AS (SELECT artist_id, list_sort(list(institution)) AS museums, count(*) AS n, CAST(sum(works) AS BIGINT) AS works FROM h GROUP BY 1)
+SELECT o_orderkey AS artist_id, coalesce(museums, []) AS museums, coalesce(n, 0) AS museum_count, coalesce(works, 0) AS works, CASE WHEN o_orderkey % 9 = 0 THEN ['Fellow of ' || o_orderstatus] ELSE [] END AS awards,
+  CASE WHEN o_orderkey % 10 = 0 OR n >= 3 OR o_orderkey % 9 = 0 THEN 'strong' WHEN n >= 1 THEN 'listed' END AS standing FROM orders LEFT JOIN g ON artist_id = o_orderkey"""
 )
 def authority_rollup(spark, d):
-    line = read(spark, d, "lineitem").filter("l_discount > 0.099 and l_tax > 0.075")
     places = read(spark, d, "supplier").join(read(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    holdings = line.join(read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).join(places, F.col("l_suppkey") == F.col("s_suppkey")).groupBy(F.col("p_brand").alias("artist_id"), F.col("n_name").alias("institution")).agg(F.count("*").alias("works"))
-    none = spark.createDataFrame([], "artist_id string, distinction string")
-    return r.authority_rollup(holdings, none, read(spark, d, "part").select(F.col("p_brand").alias("artist_id"), F.lit(0).alias("papers")).distinct())
+    holdings = read(spark, d, "lineitem").join(places, F.col("l_suppkey") == F.col("s_suppkey")).groupBy(F.col("l_orderkey").alias("artist_id"), F.col("n_name").alias("institution")).agg(F.count("*").alias("works"))
+    orders, key = read(spark, d, "orders"), F.col("o_orderkey")
+    awards = orders.filter(key % 9 == 0).select(key.alias("artist_id"), F.concat(F.lit("Fellow of "), F.col("o_orderstatus")).alias("distinction"))
+    return r.authority_rollup(holdings, awards, orders.select(key.alias("artist_id"), (key % 10 == 0).cast("int").alias("papers")))
 
 
 @query("SELECT page_id, regexp_replace(html, '<[^>]+>', ' ', 'g') AS plain FROM pages")

@@ -43,6 +43,15 @@ def test_ledger_and_run_log(spark, tmp_path):
 
 
 def test_significance_queue_defers(spark):
-    rows = [("Jane Painter", None, 0, 0, 0.0, 5), ("Some Company", None, 0, 0, 9e9, 9), ("Anna Known", "strong", 0, 0, 0.0, 1), ("Late One", None, 0, 0, 0.0, 1), ("No Hint", None, 0, 0, 0.0, None)]
-    names = spark.createDataFrame(rows, "name string, standing string, collections int, tier int, ceiling double, hint int")
-    assert {r["name"]: r["state"] for r in f.significance_queue(names, 1).collect()} == {"Jane Painter": "ask", "Some Company": "firm", "Anna Known": "significant", "Late One": "deferred", "No Hint": "deferred"}
+    rows = [("Jane Painter", None, False, 9000.0), ("Some Company", None, True, 9e9), ("Anna Known", "strong", False, None), ("Late One", None, True, 10.0), ("Early One", None, True, 20.0), ("No Hint", None, None, None)]
+    names = spark.createDataFrame([(n, s, 0, 0, 0.0, k, h) for n, s, k, h in rows], "name string, standing string, collections int, tier int, ceiling double, known boolean, heard double")
+    queue = f.significance_queue(names, 2)
+    assert {r["name"]: r["state"] for r in queue.collect()} == {"Jane Painter": "deferred", "Some Company": "firm", "Anna Known": "significant", "Late One": "ask", "Early One": "ask", "No Hint": "deferred"}
+    answers = spark.createDataFrame([("Early One", "museum"), ("Early One", None), ("Anna Known", "")], "name string, why string")
+    assert {r["name"]: (r["state"], r["why"]) for r in f.significance_answers(queue, answers).collect() if r["name"] in ("Early One", "Late One", "Anna Known")} == {"Early One": ("significant", "museum"), "Late One": ("deferred", ""), "Anna Known": ("significant", "museum")}
+
+
+def test_grown(spark):
+    feed = spark.createDataFrame([(1,)] * 9 + [(2,)] * 3 + [(3,)] * 9, "sale int")
+    held = spark.createDataFrame([(1, 4), (2, 1), (4, 0)], "sale int, held int")
+    assert [tuple(r) for r in f.grown(feed, held, "sale").collect()] == [(1, 4, 9)]
