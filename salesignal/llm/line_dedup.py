@@ -100,12 +100,19 @@ def repeated_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     asked = salted_join(chunks, again.withColumn("n", F.col("_n")), ["hash", "size"], total).groupBy(*ROW).agg(F.collect_set(F.struct("code", "hash", "size", "n", "before", "after")).alias("asked"))
 
     def cut(x: Column) -> Column:
-        def one(c: Column) -> Column:
-            first, n = first_line(c["code"]), n_lines(c["code"])
-            # what stands before is held from its last line on, as it is compared
-            return F.struct(*[c[f].alias(f) for f in ("code", "hash", "size", "n")], _text(x, c["code"]).alias("chunk"), F.reverse(F.slice(x, first - c["before"], c["before"])).alias("before"), F.slice(x, first + n, c["after"]).alias("after"))
-
-        return F.transform("asked", one)
+        def each(chunks: Column) -> Column:
+            def one(c: Column, i: Column) -> Column:
+                first, n = first_line(c["code"]), n_lines(c["code"])
+                last, following = F.get(chunks, i - 1), F.get(chunks, i + 1)
+                # beside a chunk that is as common there is nothing to compare: it goes along and is looked at itself
+                before = F.when(F.coalesce((first_line(last["code"]) + n_lines(last["code"]) == first) & (last["n"] >= c["n"]), F.lit(False)), 0).otherwise(c["before"])
+                after = F.when(F.coalesce((first_line(following["code"]) == first + n) & (following["n"] >= c["n"]), F.lit(False)), 0).otherwise(c["after"])
+                # what stands before is held from its last line on, as it is compared
+                return F.struct(*[c[f].alias(f) for f in ("code", "hash", "size", "n")], _text(x, c["code"]).alias("chunk"), F.reverse(F.slice(x, first - before, before)).alias("before"), F.slice(x, first + n, after).alias("after"))
+
+            return F.transform(chunks, one)
+
+        return let(F.array_sort("asked"), each)
 
     # chunks are cut out before they become rows, so that none of these rows holds the whole text
     met = rows.join(asked, ROW).select(*ROW, F.explode(let(lines, cut)).alias("c"))

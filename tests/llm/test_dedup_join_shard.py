@@ -3,6 +3,7 @@
 import hashlib
 import random
 import time
+from collections import Counter
 import zlib
 
 import numpy as np
@@ -221,12 +222,16 @@ def chunks_of(lines):
 
 
 def deduplicated(texts):
-    """Texts by id without chunks of two lines or more that stand elsewhere before, and without the lines beside them that are those beside the first one."""
+    """Texts by id without chunks of two lines or more that stand elsewhere before, and without the lines beside them, in chunks that are less common, that are those beside the first one."""
     first, gone = {}, {i: set() for i in texts}
+    count = Counter(tuple(t[at : at + n]) for t in texts.values() for at, n in chunks_of(t))
+    common = lambda i, at, n: count[tuple(texts[i][at : at + n])] if n > 1 else 0
     for i in sorted(texts):
         cut = chunks_of(texts[i])
         for k, (at, n) in enumerate(cut):
             before, after = sum(x for _, x in cut[max(0, k - 2) : k]), sum(x for _, x in cut[k + 1 : k + 3])
+            before = 0 if k and common(i, *cut[k - 1]) >= common(i, at, n) else before
+            after = 0 if k + 1 < len(cut) and common(i, *cut[k + 1]) >= common(i, at, n) else after
             beside = texts[i][at - before : at][::-1], texts[i][at + n : at + n + after]
             chunk = tuple(texts[i][at : at + n])
             if n < 2:
