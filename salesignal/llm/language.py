@@ -30,6 +30,10 @@ def prepared(text: str) -> bytes:
     return NO_LETTERS.sub(" ", text.lower()).encode("utf-8", "replace")
 
 
+#: Languages whose counts are sent to all tasks; beyond these, which no table of documents holds, counts and texts meet by shuffle.
+MOST_SENT = 100_000
+
+
 def learn_dictionaries(rows: DataFrame, per_language: int = DOCS, size: int = DICTIONARY) -> dict[str, bytes]:
     """Raw-content dictionaries by language from (doc_id, text, lang) rows: a bounded sample of labelled rows, drawn by the hash of doc_id at a rate that gives each language per_language documents. Every language of the rows gets one.
 
@@ -45,7 +49,8 @@ def learn_dictionaries(rows: DataFrame, per_language: int = DOCS, size: int = DI
     key = F.xxhash64("doc_id")
     draw = F.shiftrightunsigned(key, 11).cast("double") / float(1 << 53)
     at = F.pmod(F.xxhash64(key), F.greatest(F.lit(1), F.length("text") - (piece - 1))).cast("int") + 1
-    drawn = rows.join(counts, "lang").filter(draw * F.col("n") < per_language).select("lang", F.substring("text", at, F.lit(piece)).alias("text"), draw.alias("draw"))
+    # counts go to the texts: a join by language would bring a language's texts into one task
+    drawn = rows.join(F.broadcast(counts) if languages <= MOST_SENT else counts, "lang").filter(draw * F.col("n") < per_language).select("lang", F.substring("text", at, F.lit(piece)).alias("text"), draw.alias("draw"))
     drawn = drawn.groupBy("lang", "text").agg(F.min("draw").alias("draw"))
     before = Window.partitionBy("lang").orderBy("draw", "text").rowsBetween(Window.unboundedPreceding, -1)
     kept = drawn.withColumn("held", F.coalesce(F.sum(F.octet_length("text") + 1).over(before), F.lit(0))).filter(F.col("held") < size)
