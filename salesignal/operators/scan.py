@@ -22,7 +22,7 @@ GENERIC = (
     r"|unidentified|unknown artist"
 )
 #: What a classifier's verdict that a name is none is filed under.
-NO_NAME_TIER, NO_NAME_SOURCE = "none", "wallhunter-classifier"
+NO_NAME_TIER, NO_NAME_SOURCE = "none", "classifier"
 
 
 class Scan(NamedTuple):

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from salesignal.functions.names import location_for, named_estate_person
+from salesignal.session import checkpointed
 
 #: Verdicts that make a person notable, and confidences that are enough for it.
 NOTABLE, SURE = ("collector", "artist", "dealer", "curator", "academic"), ("high", "medium")
@@ -29,7 +30,8 @@ def named_sales(polls: DataFrame, identities: DataFrame) -> DataFrame:
 
     polls: sale, at, title, house, location, ends (date). identities: person, house, verdict, confidence, checked_at; the last that is worth keeping counts for each. A name of one word cannot be researched (surname_only); one without a verdict is pending. Distinct titles are read once.
     """
-    titles = polls.select("title").distinct().withColumn("person", named_estate_person(F.col("title"))).filter("person is not null")
+    # kept before it is filtered, so that the long rule is not computed for the filter and the result
+    titles = checkpointed(polls.select("title").distinct().withColumn("person", named_estate_person(F.col("title")))).filter("person is not null")
     kept = identities.filter(worth_keeping(F.col("verdict"), F.col("confidence"))).groupBy("person", "house").agg(F.max_by(F.struct("verdict", "confidence", "checked_at"), F.struct("checked_at", "verdict", "confidence")).alias("known"))
     rows = polls.join(titles, "title").withColumn("house", F.coalesce("house", F.lit(""))).join(kept, ["person", "house"], "left")
     known = F.coalesce(F.col("known.checked_at") <= F.col("at"), F.lit(False))
