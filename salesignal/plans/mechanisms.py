@@ -88,7 +88,7 @@ first AS (SELECT * FROM p WHERE id <> 0 QUALIFY row_number() OVER (PARTITION BY
 SELECT id, substr(trim(json_extract_string(value, '$.auction.eventName')), 1, 120) AS title, house, 'https://hibid.com/catalog/' || id || '/_' AS url, 'ends ' || strftime(ends, '%m/%d') AS info,
   coalesce(nullif(json_extract_string(value, '$.auction.eventCity'), ''), 'Troy') || ', NY' AS location FROM first WHERE ends >= TIMESTAMP '1997-01-01' - INTERVAL 12 HOURS AND ends <= TIMESTAMP '1997-01-01' + INTERVAL 900 DAYS AND house <> ''"""
 )
-def open_auctions(spark, d):
+def auctions_open(spark, d):
     order = F.col("o_orderkey")
     ends = F.when(order % 13 == 0, "soon").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"))
     value = F.concat(
