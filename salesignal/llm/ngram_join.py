@@ -23,6 +23,10 @@ FLUSH = 1_000_000
 LISTED = 200_000
 #: Shingles searched in one task at most, on average; groups beyond it are searched as pairs of blocks.
 BLOCK = 4_000_000
+#: Sets that share a signature are told apart by their profiles where a list has LONG rows at most, and a task TOGETHER of them.
+LONG, TOGETHER = 512, 32
+#: Bytes of lists' rows that are looked at in one task, on average.
+LISTS = 4 << 20
 #: DivideSkip's weight of a probe against a merge step, as published.
 MU = 0.0085
 
@@ -86,6 +90,42 @@ def signatures(s: np.ndarray, num: int, den: int):
         yield w, own
 
 
+@functools.cache
+def profile_bits(w: int, num: int, den: int) -> int:
+    """A profile of window w has so many bits of buckets: one for four elements of the smallest sets, or for up to eight."""
+    return max(4, int(size_bounds(num, den)[max(w, 0)]).bit_length() - 3)
+
+
+def profile_of(s: np.ndarray, bits: int) -> np.ndarray:
+    """How many elements are in each bucket of hashes, 255 at most."""
+    return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
+
+
+def folded(profile: np.ndarray, bits: int) -> np.ndarray:
+    """A profile as one of fewer bits."""
+    return np.minimum(profile.reshape(1 << bits, -1).sum(axis=1), 255).astype(np.int16)
+
+
+def near_parts(sizes: np.ndarray, profiles: np.ndarray, num: int, den: int) -> np.ndarray:
+    """For each set of a list the first one of its part; sets that link are in one part.
+
+    Two sets differ in no fewer elements than their profiles do, so a pair whose profiles differ by more than linked sets of these sizes can is no link. What remains is walked through from each set not reached yet.
+    """
+    part = np.full(len(sizes), -1, np.int64)
+    left = np.arange(len(sizes))
+    while len(left):
+        first, left = left[0], left[1:]
+        part[first], front = first, [first]
+        while front and len(left):
+            x = front.pop()
+            most = sizes[x] + sizes[left] - 2 * least_overlap(sizes[x], sizes[left], num, den)
+            near = np.abs(profiles[left] - profiles[x]).sum(axis=1) <= most
+            part[left[near]] = first
+            front.extend(left[near].tolist())
+            left = left[~near]
+    return part
+
+
 def digests_of(s: np.ndarray) -> tuple[int, int]:
     """128 bits that identify a set."""
     sums = np.array([np.sum(mix(s)), np.sum(mix(s ^ np.uint64(0x5851F42D4C957F2D)))], np.uint64) + np.uint64(len(s))
@@ -107,17 +147,20 @@ def _binary(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """For each row doc_id, n, the set's band and digest."""
+    """For each row doc_id, n, the set's band, digest and profile."""
     bounds = size_bounds(num, den)
 
     def rows(batches):
         for batch in batches:
-            sets = [(len(s), *digests_of(s)) for s in shingles_of((part for _, part in text_parts(batch.column(1))), k)]
-            n, d1, d2 = (np.array(x, np.int64) for x in zip(*sets, strict=True)) if sets else (np.zeros(0, np.int64),) * 3
-            band = np.searchsorted(bounds, n, "right") - 1
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int32)), pa.array(band.astype(np.int32)), pa.array(d1), pa.array(d2)], names=["doc_id", "n", "band", "d1", "d2"])
+            sets, profiles = [], []
+            for s in shingles_of((part for _, part in text_parts(batch.column(1))), k):
+                band = int(np.searchsorted(bounds, len(s), "right")) - 1
+                sets.append((len(s), band, *digests_of(s)))
+                profiles.append(profile_of(s, profile_bits(band, num, den)).tobytes() if len(s) else b"")
+            n, band, d1, d2 = (np.array(x, np.int64) for x in zip(*sets, strict=True)) if sets else (np.zeros(0, np.int64),) * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int32)), pa.array(band.astype(np.int32)), pa.array(d1), pa.array(d2), pa.array(profiles, pa.binary())], names=["doc_id", "n", "band", "d1", "d2", "profile"])
 
-    return docs.mapInArrow(rows, "doc_id bigint, n int, band int, d1 bigint, d2 bigint")
+    return docs.mapInArrow(rows, "doc_id bigint, n int, band int, d1 bigint, d2 bigint, profile binary")
 
 
 def node_of(d1, w):
@@ -127,10 +170,10 @@ def node_of(d1, w):
     return d1 ^ (w + 1 << 40)
 
 
-def _candidates(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Edges (node, peer) that join all nodes sharing a signature: each to the smallest of them.
+def _lists(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The lists of different nodes that share a signature: (list, node, peer). Equal lists of many signatures have one number. A list that is too long to be told apart has none, and its nodes are joined to the smallest of them (peer) as they are.
 
-    A task posts a signature once for all the sets it holds, with the smallest of their nodes, and the others' edges to that one; so a signature that very many sets share meets as many rows as there are tasks. An edge travels as a posting of its own.
+    Where a task has more than TOGETHER nodes with a signature, it posts that once, with the smallest of them, and the others' edges to that one; so a signature that very many sets share meets few rows of each task. An edge travels as a posting of its own.
     """
 
     def posted(batches):
@@ -139,15 +182,20 @@ def _candidates(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
         def grouped():
             s, v = np.concatenate(signature), np.concatenate(node)
-            by = np.argsort(s)
+            by = np.lexsort((v, s))
             s, v = s[by], v[by]
-            firsts = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-            least = np.minimum.reduceat(v, firsts)
-            peer = np.repeat(least, np.diff(firsts, append=len(s)))
-            pairs = np.unique(np.stack((v, peer))[:, v != peer], axis=1)
+            new = np.concatenate(([True], s[1:] != s[:-1]))
+            firsts = np.flatnonzero(new)
+            sizes = np.diff(firsts, append=len(s))
+            many = np.repeat(sizes > TOGETHER, sizes)
+            least = np.repeat(v[firsts], sizes)
+            alone = ~many & (new | np.concatenate(([True], v[1:] != v[:-1])))
+            pairs = np.unique(np.stack((v[many], least[many]))[:, v[many] != least[many]], axis=1)
             own = mix((pairs[0].astype(np.uint64) * np.uint64(3)) ^ mix(pairs[1].astype(np.uint64))).astype(np.int64)
-            columns = (np.concatenate((s[firsts].astype(np.int64), own)), np.concatenate((least, pairs[0])), np.concatenate((least, pairs[1])))
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["signature", "node", "peer"])
+            heads = firsts[sizes > TOGETHER]
+            columns = (np.concatenate((s[alone].astype(np.int64), s[heads].astype(np.int64), own)), np.concatenate((v[alone], v[heads], pairs[0])))
+            peer = pa.concat_arrays([pa.nulls(int(alone.sum()), pa.int64()), pa.array(np.concatenate((v[heads], pairs[1])))])
+            return pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), peer], names=["signature", "node", "peer"])
 
         for batch in batches:
             for s in shingles_of((part for _, part in text_parts(batch.column(1))), k):
@@ -165,7 +213,37 @@ def _candidates(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             yield grouped()
 
     postings = docs.mapInArrow(posted, "signature bigint, node bigint, peer bigint")
-    return postings.select("node", F.min("peer").over(Window.partitionBy("signature")).alias("peer")).filter("node <> peer")
+    own = Window.partitionBy("signature")
+    peer = F.coalesce("peer", "node")
+    rows = postings.select(
+        "node", F.min(peer).over(own).alias("peer"), F.max("node").over(own).alias("last"), F.count("*").over(own).alias("rows"), F.max(F.col("peer").isNotNull()).over(own).alias("joined"),
+        F.sum(F.shiftrightunsigned(F.xxhash64("node"), 20)).over(own).alias("sum"),
+    )
+    number = F.when(~F.col("joined") & (F.col("rows") <= LONG), F.xxhash64("rows", "sum"))
+    return rows.filter("peer < last").select(number.alias("list"), "node", "peer")
+
+
+def _candidates(lists: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """Edges (node, peer) that join all nodes that may link: those of long lists as they are, those of others in parts that their profiles make (see near_parts). nodes: node, n, w, profile."""
+    members = stored(lists.filter("list is not null").select("list", "node").distinct(), "lists")
+    held = members.join(nodes.select("node", (F.octet_length("profile") + 48).alias("held")), "node").agg(F.sum("held")).first()[0] or 0
+    bins = max(1, -(-held // LISTS))
+    bits = {w: profile_bits(w, num, den) for w in range(-1, len(size_bounds(num, den)))}
+
+    def parts(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["list", "w"], kind="stable")
+        number, w, node, n, profile = (pdf[c].to_numpy() for c in ("list", "w", "node", "n", "profile"))
+        edges = np.flatnonzero((number[1:] != number[:-1]) | (w[1:] != w[:-1])) + 1
+        peer = node.copy()
+        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(node)], strict=True):
+            if b - a > 1:
+                own = np.stack([folded(np.frombuffer(x, np.uint8), bits[int(w[a])]) for x in profile[a:b]])
+                peer[a:b] = node[a:b][near_parts(n[a:b].astype(np.int64), own, num, den)]
+        moved = peer != node
+        return pd.DataFrame({"node": node[moved], "peer": peer[moved]}).drop_duplicates()
+
+    looked = members.join(nodes, "node").withColumn("bin", F.pmod("list", F.lit(bins)))
+    return looked.groupBy("bin").applyInPandas(parts, "node bigint, peer bigint").unionByName(lists.filter("list is null and node <> peer").select("node", "peer"))
 
 
 def divide_skip(sets: list[np.ndarray], num: int, den: int, side: np.ndarray | None = None, low: np.ndarray | None = None):
@@ -278,15 +356,16 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_i
 
     Words are the runs between the six ASCII spaces after lower-casing A-Z; a set holds the distinct shingles of k words, with fewer words the whole sequence as one. Sets link when intersection / union is num / den or more. class_id: the smallest doc_id with the same set; component_id: the smallest reachable by links; n_links: other distinct sets linked with this one. Nothing is approximate: classes are grouped by 128-bit digests, and all links between classes are found.
 
-    1. One pass hashes the texts and groups equal sets. 2. Each set posts signatures of its parts (see signatures) to inverted lists, which a shuffle brings together; sets that share a list are joined into candidate groups, window by window of sizes. 3. Each group's sets meet in one task, many small groups together, very large ones as pairs of blocks, and are searched by divide_skip. Copies are one class throughout.
+    1. One pass hashes the texts and groups equal sets. 2. Each set posts signatures of its parts (see signatures) to inverted lists, which a shuffle brings together; sets that share a list and whose profiles (numbers of elements by bucket) leave a link possible are joined into candidate groups, window by window of sizes; so sets that only share passages do not chain into groups that grow faster than the input. 3. Each group's sets meet in one task, many small groups together, very large ones as pairs of blocks, and are searched by divide_skip. Copies are one class throughout.
 
     Null or empty texts and texts of spaces: n_shingles 0, linked with nothing, component_id their own doc_id. A null doc_id cannot be linked to: such a row gets its class's component, null if it has none. Rows that repeat a doc_id are one node, whatever their texts. Other columns of docs are ignored.
     """
     plain = _binary(docs, doc_id, text)
     rows = stored(_sets(plain, k, num, den), "sets")
     total_rows = rows.count()
-    classes = stored(rows.filter("n > 0").groupBy("n", "band", "d1", "d2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("_n")), "classes")
-    groups = connected_components(_candidates(plain, k, num, den), "node", "peer").withColumnRenamed("component", "grp")
+    classes = stored(rows.filter("n > 0").groupBy("n", "band", "d1", "d2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("_n"), F.first("profile").alias("profile")), "classes")
+    nodes = classes.select("d1", "n", "profile", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("w")).select(node_of(F.col("d1"), F.col("w")).alias("node"), "n", "w", "profile")
+    groups = connected_components(_candidates(stored(_lists(plain, k, num, den), "shared"), nodes, num, den), "node", "peer").withColumnRenamed("component", "grp")
     windows = classes.filter("class_id is not null").select("class_id", "d1", "n", "band", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("w"))
     windows = windows.select("class_id", "d1", "n", node_of(F.col("d1"), F.col("w")).alias("node"), (F.col("w") == F.col("band")).alias("low"))
     members = stored(windows.join(groups, "node").select("class_id", "d1", "n", "low", "grp"), "members")
@@ -317,7 +396,7 @@ def ngram_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_i
     links = found.groupBy("a").agg(F.sum("links").alias("links"))
     per_class = classes.join(joined, classes["class_id"] == joined["node"], "left").join(links, classes["class_id"] == links["a"], "left")
     per_class = per_class.select("n", "d1", "d2", "_n", "class_id", F.coalesce("component", "class_id").alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
-    named = salted_join(rows.filter("n > 0"), per_class, ["n", "d1", "d2"], total_rows)
+    named = salted_join(rows.filter("n > 0").drop("profile"), per_class, ["n", "d1", "d2"], total_rows)
     columns = [F.col("n").cast("long").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"), "n_links"]
     alone = rows.filter("n = 0").select("doc_id", "n", *[F.lit(None).cast("long").alias(c) for c in ("class_id", "component_id")], F.lit(0).cast("long").alias("n_links"))
     return named.select("doc_id", *columns).unionByName(alone.select("doc_id", *columns))

@@ -313,3 +313,30 @@ def test_linked_sets_share_a_signature(num):
         mine, other = dict(nj.signatures(a, num, 100)), dict(nj.signatures(b, num, 100))
         assert len(np.intersect1d(mine[w], other[w]))
     assert linked > 50
+
+
+def test_shared_passages_do_not_chain(spark, monkeypatch):
+    """Texts that share a third with their neighbours only are never searched together (they chained into one group that grew faster than the input)."""
+    rng = random.Random(5)
+    passages = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(60)) for _ in range(61)]
+    texts = [f"{passages[i]} {' '.join(f'v{rng.randrange(10**9)}' for _ in range(100))} {passages[i + 1]}" for i in range(60)]
+    near = texts[0].rsplit(" ", 3)[0] + " x y z"
+    docs = spark.createDataFrame(list(enumerate([*texts, near])), "doc_id long, text string")
+    kept, stored = {}, nj.stored
+    monkeypatch.setattr(nj, "stored", lambda df, name: kept.setdefault(name, stored(df, name)))
+    got = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in nj.ngram_join(docs, 5, 80, 100).collect()}
+    assert got == {i: (0, 1) if i in (0, 60) else (i, 0) for i in range(61)}
+    assert {r["class_id"] for r in kept["members"].select("class_id").distinct().collect()} == {0, 60}
+
+
+@pytest.mark.parametrize(("num", "size"), [(80, 12), (80, 300), (90, 60), (50, 40)])
+def test_linked_sets_are_in_one_part_of_a_list(num, size):
+    rng = np.random.default_rng(size)
+    base = rng.integers(0, 1 << 63, (6, 2 * size), dtype=np.uint64)
+    sets = [np.unique(np.concatenate((b[: size - cut], b[size : size + cut]))) for b in base for cut in rng.integers(0, size // 2, 12)]
+    sizes = np.array([len(s) for s in sets])
+    bits = nj.profile_bits(int(np.searchsorted(nj.size_bounds(num, 100), sizes.min(), "right")) - 1, num, 100)
+    part = nj.near_parts(sizes, np.stack([nj.folded(nj.profile_of(s, bits + 1), bits) for s in sets]), num, 100)
+    linked = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(np.intersect1d(sets[a], sets[b])) >= num * len(np.union1d(sets[a], sets[b]))]
+    assert linked and all(part[a] == part[b] for a, b in linked)
+    assert num < 80 or len(set(part.tolist())) >= 6
