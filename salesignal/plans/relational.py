@@ -11,6 +11,9 @@ from salesignal.operators.feeds import grown
 from salesignal.plans.registry import query
 from salesignal.plans.views import LEDGER, ledger, read
 
+#: Line items that one part of a bridge holds on average, at most.
+BRIDGED = 250_000
+
 
 @query("SELECT o_orderkey, c_name, n_name, r_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 def join_four_way(spark, d):
@@ -21,8 +24,13 @@ def join_four_way(spark, d):
 
 @query("SELECT DISTINCT o_orderkey, s_name FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN supplier ON l_suppkey = s_suppkey")
 def join_bridge(spark, d):
-    line = read(spark, d, "lineitem").select("l_orderkey", "l_suppkey").distinct()
-    return read(spark, d, "orders").join(line, F.col("o_orderkey") == F.col("l_orderkey")).join(read(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select("o_orderkey", "s_name").distinct()
+    line, orders, supplier = (read(spark, d, t) for t in ("lineitem", "orders", "supplier"))
+    # parts in proportion to the input, so that none grows with it
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-line.count() // BRIDGED))
+    line = line.select("l_orderkey", "l_suppkey").repartition(n, "l_orderkey").distinct()
+    met = orders.select("o_orderkey").repartition(n, "o_orderkey").join(line, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "l_suppkey")
+    named = met.repartition(n, "l_suppkey").join(supplier.select("s_suppkey", "s_name").repartition(n, "s_suppkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    return named.select("o_orderkey", "s_name").repartition(n, "o_orderkey").distinct()
 
 
 @query("SELECT p_partkey, coalesce(t.total, 0) AS total, coalesce(p_name, p_brand, '?') AS shown FROM part LEFT JOIN (SELECT l_partkey, count(*) AS total FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) t ON p_partkey = l_partkey")
