@@ -13,10 +13,14 @@ MISSING_SIZE, MISSING_YEAR, MISSING_SALE, MOST_TREND, FEWEST_POINTS = 0.6, 0.7,
 
 
 def weighted_quantiles(rows: DataFrame, keys: list[str], value: str, weight: str, ties: list[str], at: dict[str, float]) -> DataFrame:
-    """For each group the smallest value at which the running weight reaches each share of the total. Weights of 0 or less don't count. ties make the order, and so the sums, the same on every run."""
-    ordered = Window.partitionBy(*keys).orderBy(value, weight, *ties)
+    """For each group the smallest value at which the running weight reaches each share of the total. Weights of 0 or less don't count.
+
+    Rows of equal value reach a share together, so weights are added by value before anything is ordered: a task orders a group's different values, without the columns that tell rows apart. ties: those columns; no result depends on them.
+    """
+    by_value = rows.filter(F.col(weight) > 0).groupBy(*keys, value).agg(F.sum(weight).alias("_weight"))
+    ordered = Window.partitionBy(*keys).orderBy(value)
     # one window gives the running sum; the total is its last value, so no second pass over the group
-    run = rows.filter(F.col(weight) > 0).withColumn("_run", F.sum(weight).over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    run = by_value.withColumn("_run", F.sum("_weight").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
     total = F.max("_run").over(ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     run = run.withColumn("_total", total)
     return run.groupBy(*keys).agg(*[F.min(F.when(F.col("_run") >= F.lit(q) * F.col("_total"), F.col(value))).alias(name) for name, q in at.items()])
@@ -48,16 +52,17 @@ def series_match(tokens: Column, title: Column) -> Column:
     return F.coalesce(F.exists(tokens, lambda t: (t != "") & F.lower(title).contains(F.lower(t))), F.lit(False))
 
 
-def weighted_comps(subjects: DataFrame, comps: DataFrame, now_year: int) -> DataFrame:
-    """A row for each subject, stratum (all, big3, mid) and comparable of its artist and medium, with sold, growth, adjusted price and weight.
+def weighted_comps(subjects: DataFrame, comps: DataFrame, now_year: int, named: bool = True) -> DataFrame:
+    """A row for each subject, stratum (all, big3, mid) and comparable of its artist and medium, with sold, growth, adjusted price and weight; without comp_id if not named.
 
     subjects: subject_id, artist_key, medium_category, area_sqin, work_year, series_tokens. comps: comp_id, artist_key, medium_category, title, area_sqin, work_year, price_usd, outcome, sale_year, venue.
     """
     keys = ["artist_key", "medium_category"]
     sold = F.coalesce(F.col("outcome").isin("sold", "final_bid") & (F.col("price_usd") > 0), F.lit(False))
-    own = comps.select("comp_id", *keys, "title", "area_sqin", "work_year", "sale_year", "price_usd", sold.alias("sold"), "venue")
+    ids = ["comp_id"] if named else []
+    own = comps.select(*ids, *keys, "title", "area_sqin", "work_year", "sale_year", "price_usd", sold.alias("sold"), "venue")
     # the comparables are most often a join of many tables, and are needed for growth and for prices: kept once
-    own = checkpointed(own.join(subjects.select(*keys).distinct(), keys, "left_semi").withColumn("stratum", F.explode(F.array(F.lit("all"), F.col("venue")))).drop("venue"))
+    own = checkpointed(own.join(subjects.select(*keys).distinct(), keys, "left_semi")).withColumn("stratum", F.explode(F.array(F.lit("all"), F.col("venue")))).drop("venue")
     # growth is that of the artist and medium, whatever work is valued, so it is found before subjects multiply the rows
     growth = own.filter("sold").groupBy(*keys, "stratum").agg(trend(F.col("sale_year"), F.col("price_usd")).alias("growth"))
     factor = F.pow(F.lit(1.0) + F.coalesce("growth", F.lit(0.0)), (F.lit(now_year) - F.col("sale_year")).cast("double"))
@@ -65,15 +70,15 @@ def weighted_comps(subjects: DataFrame, comps: DataFrame, now_year: int) -> Data
     pairs = priced.alias("c").join(subjects.alias("s"), (F.col("c.artist_key") == F.col("s.artist_key")) & (F.col("c.medium_category") == F.col("s.medium_category")))
     weight = size_weight(F.col("s.area_sqin"), F.col("c.area_sqin")) * year_weight(F.col("s.work_year"), F.col("c.work_year")) * recency_weight(F.col("c.sale_year"), now_year)
     weight = weight * F.when(series_match(F.col("s.series_tokens"), F.col("c.title")), SERIES_BOOST).otherwise(1.0)
-    return pairs.select("s.subject_id", "s.medium_category", "c.comp_id", "c.title", "c.sale_year", "c.price_usd", "c.sold", F.round(weight, 12).alias("weight"), "c.stratum", "c.growth", "c.price")
+    return pairs.select("s.subject_id", "s.medium_category", *[f"c.{c}" for c in ids], "c.title", "c.sale_year", "c.price_usd", "c.sold", F.round(weight, 12).alias("weight"), "c.stratum", "c.growth", "c.price")
 
 
 def comp_estimates(subjects: DataFrame, comps: DataFrame, now_year: int) -> DataFrame:
     """A row for each subject and stratum that has a sold comparable: low, mid, high, n, unsold, n_effective, confidence, growth."""
-    rows = weighted_comps(subjects, comps, now_year)
+    rows = weighted_comps(subjects, comps, now_year, named=False)
     keys = ["subject_id", "stratum"]
     sold = rows.filter("sold and weight > 0")
-    quantiles = weighted_quantiles(sold, keys, "price", "weight", ["comp_id"], {"low": 0.25, "mid": 0.5, "high": 0.75})
+    quantiles = weighted_quantiles(sold, keys, "price", "weight", [], {"low": 0.25, "mid": 0.5, "high": 0.75})
     stats = rows.groupBy(*keys).agg(F.count_if(F.col("sold") & (F.col("weight") > 0)).alias("n"), F.count_if(~F.col("sold")).alias("unsold"), F.sum(F.when(F.col("sold"), F.col("weight").cast("decimal(18,12)"))).cast("double").alias("n_effective"), F.max("growth").alias("growth"))
     out = stats.join(quantiles, keys)
     spread = (F.col("high") - F.col("low")) / F.col("mid")
