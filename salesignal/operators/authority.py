@@ -87,8 +87,10 @@ def authority_build(records: DataFrame) -> Authority:
 
     records: seq (orderable, one a row: source by source, then the place in it), source, raw_name, outside_id, wikidata_qid, birth_year, death_year, nationality, papers, institution (null: holds nothing), works, distinction. Names are read as catalogues write them; those of institutions, with digits and of one word go. artists: artist_id (the entity's key), canonical and what merged_entities tells. variants: variant_key (in the order of the name and sorted), artist_id and the source that brought it first. holdings: works summed by institution. distinctions: each once. landed: the records with their artist_id.
     """
-    name = clean_person_name(F.col("raw_name"))
-    rows = records.withColumn("name", name).filter("name is not null").withColumn("norm_key", artist_key(F.col("name")))
+    # a spelling is read once, however many records have it, and the records are kept once for all that is asked of them
+    spellings = checkpointed(records.select("raw_name").distinct().withColumn("name", clean_person_name(F.col("raw_name"))))
+    spellings = spellings.filter("name is not null").withColumn("norm_key", artist_key(F.col("name")))
+    rows = checkpointed(records.join(spellings, "raw_name"))
     landed = checkpointed(with_entity(rows)).withColumnRenamed("entity_key", "artist_id")
     artists = merged_entities(landed.withColumnRenamed("artist_id", "entity_key")).withColumnRenamed("entity_key", "artist_id")
     spelled = landed.select("artist_id", "seq", "source", F.explode(F.array_distinct(F.array("norm_key", sorted_key(F.col("norm_key"))))).alias("variant_key"))
