@@ -44,10 +44,12 @@ def art_density(lots: DataFrame) -> DataFrame:
 
 
 def mills(lots: DataFrame, names: int = MILL_NAMES, claims: int = MILL_CLAIMS) -> DataFrame:
-    """(auction, masters, claims, mill): famous names claimed as originals; honest prints and copies don't count."""
+    """(auction, masters, claims, mill): famous names claimed as originals; honest prints and copies don't count. A sale's equal titles are read once."""
     name = F.lower(F.regexp_extract("title", BLUE_CHIP, 1))
-    own = lots.withColumn("_name", F.when((name != "") & ~skip_lot(F.col("title")), name))
-    out = own.groupBy("auction").agg(F.array_sort(F.collect_set("_name")).alias("masters"), F.count("_name").alias("claims"))
+    titles = lots.groupBy("auction", "title").agg(F.count("*").alias("_n"))
+    own = titles.withColumn("_name", F.when((name != "") & ~skip_lot(F.col("title")), name))
+    claimed = F.sum(F.when(F.col("_name").isNotNull(), F.col("_n")).otherwise(F.lit(0)))
+    out = own.groupBy("auction").agg(F.array_sort(F.collect_set("_name")).alias("masters"), claimed.alias("claims"))
     return out.withColumn("mill", (F.size("masters") >= names) | (F.col("claims") >= claims))
 
 

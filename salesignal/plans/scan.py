@@ -10,6 +10,7 @@ from salesignal.operators import scan as s
 from salesignal.plans.authority import PROFILES, build, profiles
 from salesignal.plans.registry import query
 from salesignal.plans.views import read
+from salesignal.session import checkpointed
 
 SALES = 700
 FAVOURITES, BLOCKED = ("house 12",), ("house 31",)
@@ -99,7 +100,7 @@ told AS (
 
 
 def scanned(spark, d):
-    own, sales = lots(spark, d), auctions(spark, d)
+    own, sales = checkpointed(lots(spark, d)), auctions(spark, d)  # read several times
     built = build(spark, d)
     done, blocked = sales.filter("sale % 4 = 0").select("sale"), sales.filter("house = 'House 7'").select("house")
     return s.deep_scan(sales, own, done, blocked, own.filter("tax >= 0.08").select("lot"), market(spark, d).select("artist_key", "tier", "high"), built, profiles(spark, d, built), FAVOURITES)
@@ -142,6 +143,6 @@ SELECT lot, sale, person AS artist, outcome, price, coalesce(outcome <> 'unsold'
 FROM priced LEFT JOIN (SELECT * FROM market WHERE tier = 'strong') m ON m.artist_key = {_KEY.format("person")}"""
 )
 def harvest_sales(spark, d):
-    own, sales = lots(spark, d), auctions(spark, d)
+    own, sales = checkpointed(lots(spark, d)), auctions(spark, d)  # read several times
     built = build(spark, d)
     return s.harvest(sales, own, sales.filter("sale % 3 = 0").select("sale"), own.filter("tax < 0.02").select("lot"), market(spark, d), built, profiles(spark, d, built), BLOCKED)
