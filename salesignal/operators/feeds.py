@@ -115,12 +115,18 @@ def deep_flags(lots: DataFrame, market: DataFrame, canonical: DataFrame, standin
     return rows.select("lot", F.coalesce("artist_key", "canonical").alias("artist_key"), reason.alias("reason")).filter("reason is not null")
 
 
-def harvested_prices(lots: DataFrame, harvested: DataFrame, stores: list[DataFrame], recorded: DataFrame) -> DataFrame:
-    """(lot, artist, outcome, price) of closed sales not harvested yet: claims resolved in the stores, unknown names and lots on record left out. lots: lot, sale, claim, realized, bid, bids."""
-    todo = lots.join(harvested.select("sale").distinct(), "sale", "left_anti").join(recorded.select("lot").distinct(), "lot", "left_anti")
-    known = resolve_cascade(todo.select("claim"), stores).withColumnRenamed("key", "artist")
+def harvested_prices(lots: DataFrame, harvested: DataFrame, stores: list[DataFrame], recorded: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """(lot, artist, outcome, price) of closed sales not harvested yet: claims resolved in the stores, unknown names and lots on record left out. Equal lots count once. lots: lot, sale, claim, realized, bid, bids.
+
+    Where lots are of items of a catalogue, names has the claims (item, claim) and lots have item instead: claims are then resolved once for the catalogue and lots move by short keys, first by sale, then by item. lot may be a struct.
+    """
+    todo = lots.join(harvested.select("sale").distinct(), "sale", "left_anti").join(recorded.select("lot").distinct(), "lot", "left_anti").distinct()  # by sale already, so equal lots meet without a shuffle
+    known = resolve_cascade(todo if names is None else names, stores).select("claim", F.col("key").alias("artist"))
+    key = "claim" if names is None else "item"
+    if names is not None:
+        known = names.select("item", "claim").distinct().join(known, "claim").select("item", "artist")
     result = outcome(F.col("realized"), F.col("bid"), F.col("bids"))
-    return todo.join(known, "claim").withColumn("_r", result).select("lot", "artist", "_r.outcome", "_r.price")
+    return todo.select("lot", key, result.alias("_r")).select("lot", key, "_r.outcome", "_r.price").join(known, key).select("lot", "artist", "outcome", "price")
 
 
 def significance_queue(names: DataFrame, budget: int) -> DataFrame:

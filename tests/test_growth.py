@@ -1,10 +1,11 @@
 """What must not grow faster than the input: columns that are shuffled, texts that are read, rows of one task."""
 
 from salesignal.operators import authority as a
+from salesignal.operators import feeds as f
 from salesignal.operators import market as m
 from salesignal.operators.select import mills
 from salesignal.plans import relational, scan
-from salesignal.plans.feeds import token_overlap
+from salesignal.plans.feeds import harvest_results, token_overlap
 
 D = "/root/testdata/sf0.001"
 
@@ -50,3 +51,19 @@ def test_lots_of_a_scan_are_kept_once(spark, monkeypatch):
     monkeypatch.setattr(scan.s, "harvest", lambda sales, lots, *rest: seen.append(lots))
     scan.harvest_sales(spark, D)
     assert "Join" not in plan(seen[0])
+
+
+def test_harvested_lots_are_read_once(spark):
+    """Claims are resolved once a part: lots are not read again for them, and they do not meet by claim."""
+    out = plan(harvest_results(spark, D))
+    assert out.count("Relation [l_orderkey") == 1 and not any("Join" in line and "claim" in line and "l_" in line for line in out.splitlines())
+
+
+def test_harvest_by_item_and_by_claim(spark):
+    rows = [(1, 1, "a b", 7, 5.0), (1, 1, "a b", 7, 5.0), (2, 1, "a b c", 8, None), (3, 9, "a b", 7, 5.0), (4, 1, "x y", 6, 5.0), (5, 1, None, 5, 5.0)]
+    lots = spark.createDataFrame(rows, "lot int, sale int, claim string, item int, realized double").selectExpr("*", "1.0D bid", "1 bids")
+    done, recorded = spark.createDataFrame([(9,)], "sale int"), lots.select("lot").limit(0)
+    store = spark.createDataFrame([("a b",)], "key string")
+    names = lots.select("item", "claim")
+    by_claim, by_item = f.harvested_prices(lots.drop("item"), done, [store], recorded), f.harvested_prices(lots.drop("claim"), done, [store], recorded, names)
+    assert sorted(map(tuple, by_claim.collect())) == sorted(map(tuple, by_item.collect())) == [(1, "a b", "sold", 5.0), (2, "a b", "final_bid", 1.0)]
