@@ -1,10 +1,13 @@
-"""Secret scan: three fixed patterns, and random-looking tokens by a battery of randomness tests. Column expressions only."""
+"""Secret scan: three fixed patterns, and random-looking tokens by a battery of randomness tests. Spans and tokens by column expressions; ordinary language, which every class of tokens is measured by, by Arrow batches."""
 
 from __future__ import annotations
 
 import math
 from collections import defaultdict
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +44,8 @@ ENCODINGS = (
 RATE, LEAST_BITS = 0.05, 80.0
 #: p-values are counted in bins of a quarter nat, the last for all beyond.
 BINS = 400
-#: A text gives one piece of ordinary language to a stratum for each BLOCK characters, or for each SPARSE times what a piece for every stratum would take, if that is more: so the battery reads a quarter of the characters at most, however many strata there are.
-BLOCK, SPARSE = 1024, 4
+#: Bytes of text that are spelled at once, and letters of pieces that are tested at once.
+CHUNK = 1 << 20
 
 
 def _none(kind: str) -> Column:
@@ -185,7 +188,7 @@ def _alphabet(token: Column) -> tuple[Column, Column]:
 
 def _bin(token: Column, letters: Column) -> Column:
     nats = -F.ln(F.greatest(F.lit(1e-300), battery(token, letters)))
-    return F.least(F.lit(BINS), F.floor(nats * 4)).cast("int")
+    return F.least(F.lit(BINS), F.greatest(F.lit(0), F.floor(nats * 4))).cast("int")
 
 
 def _scored(spans: Column) -> Column:
@@ -204,14 +207,81 @@ def _scored(spans: Column) -> Column:
     return F.transform(spans, one)
 
 
-def spelled(body: Column, which: int) -> Column:
-    """A text's ordinary language as an identifier of an encoding would spell it: words run together, with capitals where the alphabet has both cases, with its own separator where it has one; letters that the alphabet lacks are replaced by the alphabet's letter of the same place, counted round."""
+def spelled(signs: np.ndarray, starts: np.ndarray, which: int) -> tuple[np.ndarray, np.ndarray]:
+    """Texts' ordinary language as an identifier of an encoding would spell it: words run together, with capitals where the alphabet has both cases, with its own separator where it has one; letters that the alphabet lacks are replaced by the alphabet's letter of the same place, counted round.
+
+    signs: the UTF-8 bytes of texts end to end, starts: where each begins, and the end of the last. Returns the letters' places in the alphabet, and where each text begins among them.
+    """
     _, alphabet = ENCODINGS[which]
     both = "a" in alphabet and "Z" in alphabet
     gap = next((c for c in "-/" if c in alphabet), "")
-    words = F.regexp_replace(F.initcap(F.lower(body)) if both else F.lower(body), "[^A-Za-z0-9]+", gap)
-    signs = LOWER + DIGITS + (UPPER if both else "")
-    return F.translate(words, signs, "".join(c if c in alphabet else alphabet[i % len(alphabet)] for i, c in enumerate(signs)))
+    place, capital = np.full(256, max(0, alphabet.find(gap)), np.uint8), np.zeros(256, np.uint8)
+    for i, c in enumerate(LOWER + DIGITS + (UPPER if both else "")):
+        at = alphabet.index(c if c in alphabet else alphabet[i % len(alphabet)])
+        for own in {c, c.upper()} if c in LOWER else {c} - set(UPPER):
+            place[ord(own)] = at
+        if c in UPPER:
+            capital[ord(c)] = capital[ord(c.lower())] = at
+    word, first = _WORD[signs], np.zeros(len(signs), bool)
+    first[starts[:-1][starts[:-1] < len(signs)]] = True
+    codes = place[signs]
+    if both:
+        head = first.copy()
+        head[1:] |= signs[:-1] <= 32
+        head &= _LETTER[signs]
+        codes[head] = capital[signs[head]]
+    if gap:
+        kept = word | first
+        kept[1:] |= word[:-1]
+    else:
+        kept = word
+    return codes[kept], np.concatenate([[0], np.cumsum(kept, dtype=np.int64)])[starts]
+
+
+_WORD, _LETTER = (np.isin(np.arange(256), list(signs.encode())) for signs in (LOWER + UPPER + DIGITS, LOWER + UPPER))
+
+
+def pieces_at(starts: np.ndarray, n: int) -> np.ndarray:
+    """Where pieces of n letters begin that cover texts without a gap: end to end from a text's beginning, and what is left over by one that ends with the text. Texts of fewer letters have none."""
+    sizes = np.diff(starts)
+    each = sizes // n
+    tiles = np.repeat(starts[:-1], each) + n * (np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each))
+    return np.concatenate([tiles, (starts[1:] - n)[(sizes > n) & (sizes % n > 0)]])
+
+
+def piece_bins(codes: np.ndarray, starts: np.ndarray, which: int, lengths: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each length the bins (see _bin) of the pieces of spelled texts: `battery` for very many pieces at once. Neighbours are summed up once for all lengths; only the symbols' counts are taken for each."""
+    k = len(ENCODINGS[which][1])
+    high = codes >= k / 2
+    # zeros go first, so that a piece's sums are differences
+    cross, changes = (np.concatenate([[0], np.cumsum(x, dtype=np.int64)]) for x in (codes[:-1].astype(np.int64) * codes[1:], high[:-1] != high[1:]))
+    places = np.arange(k, dtype=float)
+    sums = np.stack([places, places * places, places >= k / 2], axis=1)
+    for n in lengths:
+        at = pieces_at(starts, n)
+        for i in range(0, len(at), max(1, CHUNK // n)):
+            own = at[i : i + max(1, CHUNK // n)]
+            letters = np.lib.stride_tricks.sliding_window_view(codes, n)[own]
+            counts = np.bincount((letters + k * np.arange(len(own))[:, None]).ravel(), minlength=k * len(own)).reshape(-1, k).astype(float)
+            total, square, highs = (counts @ sums).T
+            mean = total / n
+            around = cross[own + n - 1] - cross[own] - mean * (2 * total - codes[own] - codes[own + n - 1]) + (n - 1) * mean * mean
+            yield n, _fisher_bins(n, k, np.einsum("ij,ij->i", counts, counts), highs, 1 + changes[own + n - 1] - changes[own], around, square * n - total * total)
+
+
+def _fisher_bins(n: int, k: int, squares: np.ndarray, highs: np.ndarray, runs: np.ndarray, cross: np.ndarray, square: np.ndarray) -> np.ndarray:
+    """Bins from the tests' sums, as in battery; square: n times that about the mean, which is whole."""
+    product = 2 * highs * (n - highs)
+    chi = (squares * k / n - n - (k - 1)) / math.sqrt(2 * (k - 1) * (1 - 1 / n))
+    spread = np.sqrt(np.maximum(1e-9, product * (product - n) / (n * n * (n - 1.0))))
+    apart = np.where(product == 0, 8.0, (np.abs(runs - product / n - 1) - 0.5) / spread)
+    serial = np.where(square == 0, 8.0, np.abs((cross * n / np.maximum(square, 1) + 1 / n) * math.sqrt(n)))
+    nats = np.zeros(len(chi))
+    for z, sides in ((chi, 1), (apart, 2), (serial, 2)):
+        tail = 1 / (1 + np.exp(np.clip(z * 1.5976 + z * z * z * 0.070566, -600, 600)))
+        nats -= np.log(np.clip(tail * sides, 1e-300, 1))
+    p = np.exp(-np.minimum(nats, 700)) * (1 + nats + nats * nats / 2)
+    return np.clip(np.floor(-np.log(np.maximum(p, 1e-300)) * 4), 0, BINS).astype(np.int64)
 
 
 def least_length(stratum: int) -> int:
@@ -219,24 +289,42 @@ def least_length(stratum: int) -> int:
     return max(SHORTEST, math.ceil(2 ** (stratum % 64 / 2) - 1e-6))
 
 
-def _ordinary(body: Column, strata: list[int]) -> Column:
-    """Pieces of ordinary language of a text for each stratum: (stratum, letters, piece), as short as the stratum's tokens can be, at even distances (see BLOCK). Each is spelled from twice its length of text; where that has too few letters, there is none."""
-
-    def of_length(n: int, own: list[int]) -> Column:
-        apart = max(BLOCK, SPARSE * n * len(strata))
-        each = F.regexp_extract_all(body, F.lit(f"(?s)(.{{{2 * n}}}).{{0,{apart - 2 * n}}}"), F.lit(1))
-
-        def in_encodings(x: Column) -> Column:
-            return F.array(*[F.struct(F.lit(s).alias("stratum"), F.lit(ENCODINGS[s // 64][1]).alias("letters"), F.substring(spelled(x, s // 64), 1, n).alias("piece")) for s in own])
-
-        return F.filter(F.flatten(F.transform(each, in_encodings)), lambda x: F.length(x["piece"]) == n)
-
-    lengths = sorted(set(map(least_length, strata)))
-    return F.concat(*[of_length(n, [s for s in strata if least_length(s) == n]) for n in lengths])
+def _texts(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """A column of texts in runs of about CHUNK bytes: the bytes end to end, and where each text begins, with the end. Null is an empty text."""
+    texts = column.fill_null("").cast(pa.large_binary())
+    _, at, held = texts.buffers()
+    at = np.frombuffer(at, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff((at[:-1] - at[0]) // CHUNK)) + 1).tolist(), len(texts)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if at[b] > at[a]:
+            yield np.frombuffer(held, np.uint8)[at[a] : at[b]], at[a : b + 1] - at[a]
+
+
+def ordinary_counts(docs: DataFrame, strata: list[int], text: str = "text") -> DataFrame:
+    """(stratum, bin, n): how random ordinary language looks to the battery, in each stratum. Every text is spelled whole in the stratum's encoding and cut without a gap into pieces as short as the stratum's tokens can be (see spelled, pieces_at); all of them are counted. A task sends one row for each bin it meets."""
+    lengths: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+    for s in strata:
+        lengths[s // 64][least_length(s)].append(s)
+    asked = {which: dict(own) for which, own in lengths.items()}
+
+    def counted(batches):
+        count = {s: np.zeros(BINS + 1, np.int64) for s in strata}
+        for batch in batches:
+            for signs, starts in _texts(batch.column(0)):
+                for which, own in asked.items():
+                    for n, bins in piece_bins(*spelled(signs, starts, which), which, list(own)):
+                        each = np.bincount(bins, minlength=BINS + 1)
+                        for s in own[n]:
+                            count[s] += each
+        rows = [(s, int(b), int(c[b])) for s, c in count.items() for b in np.flatnonzero(c)]
+        names, kinds = ("stratum", "bin", "n"), (pa.int32(), pa.int32(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
+
+    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(counted, "stratum int, bin int, n bigint").groupBy("stratum", "bin").agg(F.sum("n").alias("n"))
 
 
 def discoveries(candidates: list[tuple[int, int, int]], ordinary: list[tuple[int, int, int]], rate: float = RATE) -> dict[int, int]:
-    """By stratum the last bin that is reported, -1 for none, from (stratum, bin, number) of candidates and of ordinary pieces.
+    """By stratum the last bin that is reported, -1 for none, from (stratum, bin, number) of all candidates and of all ordinary pieces.
 
     The null hypothesis is that a token is ordinary. Its p-value is the share of ordinary pieces (counting one more) that look as random as it does or more; Benjamini and Hochberg's procedure over the stratum's candidates reports the largest set in which `rate` at most are expected to be ordinary.
     """
@@ -261,7 +349,7 @@ def discoveries(candidates: list[tuple[int, int, int]], ordinary: list[tuple[int
 def secret_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rate: float = RATE) -> DataFrame:
     """A row for each row of docs: doc_id, base and random, both arrays of (at, order, until, kind, what or null).
 
-    base: every match of the three patterns in the whole text. random: tokens outside base spans that look more random than ordinary language does. Each token is tested under the alphabet it seems to be in. What the battery says of ordinary tokens is counted on the table's own language, spelled in the same alphabet and as short as the length class allows (see spelled, discoveries); within encoding and length class at most `rate` of the reported tokens are expected to be ordinary. A token too short to hold LEAST_BITS is never reported. The counts that this needs are 401 bins for each of at most 13 * 62 classes.
+    base: every match of the three patterns in the whole text. random: tokens outside base spans that look more random than ordinary language does. Each token is tested under the alphabet it seems to be in. What the battery says of ordinary tokens is counted on the table's own language, all of it, spelled in the same alphabet and cut as short as the length class allows (see ordinary_counts, discoveries); within encoding and length class at most `rate` of the reported tokens are expected to be ordinary. A token too short to hold LEAST_BITS is never reported. The counts that this needs are 401 bins for each of at most 13 * 62 classes.
 
     Null texts count as empty and give empty arrays; repeated rows each get a row; other columns are ignored.
     """
@@ -271,10 +359,7 @@ def secret_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rat
     rows = stored(rows.select("doc_id", "base", apart_from(F.col("tokens"), F.col("base")).alias("tokens")), "secrets")
     counts = [tuple(r) for r in rows.select(F.explode("tokens").alias("t")).groupBy("t.stratum", "t.bin").count().collect()]
     strata = sorted({c[0] for c in counts})
-    ordinary = []
-    if strata:
-        pieces = docs.select(F.explode(_ordinary(body, strata)).alias("x"))
-        ordinary = [tuple(r) for r in pieces.select("x.stratum", _bin(F.col("x.piece"), F.col("x.letters")).alias("bin")).groupBy("stratum", "bin").count().collect()]
+    ordinary = [tuple(r) for r in ordinary_counts(docs, strata, text).collect()] if strata else []
     cuts = discoveries(counts, ordinary, rate)
     cut = F.create_map(*[F.lit(x) for pair in cuts.items() for x in pair]) if cuts else F.expr("cast(map() as map<int,int>)")
     kept = F.filter("tokens", lambda t: t["able"] & (t["bin"] <= F.try_element_at(cut, t["stratum"])))

@@ -223,6 +223,38 @@ def test_discoveries_by_brute_force():
     assert se.discoveries([(7, 0, 5)], []) == {7: -1}
 
 
+def test_thresholds_count_all_ordinary_language(spark, monkeypatch):
+    """Every text gives all its pieces to each class of tokens, with the battery's own bins."""
+    rng = random.Random(7)
+    tokens = ["".join(rng.choice(signs) for _ in range(n)) for signs in (se.LOWER, se.UPPER, se.DIGITS, se.DIGITS + "abcdef", se.UPPER + se.LOWER, se.UPPER + se.LOWER + se.DIGITS, se.UPPER + se.LOWER + se.DIGITS + "-_", se.UPPER + se.LOWER + se.DIGITS + "+/") for n in (20, 33, 70)]
+    texts = [" ".join(tokens), *[prose(rng, rng.randrange(1, 200)) for _ in range(40)], "Été, d'Ivry  3-4\t" * 9, "x" * 90, "ab" * 40, "", None, "short"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    seen, plain = [], se.discoveries
+    monkeypatch.setattr(se, "discoveries", lambda candidates, ordinary, *rate: seen.append((candidates, ordinary)) or plain(candidates, ordinary, *rate))
+    se.secret_scan(df)
+    strata = {c[0] for c in seen[0][0]}
+    assert len(strata) >= 20
+
+    def identifier(text, alphabet):
+        both, gap = "a" in alphabet and "Z" in alphabet, next((c for c in "-/" if c in alphabet), "")
+        lower = re.sub("[A-Z]", lambda m: m[0].lower(), text)
+        words = re.sub(r"(^|[\x00-\x20])([a-z])", lambda m: m[1] + m[2].upper(), lower) if both else lower
+        signs = se.LOWER + se.DIGITS + (se.UPPER if both else "")
+        held = {c: c if c in alphabet else alphabet[i % len(alphabet)] for i, c in enumerate(signs)}
+        return "".join(held.get(c, c) for c in re.sub("[^A-Za-z0-9]+", gap, words))
+
+    rows = []
+    for s in strata:
+        alphabet, n = se.ENCODINGS[s // 64][1], se.least_length(s)
+        for t in texts:
+            own = identifier(t or "", alphabet)
+            rows += [(s, own[i : i + n], alphabet) for i in range(0, len(own) - n + 1, n)] + ([(s, own[-n:], alphabet)] if len(own) > n and len(own) % n else [])
+    bins = spark.createDataFrame(rows, "s int, t string, a string").groupBy("s", se._bin(F.col("t"), F.col("a")).alias("b")).count()
+    assert sorted(map(tuple, bins.collect())) == sorted(seen[0][1])
+    # runs of texts do not matter
+    assert sorted(map(tuple, se.ordinary_counts(df.repartition(3), sorted(strata)).collect())) == sorted(seen[0][1])
+
+
 @pytest.mark.parametrize("n", [24, 40, 100])
 def test_reported_secrets_are_mostly_secrets(spark, n):
     """Ordinary identifiers and random tokens of one length class: few of the reported ones are ordinary, and of longer tokens most secrets are reported, those of letters alone too. Of short ones the battery can't tell enough."""
