@@ -1,13 +1,11 @@
-"""Secret scan: three fixed patterns, and random-looking tokens by a battery of randomness tests. Spans and tokens by column expressions; ordinary language, which every class of tokens is measured by, by Arrow batches."""
+"""Secret scan: three fixed patterns, and random-looking tokens by a battery of randomness tests. Spans, tokens and the ordinary language that every class of tokens is measured by, all by column expressions."""
 
 from __future__ import annotations
 
 import math
 from collections import defaultdict
-from collections.abc import Iterator
+from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,8 +42,10 @@ ENCODINGS = (
 RATE, LEAST_BITS = 0.05, 80.0
 #: p-values are counted in bins of a quarter nat, the last for all beyond.
 BINS = 400
-#: Bytes of text that are spelled at once, and letters of pieces that are tested at once.
-CHUNK = 1 << 20
+#: Pieces of so many letters at most have the tests' sums written out.
+SHORT = 32
+#: Sign that stands for an alphabet's first letter.
+PLACE = 48
 
 
 def _none(kind: str) -> Column:
@@ -207,81 +207,105 @@ def _scored(spans: Column) -> Column:
     return F.transform(spans, one)
 
 
-def spelled(signs: np.ndarray, starts: np.ndarray, which: int) -> tuple[np.ndarray, np.ndarray]:
-    """Texts' ordinary language as an identifier of an encoding would spell it: words run together, with capitals where the alphabet has both cases, with its own separator where it has one; letters that the alphabet lacks are replaced by the alphabet's letter of the same place, counted round.
-
-    signs: the UTF-8 bytes of texts end to end, starts: where each begins, and the end of the last. Returns the letters' places in the alphabet, and where each text begins among them.
-    """
+def _spelling(which: int) -> tuple[bool, str, str, int]:
+    """How an encoding spells ordinary language: whether with capitals, what stands between words, the place (a sign from PLACE on) of each of LOWER, DIGITS, UPPER and that separator, and the alphabet's size."""
     _, alphabet = ENCODINGS[which]
     both = "a" in alphabet and "Z" in alphabet
     gap = next((c for c in "-/" if c in alphabet), "")
-    place, capital = np.full(256, max(0, alphabet.find(gap)), np.uint8), np.zeros(256, np.uint8)
-    for i, c in enumerate(LOWER + DIGITS + (UPPER if both else "")):
-        at = alphabet.index(c if c in alphabet else alphabet[i % len(alphabet)])
-        for own in {c, c.upper()} if c in LOWER else {c} - set(UPPER):
-            place[ord(own)] = at
-        if c in UPPER:
-            capital[ord(c)] = capital[ord(c.lower())] = at
-    word, first = _WORD[signs], np.zeros(len(signs), bool)
-    first[starts[:-1][starts[:-1] < len(signs)]] = True
-    codes = place[signs]
+    signs = LOWER + DIGITS + (UPPER if both else "") + gap
+    places = "".join(chr(PLACE + alphabet.index(c if c in alphabet else alphabet[i % len(alphabet)])) for i, c in enumerate(signs))
+    return both, gap, places, len(alphabet)
+
+
+def spelled(plain: Column, both: bool, gap: str, places: str) -> Column:
+    """A text's ordinary language as an identifier of an encoding would spell it: words run together, with capitals where the alphabet has both cases, with its own separator where it has one; letters that the alphabet lacks are replaced by the alphabet's letter of the same place, counted round. plain holds ASCII only. The letters are told by their places (see _spelling)."""
+    words = F.lower(plain)
     if both:
-        head = first.copy()
-        head[1:] |= signs[:-1] <= 32
-        head &= _LETTER[signs]
-        codes[head] = capital[signs[head]]
+        words = F.array_join(F.transform(F.split(plain, r"[\x00-\x20]"), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substring(w, 2, 1 << 30)))), " ")
     if gap:
-        kept = word | first
-        kept[1:] |= word[:-1]
-    else:
-        kept = word
-    return codes[kept], np.concatenate([[0], np.cumsum(kept, dtype=np.int64)])[starts]
-
-
-_WORD, _LETTER = (np.isin(np.arange(256), list(signs.encode())) for signs in (LOWER + UPPER + DIGITS, LOWER + UPPER))
-
-
-def pieces_at(starts: np.ndarray, n: int) -> np.ndarray:
-    """Where pieces of n letters begin that cover texts without a gap: end to end from a text's beginning, and what is left over by one that ends with the text. Texts of fewer letters have none."""
-    sizes = np.diff(starts)
-    each = sizes // n
-    tiles = np.repeat(starts[:-1], each) + n * (np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each))
-    return np.concatenate([tiles, (starts[1:] - n)[(sizes > n) & (sizes % n > 0)]])
-
-
-def piece_bins(codes: np.ndarray, starts: np.ndarray, which: int, lengths: list[int]) -> Iterator[tuple[int, np.ndarray]]:
-    """For each length the bins (see _bin) of the pieces of spelled texts: `battery` for very many pieces at once. Neighbours are summed up once for all lengths; only the symbols' counts are taken for each."""
-    k = len(ENCODINGS[which][1])
-    high = codes >= k / 2
-    # zeros go first, so that a piece's sums are differences
-    cross, changes = (np.concatenate([[0], np.cumsum(x, dtype=np.int64)]) for x in (codes[:-1].astype(np.int64) * codes[1:], high[:-1] != high[1:]))
-    places = np.arange(k, dtype=float)
-    sums = np.stack([places, places * places, places >= k / 2], axis=1)
-    for n in lengths:
-        at = pieces_at(starts, n)
-        for i in range(0, len(at), max(1, CHUNK // n)):
-            own = at[i : i + max(1, CHUNK // n)]
-            letters = np.lib.stride_tricks.sliding_window_view(codes, n)[own]
-            counts = np.bincount((letters + k * np.arange(len(own))[:, None]).ravel(), minlength=k * len(own)).reshape(-1, k).astype(float)
-            total, square, highs = (counts @ sums).T
-            mean = total / n
-            around = cross[own + n - 1] - cross[own] - mean * (2 * total - codes[own] - codes[own + n - 1]) + (n - 1) * mean * mean
-            yield n, _fisher_bins(n, k, np.einsum("ij,ij->i", counts, counts), highs, 1 + changes[own + n - 1] - changes[own], around, square * n - total * total)
-
-
-def _fisher_bins(n: int, k: int, squares: np.ndarray, highs: np.ndarray, runs: np.ndarray, cross: np.ndarray, square: np.ndarray) -> np.ndarray:
-    """Bins from the tests' sums, as in battery; square: n times that about the mean, which is whole."""
-    product = 2 * highs * (n - highs)
-    chi = (squares * k / n - n - (k - 1)) / math.sqrt(2 * (k - 1) * (1 - 1 / n))
-    spread = np.sqrt(np.maximum(1e-9, product * (product - n) / (n * n * (n - 1.0))))
-    apart = np.where(product == 0, 8.0, (np.abs(runs - product / n - 1) - 0.5) / spread)
-    serial = np.where(square == 0, 8.0, np.abs((cross * n / np.maximum(square, 1) + 1 / n) * math.sqrt(n)))
-    nats = np.zeros(len(chi))
-    for z, sides in ((chi, 1), (apart, 2), (serial, 2)):
-        tail = 1 / (1 + np.exp(np.clip(z * 1.5976 + z * z * z * 0.070566, -600, 600)))
-        nats -= np.log(np.clip(tail * sides, 1e-300, 1))
-    p = np.exp(-np.minimum(nats, 700)) * (1 + nats + nats * nats / 2)
-    return np.clip(np.floor(-np.log(np.maximum(p, 1e-300)) * 4), 0, BINS).astype(np.int64)
+        words = F.regexp_replace(words, "[^A-Za-z0-9]+", gap)
+    signs = LOWER + DIGITS + (UPPER if both else "") + gap
+    # signs that have no place are taken out
+    return F.translate(words, signs + "".join(chr(c) for c in range(128) if chr(c) not in signs), places)
+
+
+def pieces(letters: Column, n: int) -> Column:
+    """Pieces of n letters that cover a text without a gap: end to end from its beginning, and what is left over by one that ends with the text. Texts of fewer letters have none."""
+    size = F.length(letters)
+    last = F.when((size > n) & (size % n > 0), F.array(F.right(letters, F.lit(n)))).otherwise(_none("string"))
+    return F.concat(F.regexp_extract_all(letters, F.lit(f".{{{n}}}"), F.lit(0)), last)
+
+
+def _plus(terms: list[str]) -> Column:
+    """A sum of SQL terms, halved again and again, so that it does not nest deeply."""
+
+    def summed(own: list[str]) -> str:
+        half = len(own) // 2
+        return f"({summed(own[:half])} + {summed(own[half:])})" if half else own[0]
+
+    return F.expr(summed(terms))
+
+
+def short_sums(longest: int) -> dict[str, Column]:
+    """The sums that the tests take over a piece of `longest` letters at most, written out letter by letter (see short_letters): compiled, they take a small part of the time that lambdas would take."""
+    x = [f"x{i}" for i in range(longest)]
+    own = [f"greatest({a}, 0)" for a in x]
+    near = list(zip(x[:-1], x[1:], strict=True))
+    return {
+        # the squares of the symbols' counts: every letter with itself, and twice each pair of equal letters
+        "squares": F.col("n") + 2 * _plus([f"int({a} = {b})" for i, a in enumerate(x) for b in x[:i]]),
+        "highs": _plus([f"int(2 * {a} >= k)" for a in x]),
+        "changes": _plus([f"int((2 * {a} >= k) <> (2 * {b} >= k) and {b} >= 0)" for a, b in near]),
+        "total": _plus(own),
+        "square": _plus([f"{a} * {a}" for a in own]),
+        "cross": _plus([f"{a} * {b}" for a, b in zip(own[:-1], own[1:], strict=True)]),
+    }
+
+
+def short_letters(longest: int) -> list[Column]:
+    """A column for each letter's place; beyond a piece's end numbers below 0 that are all different, so that they equal nothing."""
+    return [F.expr(f"coalesce(ascii(get(letters, {i})) - {PLACE}, {-1 - i})").alias(f"x{i}") for i in range(longest)]
+
+
+def long_sums() -> dict[str, Column]:
+    """short_sums for pieces of any length, by lambdas."""
+    zero, n = F.lit(0).cast("long"), F.col("n")
+    codes = F.transform("letters", lambda x: F.ascii(x) - PLACE)
+    added = lambda values: F.aggregate(values, zero, lambda a, x: a + x)
+    near = lambda c, each: F.zip_with(F.slice(c, 1, n - 1), F.slice(c, 2, n - 1), each)
+    high = lambda x: 2 * x >= F.col("k")
+
+    def alike(s: Column, x: Column) -> Column:
+        """One walk over the ordered letters: how many like the last, and the counts' squares."""
+        run = F.when(s["last"] == x, s["run"] + 1).otherwise(F.lit(1).cast("long"))
+        return F.struct(x.alias("last"), run.alias("run"), (s["squares"] + 2 * run - 1).alias("squares"))
+
+    start = F.struct(F.lit(-1).alias("last"), zero.alias("run"), zero.alias("squares"))
+    return {
+        "squares": F.aggregate(F.sort_array(codes), start, alike)["squares"],
+        "highs": added(F.transform(codes, lambda x: high(x).cast("int"))),
+        "changes": let(codes, lambda c: added(near(c, lambda a, b: (high(a) != high(b)).cast("int")))),
+        "total": added(codes),
+        "square": added(F.transform(codes, lambda x: x * x)),
+        "cross": let(codes, lambda c: added(near(c, lambda a, b: a * b))),
+    }
+
+
+def _sum_bins(sums: DataFrame) -> DataFrame:
+    """(spelling, n, bin) from the tests' sums, as in battery and _bin."""
+    n, k, product = F.col("n").cast("double"), F.col("k"), F.col("product")
+    chi = (F.col("squares") * k / n - n - (k - 1)) / F.sqrt(2 * (k - 1) * (1 - 1 / n))
+    spread = F.sqrt(F.greatest(F.lit(1e-9), product * (product - n) / (n * n * (n - 1))))
+    runs = F.when(product == 0, F.lit(8.0)).otherwise((F.abs(F.col("changes") - product / n) - 0.5) / spread)
+    serial = F.when(F.col("square") == 0, F.lit(8.0)).otherwise(F.abs((F.col("cross") / F.col("square") + 1 / n) * F.sqrt(n)))
+    # about the mean, the squares' sum is the sum of squares less n times the mean's
+    mean = F.col("total") / n
+    centred = sums.select("spelling", "n", "k", "squares", "changes", (2 * F.col("highs") * (n - F.col("highs"))).alias("product"), ((F.col("square") * n - F.col("total") * F.col("total")) / n).alias("square"), (F.col("cross") - mean * (2 * F.col("total") - F.col("ends")) + (n - 1) * mean * mean).alias("cross"))
+    z = centred.select("spelling", "n", chi.alias("chi"), runs.alias("runs"), serial.alias("serial"))
+    tail = lambda name, sides: -F.ln(F.greatest(F.lit(1e-300), F.least(F.lit(1.0), upper_tail(F.col(name)) * sides)))
+    nats, x = F.col("nats"), F.least(F.col("nats"), F.lit(700.0))
+    p = z.select("spelling", "n", (tail("chi", 1) + tail("runs", 2) + tail("serial", 2)).alias("nats")).select("spelling", "n", (F.exp(-x) * (1 + nats + nats * nats / 2)).alias("p"))
+    return p.select("spelling", "n", F.least(F.lit(BINS), F.greatest(F.lit(0), F.floor(-F.ln(F.greatest(F.lit(1e-300), F.col("p"))) * 4))).cast("int").alias("bin"))
 
 
 def least_length(stratum: int) -> int:
@@ -289,38 +313,39 @@ def least_length(stratum: int) -> int:
     return max(SHORTEST, math.ceil(2 ** (stratum % 64 / 2) - 1e-6))
 
 
-def _texts(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """A column of texts in runs of about CHUNK bytes: the bytes end to end, and where each text begins, with the end. Null is an empty text."""
-    texts = column.fill_null("").cast(pa.large_binary())
-    _, at, held = texts.buffers()
-    at = np.frombuffer(at, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
-    cuts = [0, *(np.flatnonzero(np.diff((at[:-1] - at[0]) // CHUNK)) + 1).tolist(), len(texts)]
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        if at[b] > at[a]:
-            yield np.frombuffer(held, np.uint8)[at[a] : at[b]], at[a : b + 1] - at[a]
-
-
 def ordinary_counts(docs: DataFrame, strata: list[int], text: str = "text") -> DataFrame:
-    """(stratum, bin, n): how random ordinary language looks to the battery, in each stratum. Every text is spelled whole in the stratum's encoding and cut without a gap into pieces as short as the stratum's tokens can be (see spelled, pieces_at); all of them are counted. A task sends one row for each bin it meets."""
-    lengths: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+    """(stratum, bin, n): how random ordinary language looks to the battery, in each stratum. Every text is spelled whole in the stratum's encoding and cut without a gap into pieces as short as the stratum's tokens can be (see spelled, pieces); all of them are counted. Encodings that spell alike are counted once."""
+    classes: dict[tuple, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
     for s in strata:
-        lengths[s // 64][least_length(s)].append(s)
-    asked = {which: dict(own) for which, own in lengths.items()}
-
-    def counted(batches):
-        count = {s: np.zeros(BINS + 1, np.int64) for s in strata}
-        for batch in batches:
-            for signs, starts in _texts(batch.column(0)):
-                for which, own in asked.items():
-                    for n, bins in piece_bins(*spelled(signs, starts, which), which, list(own)):
-                        each = np.bincount(bins, minlength=BINS + 1)
-                        for s in own[n]:
-                            count[s] += each
-        rows = [(s, int(b), int(c[b])) for s, c in count.items() for b in np.flatnonzero(c)]
-        names, kinds = ("stratum", "bin", "n"), (pa.int32(), pa.int32(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
-
-    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(counted, "stratum int, bin int, n bigint").groupBy("stratum", "bin").agg(F.sum("n").alias("n"))
+        classes[_spelling(s // 64)][least_length(s)].append(s)
+    spellings = list(classes.items())
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    plain = docs.select(F.when(F.length(body) == F.octet_length(body), body).otherwise(F.regexp_replace(body, r"[^\x00-\x7F]+", "\x7f")).alias("plain"))
+    # the lambda keeps what is written out letter by letter from being compiled into one method with its neighbours, which would be too long for the JVM
+    k = let(F.col("k"), lambda k: k.cast("double")).alias("k")
+    ends = F.ascii(F.left("piece", F.lit(1))) + F.ascii(F.right("piece", F.lit(1))) - 2 * PLACE
+
+    def of_lengths(lengths: list[int]) -> DataFrame:
+        texts = F.array(*[F.struct(F.lit(i).alias("spelling"), F.lit(k).alias("k"), spelled(F.col("plain"), *how).alias("letters")) for i, ((*how, k), own) in enumerate(spellings) if set(own) & set(lengths)])
+
+        def cut(n: int) -> Column:
+            asked = F.col("x.spelling").isin([i for i, (_, own) in enumerate(spellings) if n in own])
+            each = F.transform(pieces(F.col("x.letters"), n), lambda p: F.struct(F.lit(n).alias("n"), p.alias("piece")))
+            return F.when(asked, each).otherwise(_none("struct<n:int,piece:string>"))
+
+        rows = plain.select(F.explode(texts).alias("x")).select("x.spelling", "x.k", F.explode(F.concat(*map(cut, lengths))).alias("y"))
+        rows = rows.select("spelling", "k", "y.n", "y.piece").select("spelling", "k", "n", ends.alias("ends"), F.split("piece", "").alias("letters"))
+        if max(lengths) <= SHORT:
+            rows, sums = rows.select("spelling", "k", "n", "ends", *short_letters(max(lengths))), short_sums(max(lengths))
+        else:
+            sums = long_sums()
+        return _sum_bins(rows.select("spelling", k, "n", "ends", *[c.alias(name) for name, c in sums.items()]))
+
+    lengths = sorted({n for _, own in spellings for n in own})
+    parts = [own for own in ([n for n in lengths if n <= SHORT], [n for n in lengths if n > SHORT]) if own]
+    counts = reduce(DataFrame.unionAll, map(of_lengths, parts)).groupBy("spelling", "n", "bin").count()
+    alike = F.create_map(*[x for i, (_, own) in enumerate(spellings) for n in own for x in (F.lit(f"{i} {n}"), F.array(*map(F.lit, own[n])))])
+    return counts.select(F.explode(F.element_at(alike, F.concat_ws(" ", F.col("spelling").cast("string"), F.col("n").cast("string")))).alias("stratum"), "bin", F.col("count").alias("n"))
 
 
 def discoveries(candidates: list[tuple[int, int, int]], ordinary: list[tuple[int, int, int]], rate: float = RATE) -> dict[int, int]:

@@ -255,6 +255,18 @@ def test_thresholds_count_all_ordinary_language(spark, monkeypatch):
     assert sorted(map(tuple, se.ordinary_counts(df.repartition(3), sorted(strata)).collect())) == sorted(seen[0][1])
 
 
+def test_thresholds_run_no_python(spark):
+    """Ordinary language is counted by DataFrame operations alone, in short classes and in long ones, with the same sums where both can count."""
+    df = spark.createDataFrame([(1, prose(random.Random(5), 300)), (2, None)], "doc_id bigint, text string")
+    lower, letters = 3 * 64, 8 * 64
+    plan = se.ordinary_counts(df, [lower + 8, lower + 12, letters + 9])._jdf.queryExecution().toString()
+    assert not re.search("MapInArrow|MapInPandas|ArrowEvalPython|BatchEvalPython|FlatMapGroups", plan)
+    pieces = df.filter("doc_id = 1").select(F.explode(se.pieces(se.spelled(F.col("text"), *se._spelling(8)[:3]), 20)).alias("piece")).select(F.lit(20).alias("n"), F.lit(52).alias("k"), F.split("piece", "").alias("letters"))
+    short = pieces.select("n", "k", *se.short_letters(24)).select(*[c.alias(name) for name, c in se.short_sums(24).items()])
+    long = pieces.select(*[c.alias(name) for name, c in se.long_sums().items()])
+    assert sorted(map(tuple, short.collect())) == sorted(map(tuple, long.collect())) and short.count() > 50
+
+
 @pytest.mark.parametrize("n", [24, 40, 100])
 def test_reported_secrets_are_mostly_secrets(spark, n):
     """Ordinary identifiers and random tokens of one length class: few of the reported ones are ordinary, and of longer tokens most secrets are reported, those of letters alone too. Of short ones the battery can't tell enough."""
