@@ -54,6 +54,15 @@ def claims_known(names: DataFrame, market: DataFrame, authority: Authority, prof
     return rows.join(found, "claim").select("name", "claim", "canonical", "canonical_key", "standing", "description", "artist_key", "tier", "high")
 
 
+#: What so many titles say, at most, goes to all tasks, so that lots need not be moved for it.
+TOLD = 200_000
+
+
+def told_lots(lots: DataFrame, titles: DataFrame) -> DataFrame:
+    """lots with what is known of their titles; lots of other titles go. titles: title, distinct, and further columns; kept, as they are counted first."""
+    return lots.join(F.broadcast(titles) if titles.count() <= TOLD else titles, "title")
+
+
 def deep_scan(auctions: DataFrame, lots: DataFrame, scanned: DataFrame, blocked: DataFrame, known_lots: DataFrame, market: DataFrame, authority: Authority, profiles: DataFrame, favourites: Sequence[str] = ()) -> Scan:
     """One scan over the sales that none before it took.
 
@@ -68,7 +77,9 @@ def deep_scan(auctions: DataFrame, lots: DataFrame, scanned: DataFrame, blocked:
     taken = todo.join(first, "house", "left").filter(before)
     caught = found.join(first, "house").filter(F.col("pos") == F.col("_blocked_at"))
     clean = taken.filter("_blocked_at is null or pos <> _blocked_at").select("sale")
-    new = checkpointed(lots.join(clean, "sale").filter(~c.skip_lot(F.col("title"))).join(known_lots.select("lot").distinct(), "lot", "left_anti").withColumn("name", listing_artist_claim(F.col("title"))).filter("name <> ''"))
+    fresh = lots.join(clean, "sale")
+    titles = checkpointed(fresh.select("title").distinct().filter(~c.skip_lot(F.col("title"))).withColumn("name", listing_artist_claim(F.col("title")))).filter("name <> ''")
+    new = checkpointed(told_lots(fresh, titles).join(known_lots.select("lot").distinct(), "lot", "left_anti"))
     told = checkpointed(claims_known(new.select("name").distinct(), market, authority, profiles))
     unknown = told.filter("artist_key is null").select("name", F.when(F.col("canonical").isNotNull(), "research").otherwise("classify").alias("route"))
     reason = F.when(c.flag_lot(F.col("tier"), F.col("high"), F.col("bid")), "market").when(c.flag_institution(F.col("standing"), F.col("bid")), "institution")
@@ -97,8 +108,11 @@ def harvest(auctions: DataFrame, lots: DataFrame, harvested: DataFrame, recorded
     auctions: sale, house, failed. lots: lot, sale, title, realized, bid, bids. market: artist_key, artist, tier, source, high.
     """
     todo = auctions.filter(~F.coalesce("failed", F.lit(False)) & ~contains_any(F.col("house"), blocked)).join(harvested.select("sale").distinct(), "sale", "left_anti").select("sale")
-    own = lots.join(todo, "sale").join(recorded.select("lot").distinct(), "lot", "left_anti").withColumn("claim", claim_from_title(F.col("title"))).filter("claim <> ''")
-    people = resolved_people(own.select("claim").distinct(), market, authority, profiles)
+    # a title is read and its claim resolved once, however many lots have it; what it says is kept for them
+    own = lots.join(todo, "sale")
+    titles = checkpointed(own.select("title").distinct().withColumn("claim", claim_from_title(F.col("title")))).filter("claim <> ''")
+    people = resolved_people(titles.select("claim").distinct(), market, authority, profiles)
     strong = market.filter("tier = 'strong'").select(F.col("artist_key").alias("_k"), F.col("high").alias("_ceiling"))
-    rows = own.join(people, "claim").join(strong, artist_key(F.col("artist")) == F.col("_k"), "left").withColumn("_r", outcome(F.col("realized"), F.col("bid"), F.col("bids")))
+    named = checkpointed(titles.join(people, "claim").join(strong, artist_key(F.col("artist")) == F.col("_k"), "left").select("title", "artist", "_ceiling"))
+    rows = told_lots(own, named).join(recorded.select("lot").distinct(), "lot", "left_anti").withColumn("_r", outcome(F.col("realized"), F.col("bid"), F.col("bids")))
     return rows.select("lot", "sale", "artist", "_r.outcome", "_r.price", c.is_suspect(F.col("_r.price"), F.col("_r.outcome"), F.col("_ceiling")).alias("suspect"))

@@ -3,6 +3,7 @@
 from salesignal.operators import authority as a
 from salesignal.operators import feeds as f
 from salesignal.operators import market as m
+from salesignal.operators import scan as s
 from salesignal.operators.select import mills
 from salesignal.plans import relational, scan
 from salesignal.plans.feeds import harvest_results, token_overlap
@@ -67,3 +68,22 @@ def test_harvest_by_item_and_by_claim(spark):
     names = lots.select("item", "claim")
     by_claim, by_item = f.harvested_prices(lots.drop("item"), done, [store], recorded), f.harvested_prices(lots.drop("claim"), done, [store], recorded, names)
     assert sorted(map(tuple, by_claim.collect())) == sorted(map(tuple, by_item.collect())) == [(1, "a b", "sold", 5.0), (2, "a b", "final_bid", 1.0)]
+
+
+def test_titles_of_a_harvest_are_read_once(spark, monkeypatch):
+    """Claims are read from different titles, not from lots, and are kept, so that no later step reads them again."""
+    kept, checkpointed = [], s.checkpointed
+    monkeypatch.setattr(s, "checkpointed", lambda df: kept.append(checkpointed(df)) or kept[-1])
+    built = a.authority_build(spark.createDataFrame([(1, "met", "Lee, Ann", None, 0, None, None, "met", 1, None)], "seq int, source string, raw_name string, outside_id string, papers int, birth_year int, death_year int, institution string, works long, distinction string"))
+    market = spark.createDataFrame([("bob ray", "Bob Ray", "strong", "research", 90000.0)], "artist_key string, artist string, tier string, source string, high double")
+    rows = [(i, 1, ("Ann Lee sketch", "Bob Ray sketch", "pallet of tools", None)[i % 4], 300.0, 1.0, 1) for i in range(40)]
+    lots = spark.createDataFrame(rows, "lot int, sale int, title string, realized double, bid double, bids int")
+    sales = spark.createDataFrame([(1, "Good", False)], "sale int, house string, failed boolean")
+    args = (sales, lots, sales.select("sale").limit(0), lots.filter("lot = 1").select("lot"), market, built, a.authority_profiles(built))
+    out = [s.harvest(*args)]
+    assert kept[0].columns == ["title", "claim"] and kept[0].count() == 4
+    monkeypatch.setattr(s, "TOLD", 0)  # the same where lots and titles meet by shuffle
+    out.append(s.harvest(*args))
+    for df in out:
+        assert "regexp_extract" not in plan(df)
+        assert sorted((r["lot"], r["artist"], r["suspect"]) for r in df.collect()) == [(i, "Bob Ray", True) if i % 4 else (i, "Ann Lee", False) for i in range(40) if i % 4 < 2 and i != 1]
